@@ -11,10 +11,13 @@ in which case the output replaces them; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, text_of, words_of
+from .common import SPACES, count_chars, let, text_of, words_of
 
 #: The base rules.
 SYMBOLS = "#*$%&|<>"
@@ -26,16 +29,12 @@ MAX_REPEAT_PERCENT = 30
 END_MARKS = (".", "!", "?", ":", ";", "…", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？")
 SEPARATORS = "|»›•·"
 BOILERPLATE = (
-    "licensed under|released under|all rights reserved|copyright|javascript|cookie|privacy policy|"
-    "terms of use|terms of service|lorem ipsum|click here|sign up|log in|subscribe"
-)
+    "licensed under", "released under", "all rights reserved", "copyright", "javascript", "cookie", "privacy policy",
+    "terms of use", "terms of service", "lorem ipsum", "click here", "sign up", "log in", "subscribe",
+)
 MAX_LOST_PERCENT = 50
 
 
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def repeat_words(words: Column) -> Column:
     """Words that lie in a window of WINDOW words which the text holds twice or more, the first time included."""
 
@@ -59,16 +58,15 @@ def repeat_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line that a rule removes."""
-    n_chars = F.length(F.translate(line, SPACES, ""))
+    """True for a line that a rule removes: no end mark, symbols, separators, shouting or boilerplate."""
     end = F.substring(F.rtrim(line, F.lit(SPACES)), -1, 1)
-    return (
-        ~end.isin(*END_MARKS)
-        | (10 * _count(line, SYMBOLS) > n_chars)
-        | (_count(line, SEPARATORS) >= 2)
-        | (12 * _count(line, "!") > n_chars)
-        | F.lower(line).rlike(BOILERPLATE)
+    marked = line.rlike("[" + (SYMBOLS + SEPARATORS + "!").replace("|", "\\|") + "]") & (
+        (10 * count_chars(line, SYMBOLS) > F.length(line))
+        | (count_chars(line, SEPARATORS) >= 2)
+        | (12 * count_chars(line, "!") > F.length(line))
     )
+    said = let(F.lower(line), lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE]))
+    return ~end.isin(*END_MARKS) | marked | said
 
 
 def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
@@ -81,21 +79,21 @@ def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_
             F.transform(lines, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x)).alias("fails"))),
             lambda marked: F.struct(
                 F.array_join(F.transform(F.filter(marked, lambda m: ~m["fails"]), lambda m: m["line"]), "\n").alias("clean_text"),
-                F.aggregate(F.filter(marked, lambda m: m["fails"]), F.lit(0), lambda acc, m: acc + F.length(F.translate(m["line"], SPACES, ""))).alias("lost"),
+                F.aggregate(F.filter(marked, lambda m: m["fails"]), F.lit(0), lambda acc, m: acc + F.length(m["line"])).alias("lost"),
                 let(F.filter(lines, has_word), lambda full: F.size(full) - F.size(F.array_distinct(full))).alias("dup"),
             ),
         )
 
     def of_words(words: Column) -> Column:
-        return F.struct(F.size(words).alias("n"), repeat_words(words).alias("rep"))
+        return F.struct(F.size(words).alias("n"), F.length(F.array_join(words, "")).alias("chars"), repeat_words(words).alias("rep"))
 
     out = docs.withColumn("__w", let(words_of(whole), of_words)).withColumn("__l", let(F.split(whole, "\n"), of_lines))
     long = lambda c: c.cast("long")
     out = out.withColumns(
         {
             "n_words": long(F.col("__w.n")),
-            "word_chars": long(F.length(F.translate(whole, SPACES, ""))),
-            "n_symbols": long(_count(whole, SYMBOLS)),
+            "word_chars": long(F.col("__w.chars")),
+            "n_symbols": long(count_chars(whole, SYMBOLS)),
             "n_dup_lines": long(F.col("__l.dup")),
             "n_repeat_words": long(F.col("__w.rep")),
             "lost_chars": long(F.col("__l.lost")),
@@ -103,4 +101,4 @@ def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_
         }
     ).drop("__w", "__l")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars")))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("lost_chars") <= max_lost_percent * F.length(whole)))

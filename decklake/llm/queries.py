@@ -7,8 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets
-from .common import documents
+from . import mixing, packing, quality, secrets, sharding, warc
+from .common import documents, shared_dir
+
+
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed public vocabulary files are."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    read = warc.read_archive(spark, folder)
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(documents(spark, sf_dir), 40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version"
+    )
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +50,21 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizer())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mixing": op2_mixing,
+    "op3_warc": op3_warc,
+    "op4_sharding": op4_sharding,
     "op5_secret_scan": op5_secret_scan,
+    "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ whose halves fall into the left and right part of the alphabet do. Names are has
 global without a dictionary, and a round moves no rows. Each symbol carries its context, the words that decide it:
 wherever those words stand, the symbol stands there too. A WINDOW of words is revealed by the highest symbol (of those
 the one with the least hash) whose context lies inside it, or by itself if none does; equal windows are always
-revealed by equal symbols.
+revealed by equal symbols in equal contexts.
 
 1. Symbols that reveal a window are dealt by hash range; those that documents of two ids or more have are shared.
 2. Texts meet their shared symbols. Windows that a shared symbol reveals are dealt by hash range and verified there:
@@ -39,6 +39,7 @@ ROUNDS = 2
 LAST = 2**63 - 1  # stands for a null id
 FAR = 1 << 40
 _A, _B, _C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
+_C_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _NAMES = ["kind", "part", "row", "id", "text", "blob", "extra", "n"]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32()]
 _SCHEMA = "kind int, part int, row long, id long, text string, blob binary, extra binary, n int"
@@ -95,14 +96,18 @@ def rounds(hashes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.
 
 
 def revealed(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, what reveals it, hash) of each window of each text."""
+    """(first word, what reveals it, hash) of each window of each text.
+
+    A symbol is told from others by all words of its context, which are more than it stands for: fewer are shared by chance."""
     own = windows(hashes, WINDOW)
     none = np.uint64(2**64 - 1)
     best = np.full(len(hashes) + 1, none)
-    for level, (sym, begin, end) in enumerate(rounds(hashes, starts), 1):
+    power, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), m, np.uint64))) for m in (_C, _C_INVERSE))
+    sums = np.append(np.uint64(0), np.cumsum(hashes * power[:-1]))
+    for level, (_, begin, end) in enumerate(rounds(hashes, starts), 1):
         fits = end - begin <= WINDOW
-        s, b, e = sym[fits], begin[fits], end[fits]
-        h = (mixed(s + np.uint64(level)) >> np.uint64(4)) | np.uint64((7 - level) << 60)
+        b, e = begin[fits], end[fits]
+        h = (mixed((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64)) >> np.uint64(4)) | np.uint64((7 - level) << 60)
         for back in range(WINDOW):
             i = b - back
             ok = (i >= 0) & (i + WINDOW >= e)

@@ -5,11 +5,12 @@ has at least 2t/(1+t) of its tokens in common with the other, and the larger one
 
 1. Tokens are dealt by hash range; a range's task finds the tokens that two classes or more hold. This is the matrix of
    tokens against everything else: a class whose shared tokens fall short of the bound is in no link and drops out.
-2. The remaining classes order their shared tokens rarest first. Each is compared with one leader, and what is linked
-   that way forms groups of similar classes; a large group of near copies thus costs a comparison a member, not a pair.
+2. The remaining classes order their shared tokens rarest first. Each is compared with a leader, STARS times, and what
+   is linked that way forms groups of similar classes; a large group of near copies costs a comparison a member and round,
+   not one a pair.
 3. For each group the union of its tokens is stored. A query class is held against the groups of others with which it
    shares a prefix token: overlap with the union bounds the overlap with any member. Only groups that reach the bound
-   are opened, and only members with a common prefix token are verified, exactly, on the full shared token sets.
+   are opened, and only members with a common prefix token that leaves room for enough others are verified, on all their shared tokens.
 
 Components of all verified links come from star rounds. Nothing is capped, and nothing but counts reaches the driver.
 
@@ -38,6 +39,8 @@ from .shingles import WordHashes, shingle_sets
 #: Words in a shingle, and the link's condition 100 * intersection >= PERCENT * union.
 K = 5
 PERCENT = 75
+#: Rounds of comparing classes with leaders.
+STARS = 2
 _COLS = ["kind", "part", "class", "id", "n", "tokens", "extra"]
 _SCHEMA = "kind int, part int, class long, id long, n int, tokens binary, extra binary"
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -75,8 +78,8 @@ def _dealt(parts: int, k: int):
 
         hashes, seen = WordHashes(lower=True), set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 ids = batch.column(0).to_pylist()
                 sets = shingle_sets(*hashes([hashes.words(t) for t in batch.column(1).to_pylist()]), k)
                 rows, fresh, names, sizes = [], [], [], []
@@ -205,32 +208,46 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.withColumn("both", both).where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _spread(sets: DataFrame, upto: str) -> DataFrame:
+    """(token, class, n, rest) of the first tokens of each set: rest is what can be common if this is the first common token."""
+    first = F.posexplode(F.expr(f"slice(tokens, 1, {upto})")).alias("at", "token")
+    return sets.where(F.col(upto) > 0).select("class", "n", F.size("tokens").alias("size"), first).select("token", "class", "n", (F.col("size") - F.col("at")).alias("rest"))
+
+
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes that connect whatever is linked: to leaders, and between groups where a group was opened."""
-    smaller = sets.where("as_smaller > 0").select("class", "n", F.explode(F.expr("slice(tokens, 1, as_smaller)")).alias("token"))
-    larger = sets.select("class", "n", F.explode(F.expr("slice(tokens, 1, as_larger)")).alias("token"))
-    leader = larger.groupBy("token").agg(F.min("class").alias("leader"))
-    led = larger.join(leader, "token").groupBy("class").agg(F.min("leader").alias("leader")).where("class != leader")
-    star = stored(_verified(led.select(F.col("class").alias("a"), F.col("leader").alias("b")), sets, percent))
-    roots = components(star).select(F.col("node").alias("class"), F.col("root").alias("group"))
-    grouped = stored(sets.select("class", "n").join(roots, "class", "left").select("class", "n", F.coalesce("group", "class").alias("group")))
-    of = grouped.select("class", "group")
-    # tokens that lie in one group only can open no other
-    wide = larger.join(of, "class").groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 != g1").select("token")
-    q = smaller.join(wide, "token", "left_semi").join(of, "class").select("token", F.col("class").alias("q"), F.col("n").alias("nq"), F.col("group").alias("gq"))
-    d = larger.join(wide, "token", "left_semi").join(of, "class").select("token", F.col("class").alias("d"), F.col("n").alias("nd"), "group")
-    q, d = stored(q), stored(d)
-    rows = d.groupBy("token", "group").agg(F.max("nd").alias("most"), F.min("nd").alias("fewest"))
-    near = (F.col("most") >= F.col("nq")) & (percent * F.col("fewest") <= 100 * F.col("nq")) & (F.col("group") != F.col("gq"))
+    entries = _spread(sets, "as_larger").withColumn("group", F.col("class"))
+    found, roots = None, None
+    for k in range(STARS):
+        lead = F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("h"), "class", "n", "group")).alias("lead")
+        # tokens that lie in one group only can link no other
+        wide = entries.join(entries.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), lead).where("g0 != g1"), "token")
+        other = wide.where((F.col("group") != F.col("lead.group")) & (100 * F.col("n") >= percent * F.col("lead.n")) & (100 * F.col("lead.n") >= percent * F.col("n")))
+        led = other.groupBy("class").agg(F.min("lead").alias("lead")).select(F.col("class").alias("a"), F.col("lead.class").alias("b"))
+        new = stored(_verified(led, sets, percent))
+        found = found.union(new) if found is not None else new
+        roots = stored(components(found).select(F.col("node").alias("class"), F.col("root").alias("group")))
+        entries = stored(wide.select("token", "class", "n", "rest").join(roots, "class", "left").withColumn("group", F.coalesce("group", "class")))
+    of = sets.select("class").join(roots, "class", "left").select("class", F.coalesce("group", "class").alias("group"))
+    wide = stored(entries.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 != g1").select("token"))
+    q = stored(_spread(sets, "as_smaller").join(wide, "token", "left_semi").join(of, "class").select("token", F.col("class").alias("q"), F.col("n").alias("nq"), F.col("rest").alias("rest_q"), F.col("group").alias("gq")))
+    d = stored(entries.join(wide, "token", "left_semi").select("token", F.col("class").alias("d"), F.col("n").alias("nd"), F.col("rest").alias("rest_d"), "group"))
+    rows = d.groupBy("token", "group").agg(F.max("nd").alias("most"), F.min("nd").alias("fewest"), F.max("rest_d").alias("rest"))
+    # of a pair's common tokens the first one in order leaves room for all others, on both sides
+    sizes = percent * (F.col("nq") + F.greatest("fewest", "nq"))
+    room = (F.col("rest_q") * (100 + percent) >= sizes) & (F.col("rest") * (100 + percent) >= sizes)
+    near = (F.col("most") >= F.col("nq")) & (percent * F.col("fewest") <= 100 * F.col("nq")) & (F.col("group") != F.col("gq")) & room
     asked = stored(q.join(rows, "token").where(near).select("q", "nq", "group").distinct())
     # the matrix: each group's union of tokens, against the tokens of the classes that ask for it
     union = sets.select("class", F.explode("tokens").alias("token")).join(of, "class").join(asked.select("group").distinct(), "group", "left_semi").select("group", "token").distinct()
     asking = asked.join(sets.select(F.col("class").alias("q"), "tokens"), "q").select("q", "nq", "group", F.explode("tokens").alias("token"))
     overlap = asking.join(union, ["group", "token"]).groupBy("q", "nq", "group").agg(F.count(F.lit(1)).alias("overlap"))
     opened = overlap.where(F.col("overlap") * (100 + percent) >= 2 * percent * F.col("nq")).select("q", "group")
-    fits = ((F.col("nd") > F.col("nq")) | ((F.col("nd") == F.col("nq")) & (F.col("d") > F.col("q")))) & (percent * F.col("nd") <= 100 * F.col("nq"))
-    pairs = q.join(opened, "q").join(d, ["token", "group"]).where(fits).select(F.col("q").alias("a"), F.col("d").alias("b")).distinct()
-    return star.union(_verified(pairs, sets, percent))
+    fits = ((F.col("nd") > F.col("nq")) | ((F.col("nd") == F.col("nq")) & (F.col("d") != F.col("q")))) & (percent * F.col("nd") <= 100 * F.col("nq"))
+    least = percent * (F.col("nq") + F.col("nd"))
+    room = (F.col("rest_q") * (100 + percent) >= least) & (F.col("rest_d") * (100 + percent) >= least)
+    pairs = q.join(opened, ["q"]).join(d, ["token", "group"]).where(fits & room).select(F.col("q").alias("a"), F.col("d").alias("b")).distinct()
+    return found.union(_verified(pairs, sets, percent))
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Entries after which the cache of word hashes starts anew; only a matter of memory.
-CACHE = 400_000
+CACHE = 200_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 

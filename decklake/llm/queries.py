@@ -23,7 +23,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(documents(spark, sf_dir), public_tokenizer())
+    import public_tokenizers
+
+    return scoring.score(documents(spark, sf_dir), public_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
                 cols: list[list] = [[] for _ in kinds[1:]]
                 rows = []
                 for row, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
-                    ids += end
+                    ids = ids.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

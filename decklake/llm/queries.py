@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import jaccard, mixing, packing, quality, recompression, scoring, secrets, sharding, spotsigs, warc
 from .common import documents, shared_dir
+from .oracles import ORACLES as ORACLES
 
 
 def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
@@ -23,9 +24,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return scoring.score(documents(spark, sf_dir), public_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return scoring.score(documents(spark, sf_dir), public_tokenizer())
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_scoring": op10_lm_scoring,
 }
-ORACLES: dict[str, str] = {}

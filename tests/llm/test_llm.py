@@ -320,7 +320,7 @@ def test_quality(docs, none):
 
 def test_lines_that_fail_go(spark):
     good = "This is a plain sentence of some words that ends as it should.\n" * 1
-    text = "".join(f"Sentence {k} is a plain one and has an end of its own, as number {k}.\n" for k in range(6)) + "Home | News | About | Contact\nLicensed under the MIT License.\nno end here"
+    text = "".join(f"Sentence {k} is number {k} and has end {k} of its own.\n" for k in range(6)) + "Home | News | About | Contact\nLicensed under the MIT License.\nno end here"
     junk = "\n".join("BUY!! NOW!! CHEAP!! THINGS!! HERE!! TODAY!! ONLY!! " + str(k) for k in range(9))
     a, b, _ = quality.judge(spark.createDataFrame([(1, text), (2, junk), (3, good)], "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
     assert a.kept and a.clean_text.count("\n") == 5 and "MIT" not in a.clean_text and "Home" not in a.clean_text

@@ -27,6 +27,7 @@ MAX_REPEAT_PERCENT = 30
 
 #: The line rules.
 END_MARKS = (".", "!", "?", ":", ";", "…", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？")
+INNER_END = r"[.!?][\x20\x09-\x0D]"
 SEPARATORS = "|»›•·"
 BOILERPLATE = (
     "licensed under", "released under", "all rights reserved", "copyright", "javascript", "cookie", "privacy policy",
@@ -58,7 +59,9 @@ def repeat_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """True for a line that a rule removes: no end mark, symbols, separators, shouting or boilerplate."""
+    """True for a line that a rule removes: no sentence's end, symbols, separators, shouting or boilerplate.
+
+    A paragraph whose last sentence lacks its mark is no fragment: an end inside the line will do."""
     end = F.substring(F.rtrim(line, F.lit(SPACES)), -1, 1)
     marked = line.rlike("[" + (SYMBOLS + SEPARATORS + "!").replace("|", "\\|") + "]") & (
         (10 * count_chars(line, SYMBOLS) > F.length(line))
@@ -66,7 +69,8 @@ def line_fails(line: Column) -> Column:
         | (12 * count_chars(line, "!") > F.length(line))
     )
     said = let(F.lower(line), lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE]))
-    return ~end.isin(*END_MARKS) | marked | said
+    fragment = ~end.isin(*END_MARKS) & ~line.rlike(INNER_END)
+    return fragment | marked | said
 
 
 def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:

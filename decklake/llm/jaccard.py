@@ -5,7 +5,7 @@ has at least 2t/(1+t) of its tokens in common with the other, and the larger one
 
 1. Tokens are dealt by hash range; a range's task finds the tokens that two classes or more hold. This is the matrix of
    tokens against everything else: a class whose shared tokens fall short of the bound is in no link and drops out.
-2. The remaining classes order their shared tokens rarest first. Each is compared with a leader, STARS times, and what
+2. The remaining classes order their shared tokens rarest first. Each is compared with a leader, up to STARS times, and what
    is linked that way forms groups of similar classes; a large group of near copies costs a comparison a member and round,
    not one a pair.
 3. For each group the union of its tokens is stored. A query class is held against the groups of others with which it
@@ -39,8 +39,10 @@ from .shingles import WordHashes, shingle_sets
 #: Words in a shingle, and the link's condition 100 * intersection >= PERCENT * union.
 K = 5
 PERCENT = 75
-#: Rounds of comparing classes with leaders.
-STARS = 2
+#: Rounds of comparing classes with leaders, at most; a round that links nothing is the last.
+STARS = 6
+#: Tokens of a group's union that are kept as one array.
+UNION = 65_536
 _COLS = ["kind", "part", "class", "id", "n", "tokens", "extra"]
 _SCHEMA = "kind int, part int, class long, id long, n int, tokens binary, extra binary"
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
@@ -214,6 +216,21 @@ def _spread(sets: DataFrame, upto: str) -> DataFrame:
     return sets.where(F.col(upto) > 0).select("class", "n", F.size("tokens").alias("size"), first).select("token", "class", "n", (F.col("size") - F.col("at")).alias("rest"))
 
 
+def _overlaps(asked: DataFrame, sets: DataFrame, of: DataFrame) -> DataFrame:
+    """asked (q, nq, group) with overlap: how many tokens of the class the group's union has.
+
+    Unions of up to UNION tokens are compared as arrays, a row a question; larger ones token by token."""
+    spread = sets.select("class", F.explode("tokens").alias("token")).join(of, "class").join(asked.select("group").distinct(), "group", "left_semi")
+    union = stored(spread.select("group", "token").distinct())
+    small = union.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= UNION).select("group")
+    arrays = union.join(small, "group", "left_semi").groupBy("group").agg(F.collect_list("token").alias("union"))
+    own = sets.select(F.col("class").alias("q"), "tokens")
+    whole = asked.join(own, "q").join(arrays, "group").select("q", "nq", "group", F.size(F.array_intersect("tokens", "union")).cast("long").alias("overlap"))
+    single = asked.join(small, "group", "left_anti").join(own, "q").select("q", "nq", "group", F.explode("tokens").alias("token"))
+    met = single.join(union, ["group", "token"]).groupBy("q", "nq", "group").agg(F.count(F.lit(1)).alias("overlap"))
+    return whole.unionByName(met)
+
+
 def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes that connect whatever is linked: to leaders, and between groups where a group was opened."""
     entries = _spread(sets, "as_larger").withColumn("group", F.col("class"))
@@ -225,6 +242,8 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         other = wide.where((F.col("group") != F.col("lead.group")) & (100 * F.col("n") >= percent * F.col("lead.n")) & (100 * F.col("lead.n") >= percent * F.col("n")))
         led = other.groupBy("class").agg(F.min("lead").alias("lead")).select(F.col("class").alias("a"), F.col("lead.class").alias("b"))
         new = stored(_verified(led, sets, percent))
+        if k and new.isEmpty():
+            break
         found = found.union(new) if found is not None else new
         roots = stored(components(found).select(F.col("node").alias("class"), F.col("root").alias("group")))
         entries = stored(wide.select("token", "class", "n", "rest").join(roots, "class", "left").withColumn("group", F.coalesce("group", "class")))
@@ -238,10 +257,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     room = (F.col("rest_q") * (100 + percent) >= sizes) & (F.col("rest") * (100 + percent) >= sizes)
     near = (F.col("most") >= F.col("nq")) & (percent * F.col("fewest") <= 100 * F.col("nq")) & (F.col("group") != F.col("gq")) & room
     asked = stored(q.join(rows, "token").where(near).select("q", "nq", "group").distinct())
-    # the matrix: each group's union of tokens, against the tokens of the classes that ask for it
-    union = sets.select("class", F.explode("tokens").alias("token")).join(of, "class").join(asked.select("group").distinct(), "group", "left_semi").select("group", "token").distinct()
-    asking = asked.join(sets.select(F.col("class").alias("q"), "tokens"), "q").select("q", "nq", "group", F.explode("tokens").alias("token"))
-    overlap = asking.join(union, ["group", "token"]).groupBy("q", "nq", "group").agg(F.count(F.lit(1)).alias("overlap"))
+    overlap = _overlaps(asked, sets, of)
     opened = overlap.where(F.col("overlap") * (100 + percent) >= 2 * percent * F.col("nq")).select("q", "group")
     fits = ((F.col("nd") > F.col("nq")) | ((F.col("nd") == F.col("nq")) & (F.col("d") != F.col("q")))) & (percent * F.col("nd") <= 100 * F.col("nq"))
     least = percent * (F.col("nq") + F.col("nd"))

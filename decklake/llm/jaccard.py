@@ -40,7 +40,7 @@ from .shingles import WordHashes, shingle_sets
 K = 5
 PERCENT = 75
 #: Rounds of comparing classes with leaders, at most; a round that links nothing is the last.
-STARS = 6
+STARS = 3
 #: Tokens of a group's union that are kept as one array.
 UNION = 65_536
 _COLS = ["kind", "part", "class", "id", "n", "tokens", "extra"]
@@ -211,9 +211,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _spread(sets: DataFrame, upto: str) -> DataFrame:
-    """(token, class, n, rest) of the first tokens of each set: rest is what can be common if this is the first common token."""
+    """(token, class, n, alone, rest) of the first tokens of each set: rest is what can be common if this is the first common token."""
     first = F.posexplode(F.expr(f"slice(tokens, 1, {upto})")).alias("at", "token")
-    return sets.where(F.col(upto) > 0).select("class", "n", F.size("tokens").alias("size"), first).select("token", "class", "n", (F.col("size") - F.col("at")).alias("rest"))
+    return sets.where(F.col(upto) > 0).select("class", "n", F.size("tokens").alias("size"), first).select("token", "class", "n", (F.col("n") - F.col("size")).alias("alone"), (F.col("size") - F.col("at")).alias("rest"))
 
 
 def _overlaps(asked: DataFrame, sets: DataFrame, of: DataFrame) -> DataFrame:
@@ -236,7 +236,9 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     entries = _spread(sets, "as_larger").withColumn("group", F.col("class"))
     found, roots = None, None
     for k in range(STARS):
-        lead = F.min(F.struct(F.xxhash64(F.lit(k), "class").alias("h"), "class", "n", "group")).alias("lead")
+        # the fewer tokens a class has to itself, the nearer it is to the middle of its kind; later rounds shuffle this a little
+        rank = F.col("alone") + F.pmod(F.xxhash64(F.lit(k), "class"), F.lit(1 + 2 * k))
+        lead = F.min(F.struct(rank.alias("rank"), "class", "n", "group")).alias("lead")
         # tokens that lie in one group only can link no other
         wide = entries.join(entries.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1"), lead).where("g0 != g1"), "token")
         other = wide.where((F.col("group") != F.col("lead.group")) & (100 * F.col("n") >= percent * F.col("lead.n")) & (100 * F.col("lead.n") >= percent * F.col("n")))
@@ -246,7 +248,7 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
             break
         found = found.union(new) if found is not None else new
         roots = stored(components(found).select(F.col("node").alias("class"), F.col("root").alias("group")))
-        entries = stored(wide.select("token", "class", "n", "rest").join(roots, "class", "left").withColumn("group", F.coalesce("group", "class")))
+        entries = stored(wide.select("token", "class", "n", "alone", "rest").join(roots, "class", "left").withColumn("group", F.coalesce("group", "class")))
     of = sets.select("class").join(roots, "class", "left").select("class", F.coalesce("group", "class").alias("group"))
     wide = stored(entries.groupBy("token").agg(F.min("group").alias("g0"), F.max("group").alias("g1")).where("g0 != g1").select("token"))
     q = stored(_spread(sets, "as_smaller").join(wide, "token", "left_semi").join(of, "class").select("token", F.col("class").alias("q"), F.col("n").alias("nq"), F.col("rest").alias("rest_q"), F.col("group").alias("gq")))

@@ -121,11 +121,12 @@ def revealed(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers byte by byte, the like high bytes together: they compress in the shuffle."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def _unplaned(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+def _unplaned(b: bytes, kind: type = np.uint64) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -140,9 +141,9 @@ def _by_range(hashes: np.ndarray, owner: np.ndarray, places: np.ndarray | None,
     cuts, out = np.flatnonzero(np.diff(part, prepend=-1)), []
     for a, b in zip(cuts, [*cuts[1:], len(hashes)], strict=True):
         used, local = np.unique(owner[a:b], return_inverse=True)
-        extra = ids[used].tobytes() + rows[used].tobytes() + local.astype(np.uint16).tobytes()
+        extra = _planes(ids[used]) + rows[used].tobytes() + local.astype(np.uint8).tobytes()
         if places is not None:
-            extra += places[order[a:b]].astype(np.uint32).tobytes()
+            extra += _planes(places[order[a:b]].astype(np.uint32))
         out.append((HASHES, int(part[a]), None, None, None, _planes(hashes[a:b]), extra, len(used)))
     return out
 
@@ -177,12 +178,12 @@ def _gathered(batches: Iterator[pa.RecordBatch], placed: bool):
             yield batch.filter(pa.array(kind != HASHES))
         for x in batch.filter(pa.array(kind == HASHES)).select(["blob", "extra", "n"]).to_pylist():
             n, extra, own = x["n"], x["extra"], _unplaned(x["blob"])
-            local = np.frombuffer(extra, np.uint16, len(own), 16 * n)
+            local = np.frombuffer(extra, np.uint8, len(own), 16 * n)
             h.append(own)
-            ids.append(np.frombuffer(extra, np.int64, n)[local])
+            ids.append(_unplaned(extra[: 8 * n], np.int64)[local])
             rows.append(np.frombuffer(extra, np.int64, n, 8 * n)[local])
             if placed:
-                places.append(np.frombuffer(extra, np.uint32, -1, 16 * n + 2 * len(own)))
+                places.append(_unplaned(extra[16 * n + len(own) :], np.uint32))
     if h:
         h, ids, rows = np.concatenate(h), np.concatenate(ids), np.concatenate(rows)
         order = np.argsort(h, kind="stable")
@@ -223,20 +224,36 @@ def _final(row: int, id: int, n: int, kept: list[bytes], with_text: bool) -> tup
     return (FINAL, row % 2**31, row, id, text.decode("utf-8", "surrogatepass") if with_text else None, hashlib.sha256(text).hexdigest().encode(), n.to_bytes(8, "little"), n - len(kept))
 
 
+def _packed(parts: int):
+    """(row, id, text) to text rows, compressed: they are shuffled up to three times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                rows = []
+                for x in whole.slice(at, 1000).to_pylist():
+                    raw = x["text"].encode("utf-8", "surrogatepass")
+                    rows.append((TEXT, x["row"] % parts, x["row"], x["id"], None, pa.compress(raw, "zstd", asbytes=True), None, len(raw)))
+                yield _batch(rows)
+
+    return run
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows in order of (row, kind) to (row, id, text, marks of that row); finished rows as batches."""
+    """Rows in order of (row, kind) to (row, id, text row, words, marks of that row); finished rows as batches."""
     row, marks = None, b""
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         if (kind == FINAL).any():
             yield batch.filter(pa.array(kind == FINAL))
-        for x in batch.filter(pa.array(kind != FINAL)).select(["kind", "row", "id", "text", "blob"]).to_pylist():
+        for x in batch.filter(pa.array(kind != FINAL)).select(["kind", "row", "id", "blob", "n"]).to_pylist():
             if x["row"] != row:
                 row, marks = x["row"], b""
             if x["kind"] == MARKS:
                 marks += x["blob"]
             else:
-                yield x["row"], x["id"], x["text"], marks
+                words = pa.decompress(x["blob"], x["n"], "zstd", asbytes=True).split() if x["n"] else []
+                yield x["row"], x["id"], x, words, marks
 
 
 def _candidates(parts: int, with_text: bool):
@@ -258,12 +275,11 @@ def _candidates(parts: int, with_text: bool):
                 hit[a:b] = np.isin(key[a:b], np.frombuffer(x[4], np.uint64))
             first, owner, own = first[hit], owner[hit], own[hit]
             ids, rows = np.array([x[1] for x in held]), np.array([x[0] for x in held])
-            out = [(TEXT, x[0] % parts, x[0], x[1], x[2], None, None, None) for x in held]
+            out = [(TEXT, x[0] % parts, x[0], x[1], None, x[2]["blob"], None, x[2]["n"]) for x in held]
             return out + (_by_range(own, owner, first - starts[owner], ids, rows, parts) if len(own) else [])
 
         for got in _met(batches):
-            row, id, text, marks = got
-            w = words.words(text)
+            row, id, text, w, marks = got
             if not marks:
                 done.append(_final(row, id, len(w), w, with_text))
             else:
@@ -292,13 +308,12 @@ def _cut(with_text: bool):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*plain, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rows = WordHashes(lower=False), []
+        rows = []
         for got in _met(batches):
             if isinstance(got, pa.RecordBatch):
                 yield out([tuple(x.values()) for x in got.to_pylist()])
                 continue
-            row, id, text, marks = got
-            w = words.words(text)
+            row, id, _, w, marks = got
             lost = np.zeros(len(w) + 1, np.int64)
             at = np.frombuffer(marks, np.uint32).astype(np.int64)
             np.add.at(lost, at, 1)
@@ -320,8 +335,7 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bo
     body = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"), text_of(text).alias("text")).withColumn("row", F.xxhash64("id", "text"))
     dealt = lambda df: df.repartitionById(parts, F.col("part"))
     shared = dealt(body.mapInArrow(_revealing(parts), _SCHEMA)).mapInArrow(_marked(parts, False), _SCHEMA)
-    nothing = lambda t: F.lit(None).cast(t)
-    texts = body.select(F.lit(TEXT).alias("kind"), F.pmod("row", F.lit(parts)).cast("int").alias("part"), "row", "id", "text", nothing("binary").alias("blob"), nothing("binary").alias("extra"), nothing("int").alias("n"))
+    texts = body.mapInArrow(_packed(parts), _SCHEMA)
     met = dealt(shared.unionByName(texts)).sortWithinPartitions("row", "kind")
     checked = dealt(met.mapInArrow(_candidates(parts, with_text), _SCHEMA)).mapInArrow(_marked(parts, True), _SCHEMA)
     last = dealt(checked).sortWithinPartitions("row", "kind")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_of
-from .subwords import Encoder
+from .subwords import encoder
 
 #: Places in a sequence, and the id that ends each document.
 CAPACITY = 1024
@@ -126,13 +126,13 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 cols: list[list] = [[] for _ in kinds[1:]]
                 rows = []
-                for row, ids in enumerate(encoder.encode(part.column(1).to_pylist())):
+                for row, ids in enumerate(encode(part.column(1).to_pylist())):
                     ids = ids.astype("<u4").tobytes() + end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -69,3 +70,9 @@ class Encoder:
         for i in slow:
             out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
         return out
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """One Encoder for all tasks of a worker."""
+    return Encoder(path)

@@ -5,8 +5,8 @@ logs for each document, so no table of words is broadcast or joined. A word's na
 
 Model: subword counts over all training documents (at most one row an id reach the driver) give the classes of ids and
 each id's share. The attention model is then trained where the data are: in each of ROUNDS rounds every task starts
-from the same parameters, learns from its share of the training documents (one in SHARE, by hash, others each round),
-and parameters are averaged by tokens seen, in a grouped sum. What is learnt from thus grows with the input.
+from the same parameters, learns from its training documents of the round, and parameters are averaged by tokens seen,
+in a grouped sum. A document's hash gives its round, so that each training document is learnt from exactly once.
 Windows of WINDOW ids overlap by CONTEXT; each id is scored once. A text is its lower-case words, a space before each.
 
 Edge cases: null texts are empty (one token, the end); a null id counts as the text "" for the split and is trained
@@ -22,7 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as model
@@ -33,7 +33,7 @@ from .subwords import encoder
 #: A document is held out if crc32 of its id's text, modulo FOLDS, is OUT.
 FOLDS, OUT = 7, 2
 END = 0  # the end's word hash
-ROUNDS, SHARE = 2, 32
+ROUNDS = 2
 HASHES, DOC, IDS, STATS = range(4)
 _NAMES = ["kind", "part", "row", "blob", "extra", "n", "total", "known", "tokens"]
 _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -185,6 +185,11 @@ def _scored(tokenizer: str, of: np.ndarray, shares: np.ndarray, flat: np.ndarray
     return run
 
 
+def learnt_in(k: int) -> Column:
+    """Whether a training document of body is learnt from in round k."""
+    return ~F.col("held_out") & (F.pmod("row", F.lit(ROUNDS)) == k)
+
+
 def score(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
@@ -204,7 +209,7 @@ def score(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text
     of, shares, class_logs = model.classes_of(counts, begins)
     flat = model.initial(class_logs)
     for k in range(ROUNDS):
-        chosen = body.where(~F.col("held_out") & (F.pmod(F.xxhash64(F.lit(k), "row"), F.lit(SHARE)) == 0)).select("text")
+        chosen = body.where(learnt_in(k)).select("text")
         learnt = chosen.mapInArrow(_learnt(tokenizer, of, flat), "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect()
         for r in learnt:
             flat[r.i] = r.v

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 
-D, CLASSES, WINDOW, CONTEXT = 8, 64, 32, 6
-SHARED = 24  # classes that several ids share
+D, CLASSES, WINDOW, CONTEXT = 16, 96, 64, 32
+SHARED = 32  # classes that several ids share
 SHAPES = {"E": (CLASSES + 1, D), "P": (WINDOW, D), "Q": (D, D), "K": (D, D), "V": (D, D), "O": (D, D), "U": (D, CLASSES), "b": (CLASSES,)}
 SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
 BOS = CLASSES

@@ -20,3 +20,12 @@ def test_a_few_documents_are_learnt_from(spark):
     docs = spark.createDataFrame([(k, "la le li lo " * 400) for k in range(12)], "doc_id long, text string").coalesce(2)
     rows = scoring.score(docs, P.path("byte_bpe_50k.json")).collect()
     assert min(r.score / r.n_tokens for r in rows) > -1.0
+
+
+def test_the_model_has_its_first_size():
+    assert attention.D >= 16 and attention.CLASSES >= 96 and attention.WINDOW >= 64 and 2 * attention.CONTEXT >= attention.WINDOW
+
+
+def test_a_token_has_half_a_window_of_context():
+    x, t, c = attention.cut(np.arange(500) % attention.CLASSES)
+    assert c.sum() == 500 and not c[1:, : attention.WINDOW // 2].any()

@@ -25,9 +25,16 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]+", 0, 32),
 )
+#: A private key from its BEGIN to its END; without an END to its last run of key characters and the short line after it. Lines may be
+#: indented or written as \\n. Single classes of characters, no group over lines: a match of any length needs no deep stack.
+_KEY = r"[A-Za-z0-9+/=\\\x20\x09-\x0D]*"
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[\x20\x09-\x0D]*(?:Proc-Type|DEK-Info):[^\n]*){0,4}(?:"
+    + _KEY + r"-----END [A-Z ]*PRIVATE KEY-----|" + _KEY + r"[A-Za-z0-9+/=\\]{24,}(?:[\x20\t\r]*\n[\x20\t]*[A-Za-z0-9+/=]+(?m:$))?))?"
+)
 #: Rules added by this scanner; each needs its marker in the text before the pattern is tried.
 ADDED = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----BEGIN"),
+    ("private_key", PRIVATE_KEY, "-----BEGIN"),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", "gh"),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", "xox"),
     ("google", r"AIza[0-9A-Za-z_-]{35}", "AIza"),
@@ -35,7 +42,7 @@ ADDED = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "eyJ"),
 )
 KINDS = tuple(r[0] for r in BASE) + tuple(r[0] for r in ADDED)
-RULE_VERSION = 1
+RULE_VERSION = 3
 #: Of each base rule, a cheaper pattern that any valid match satisfies.
 GATES = {"access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 SPAN = "array<struct<start:int,rank:int,end:int>>"

@@ -29,3 +29,36 @@ def test_the_model_has_its_first_size():
 def test_a_token_has_half_a_window_of_context():
     x, t, c = attention.cut(np.arange(500) % attention.CLASSES)
     assert c.sum() == 500 and not c[1:, : attention.WINDOW // 2].any()
+
+
+def key_lines(n):
+    return [("MIIEvQ+/b64" * 6)[k % 11 :][:64].ljust(64, "A") for k in range(n)]
+
+
+def test_whole_private_keys_go(spark):
+    body, begin, end = key_lines(25), "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = [begin, *body, "Zk9=", end]
+    long = [begin, *key_lines(6000)]
+    texts = {
+        1: ("\n".join(["before it", *lines, "after it"]), "before it\n[SECRET]\nafter it"),
+        2: ("\r\n".join(["a", *lines, "b."]), "a\r\n[SECRET]\r\nb."),
+        3: ("\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *body, end, "x"]), "[SECRET]\nx"),
+        4: ("\n".join([begin, *body, "Zk9=", "", "The end is missing."]), "[SECRET]\n\nThe end is missing."),
+        5: ("k: |\n" + "\n".join("  " + x for x in lines) + "\nz: 1", "k: |\n  [SECRET]\nz: 1"),
+        6: ('{"key": "' + "\\n".join(lines) + '\\n", "z": 1}', '{"key": "[SECRET]\\n", "z": 1}'),
+        7: ("\n".join([*lines, "", *lines, "end"]), "[SECRET]\n\n[SECRET]\nend"),
+        8: (f"A line {begin} is the head of a key, and no more.", "A line [SECRET] is the head of a key, and no more."),
+        9: ("\n".join([*long, "", "So it ends."]), "[SECRET]\n\nSo it ends."),
+        10: ("-----BEGIN OPENSSH PRIVATE KEY-----\n" + "\n".join(body) + "\n-----END OPENSSH PRIVATE KEY-----", "[SECRET]"),
+    }
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {i: want for i, (_, want) in texts.items()}
+    import duckdb
+
+    from decklake.llm.oracles import op5
+
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", [(i, t) for i, (t, _) in texts.items()])
+    want = {r[0]: r[-1] for r in db.execute(op5()).fetchall()}
+    assert {r.doc_id: r.spans for r in secrets.scan(docs).select("doc_id", secrets.spell(F.col("spans")).alias("spans")).collect()} == want

@@ -11,6 +11,7 @@ in which case the output replaces them; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -26,13 +27,16 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 #: The line rules.
-END_MARKS = (".", "!", "?", ":", ";", "…", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？")
+END_MARKS = (".", "!", "?", ":", ";", "…", '"', "'", "”", "’", "»", ")", "]", "。", "！", "？", "।", "॥", "؟", "۔", "։", "።", "။", "។", "｡", "．", "」", "』")
 INNER_END = r"[.!?][\x20\x09-\x0D]"
 SEPARATORS = "|»›•·"
 BOILERPLATE = (
     "licensed under", "released under", "all rights reserved", "copyright", "javascript", "cookie", "privacy policy",
     "terms of use", "terms of service", "lorem ipsum", "click here", "sign up", "log in", "subscribe",
 )
+#: A phrase counts where it and the line's other phrases are at least a LEAST_SHARE-th of a line of at most SHORT_LINE characters.
+SHORT_LINE, LEAST_SHARE = 200, 4
+PHRASE = r"(?<![\p{L}\p{N}_])(?:" + "|".join(BOILERPLATE) + r")s?(?![\p{L}\p{N}_])"
 MAX_LOST_PERCENT = 50
 
 
@@ -58,7 +62,18 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(hashes, of))
 
 
-def line_fails(line: Column) -> Column:
+def says_boilerplate(line: Column) -> Column:
+    """True for a short line that boilerplate phrases, as whole words, make up a large part of."""
+    said = lambda low: F.length(F.array_join(F.regexp_extract_all(low, F.lit(PHRASE), F.lit(0)), ""))
+    return (F.length(line) <= SHORT_LINE) & (LEAST_SHARE * let(F.lower(line), said) >= F.length(line))
+
+
+def contains_boilerplate(line: Column) -> Column:
+    """True for a line with a boilerplate phrase anywhere: the rule that the SQL of op8_quality_rules states."""
+    return let(F.lower(line), lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE]))
+
+
+def line_fails(line: Column, boilerplate: Callable[[Column], Column] = says_boilerplate) -> Column:
     """True for a line that a rule removes: no sentence's end, symbols, separators, shouting or boilerplate.
 
     A paragraph whose last sentence lacks its mark is no fragment: an end inside the line will do."""
@@ -68,19 +83,20 @@ def line_fails(line: Column) -> Column:
         | (count_chars(line, SEPARATORS) >= 2)
         | (12 * count_chars(line, "!") > F.length(line))
     )
-    said = let(F.lower(line), lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE]))
     fragment = ~end.isin(*END_MARKS) & ~line.rlike(INNER_END)
-    return fragment | marked | said
+    return fragment | marked | boilerplate(line)
 
 
-def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+def judge(
+    docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT, boilerplate: Callable[[Column], Column] = says_boilerplate
+) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars (long), base_failed, kept (boolean) and clean_text."""
     whole = text_of(text)
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
 
     def of_lines(lines: Column) -> Column:
         return let(
-            F.transform(lines, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x)).alias("fails"))),
+            F.transform(lines, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x, boilerplate)).alias("fails"))),
             lambda marked: F.struct(
                 F.array_join(F.transform(F.filter(marked, lambda m: ~m["fails"]), lambda m: m["line"]), "\n").alias("clean_text"),
                 F.aggregate(F.filter(marked, lambda m: m["fails"]), F.lit(0), lambda acc, m: acc + F.length(m["line"])).alias("lost"),

@@ -62,3 +62,14 @@ def test_whole_private_keys_go(spark):
     db.executemany("insert into documents values (?, ?)", [(i, t) for i, (t, _) in texts.items()])
     want = {r[0]: r[-1] for r in db.execute(op5()).fetchall()}
     assert {r.doc_id: r.spans for r in secrets.scan(docs).select("doc_id", secrets.spell(F.col("spans")).alias("spans")).collect()} == want
+
+
+def test_clean_lines_that_mention_a_phrase_stay(spark):
+    prose = "The museum keeps a catalog in the east wing, where a baker once wrote a blog in verse about one cookie, the copyright of a song and the people who subscribe to letters. "
+    hindi, arabic = "यह एक साधारण वाक्य है और यहाँ समाप्त होता है।", "هل هذه جملة عادية تنتهي هنا؟"
+    keep = [prose.strip(), prose * 20 + "It ends.", "She read the catalog in bed.", hindi, arabic]
+    drop = ["Licensed under the MIT License.", "Copyright 2020 Acme. All rights reserved.", "Please sign up or log in.", "Cookies and privacy policy."]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(keep + drop)], "k int, line string")
+    assert [r.f for r in frame.select("k", quality.line_fails(F.col("line")).alias("f")).orderBy("k").collect()] == [False] * len(keep) + [True] * len(drop)
+    one = quality.judge(spark.createDataFrame([(1, prose.strip())], "doc_id long, text string")).first()
+    assert one.kept and one.clean_text == prose.strip()

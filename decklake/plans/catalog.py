@@ -577,3 +577,43 @@ def padded_batch(spark, sf):
     out = features.padded(_features(spark, sf).select("doc_id", "batch", "ids"), "batch")
     ones = F.size(F.filter("mask", lambda x: x == 1)).cast("long")
     return out.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), ones.alias("ones"), (F.size("mask") - ones).cast("long").alias("zeros"))
+
+
+#: Fixed value: where the reference's configurations cut (max_seq_length).
+MAX_LEN = 2048
+
+_WORDS = """with w as (select doc_id, string_split(coalesce(text, ''), ' ') as ws from documents), f as (select doc_id, doc_id // 8 as batch, list_transform(ws, lambda w: length(w)::bigint) as ids from w),
+t as (select doc_id, unnest(range(1, len(ids) + 1)) as i, unnest(ids) as n from f),
+g as (select *, coalesce(sum(n + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as start from t)
+"""
+
+
+def _whole_features(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, batch, ids, starts) of whole texts, a batch for each eight ids; starts are a running sum, linear in a text's words."""
+    from pyspark.sql import Window
+
+    d = X.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("k", "w"))
+    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.length("w").cast("long")
+    rows = d.select("doc_id", F.struct("k", n.alias("id"), F.coalesce(F.sum(n + 1).over(before), F.lit(0).cast("long")).alias("start")).alias("t"))
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return rows.select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), F.col("t.id").alias("ids"), F.col("t.start").alias("starts"))
+
+
+@query(_WORDS + "select doc_id, string_agg(case when start >= 60 then n else -100 end, ' ' order by i) as labels from g group by 1")
+def label_mask_whole(spark, sf):
+    labels = features.label_mask(F.col("ids"), F.col("starts"), F.lit(60))
+    return _whole_features(spark, sf).select("doc_id", F.array_join(F.transform(labels, lambda x: x.cast("string")), " ").alias("labels"))
+
+
+@query(_WORDS + ", b as (select *, max(len(ids)) over (partition by batch) as l from f) select doc_id, array_to_string(list_concat(ids, list_transform(range(l - len(ids)), lambda i: 0)), ' ') as ids, len(ids) as ones, l - len(ids) as zeros from b")
+def padded_batch_whole(spark, sf):
+    out = features.padded(_whole_features(spark, sf).select("doc_id", "batch", "ids"), "batch")
+    ones = F.size(F.filter("mask", lambda x: x == 1)).cast("long")
+    return out.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"), ones.alias("ones"), (F.size("mask") - ones).cast("long").alias("zeros"))
+
+
+@query(_WORDS + "select doc_id, array_to_string(ids[1:2048], ' ') as ids from f")
+def truncated_ids(spark, sf):
+    ids = features.truncated(F.col("ids"), MAX_LEN)
+    return _whole_features(spark, sf).select("doc_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("ids"))

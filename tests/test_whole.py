@@ -42,3 +42,17 @@ def test_pairs_of_all_decks(spark, few):
     rows = catalog.QUERIES["pair_bias_all_decks"](spark, few).collect()
     assert len(rows) == len(want) and {(r.ex, r.i, r.j, r.d, round(r.bias, 9)) for r in rows} == want
     assert {r.d: r.pairs for r in catalog.QUERIES["distance_counts_all_decks"](spark, few).collect()} == counts
+
+
+def test_features_of_whole_texts(spark, tmp_path):
+    texts = {1: "ab " * 30 + "cde  f", 2: "x", 3: " ".join("w" * (k % 9) for k in range(20000)), 9: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {k: [len(w) for w in t.split(" ")] for k, t in texts.items()}
+    labels = {r.doc_id: r.labels for r in catalog.QUERIES["label_mask_whole"](spark, str(tmp_path)).collect()}
+    assert labels == {k: " ".join(str(n if sum(v[:i]) + i >= 60 else -100) for i, n in enumerate(v[:70])) if len(v) < 70 else labels[k] for k, v in ids.items()}
+    assert labels[3].split(" ")[100:] == [str(n) for n in ids[3][100:]]
+    rows = {r.doc_id: (r.ids, r.ones, r.zeros) for r in catalog.QUERIES["padded_batch_whole"](spark, str(tmp_path)).collect()}
+    wide = {1: 20000, 2: 20000, 3: 20000, 9: 1}
+    assert rows == {k: (" ".join(map(str, v + [0] * (wide[k] - len(v)))), len(v), wide[k] - len(v)) for k, v in ids.items()}
+    cut = {r.doc_id: r.ids for r in catalog.QUERIES["truncated_ids"](spark, str(tmp_path)).collect()}
+    assert cut == {k: " ".join(map(str, v[:2048])) for k, v in ids.items()}

@@ -160,6 +160,21 @@ def output_order(spark, sf):
     return rows.where("split = 'val'").join(rank, "sig").select("seq", "split", "sig_rank")
 
 
+@query(_DECKS + """, f as (select parts.*, min(seq) over (partition by sig) as first, ('0x' || substr(sha1(sig), 1, 8))::bigint as sh from parts)
+select split, dense_rank() over (partition by split order by case when split = 'test_b' then sh else first end, case when split = 'test_b' then sig end) as sig_rank, seq from f""")
+def output_order_all_splits(spark, sf):
+    """The place of every row in its split's file: test_b by hash and signature, the others by first appearance, then seq. Ranks are of signatures, not rows."""
+    from pyspark.sql import Window
+
+    rows = _split(spark, sf).persist()
+    first = rows.groupBy("sig").agg(F.min("seq").alias("first"))
+    is_b = F.col("split") == "test_b"
+    used = rows.select("split", "sig").distinct().join(first, "sig")
+    keyed = used.select("split", "sig", F.when(is_b, T.hash32("sig")).otherwise(F.col("first")).alias("a"), F.when(is_b, F.col("sig")).alias("b"))
+    ranks = keyed.select("split", "sig", F.dense_rank().over(Window.partitionBy("split").orderBy("a", "b")).alias("sig_rank"))
+    return rows.join(ranks, ["split", "sig"]).select("split", "sig_rank", "seq")
+
+
 # ---- tail metrics ----
 
 

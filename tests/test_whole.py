@@ -1,5 +1,6 @@
 """Queries over whole tables: no subset of ids, no prefix of a text."""
 
+import hashlib
 import re
 
 import pytest
@@ -56,3 +57,16 @@ def test_features_of_whole_texts(spark, tmp_path):
     assert rows == {k: (" ".join(map(str, v + [0] * (wide[k] - len(v)))), len(v), wide[k] - len(v)) for k, v in ids.items()}
     cut = {r.doc_id: r.ids for r in catalog.QUERIES["truncated_ids"](spark, str(tmp_path)).collect()}
     assert cut == {k: " ".join(map(str, v[:2048])) for k, v in ids.items()}
+
+
+def test_all_splits_are_ordered(spark, sf):
+    rows = catalog._split(spark, sf).collect()
+    first, want = {}, set()
+    for r in sorted(rows, key=lambda r: r.seq):
+        first.setdefault(r.sig, r.seq)
+    for split in ("train", "val", "test_a", "test_b"):
+        key = lambda s: (hashlib.sha1(s.encode()).hexdigest()[:8], s) if split == "test_b" else first[s]  # noqa: B023, E731
+        rank = {s: k for k, s in enumerate(sorted({r.sig for r in rows if r.split == split}, key=key), 1)}
+        want |= {(split, rank[r.sig], r.seq) for r in rows if r.split == split}
+    got = catalog.QUERIES["output_order_all_splits"](spark, sf).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want and {r.split for r in got} == {"train", "val", "test_a", "test_b"}

@@ -2,18 +2,24 @@
 
 Rounds of locally consistent parsing rename each text: maximal runs of a symbol become one symbol, then adjacent pairs
 whose halves fall into the left and right part of the alphabet do. Names are hashes of what they stand for, so they are
-global without a dictionary, and a round moves no rows. Each symbol carries its context, the words that decide it:
-wherever those words stand, the symbol stands there too. A WINDOW of words is revealed by the highest symbol (of those
-the one with the least hash) whose context lies inside it, or by itself if none does; equal windows are always
-revealed by equal symbols in equal contexts.
+global without a dictionary: equal substrings get equal interior symbols wherever they stand. A low symbol (of the first
+LOW rounds) carries its context, the words that decide it; where those words stand, the symbol stands there too. A WINDOW
+of words is revealed by one low symbol whose context lies inside it (the one with the least hash), or by itself. Renaming
+goes on until a text is one symbol; a high symbol stands for HIGH words or more.
 
-1. Symbols that reveal a window are dealt by hash range; those that documents of two ids or more have are shared.
-2. Texts meet their shared symbols. Windows that a shared symbol reveals are dealt by hash range and verified there:
-   the least id that has a window keeps it, all others lose the words it covers.
-3. Texts that lose words meet their windows, and what is left is joined.
+1. First Spark round: each partition asks about its low symbols (is it in another text?) and its high symbols (which is
+   the least id that has it?). A window that no shared symbol reveals is in one text only. A shared high symbol, which is
+   told from others by its name and by a second hash of all its words, settles every window inside it at once in all
+   texts but that with the least id.
+2. Second Spark round: windows that shared symbols reveal and no high symbol has settled are asked about, by two
+   independent 64-bit hashes of their words; again the least id is answered.
+3. Words that settled or answered windows cover go, if the least id is smaller than the text's own; the rest is joined.
 
-Rows: each step deals rows by hash, so no document, id or passage gathers in a task beyond its own text; a task of a
-hash range holds 24 bytes a symbol or window. Equality of windows is equality of 64-bit hashes.
+Exact: the text with the least id that has a window asks about it itself, for a high symbol around it can only be answered
+with that same id. Equality of windows is equality of 128 bits of hashes of their words.
+
+Rows: questions and answers are packed (see exchange.py), so a passage in a third of all texts costs one entry a
+partition. A task holds its partition's answers, or the questions of its hash range, about 16 to 24 bytes a symbol or window.
 
 Edge cases: null texts are empty; a null id comes after all others and gives way to them only; rows with the same id
 and text get the same result each; rows with one id and different texts do not count as each other's source; texts
@@ -30,27 +36,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import exchange as X
 from .common import shuffle_partitions, text_of
 from .shingles import WordHashes, mixed, windows
 
 #: Fixed value: words in a window.
 WINDOW = 13
-ROUNDS = 2
+#: Rounds whose symbols reveal windows; words that a high symbol stands for at least; rounds at most (each leaves about 3/4 of the symbols).
+LOW, HIGH, ROUNDS = 2, 4 * WINDOW, 64
 LAST = 2**63 - 1  # stands for a null id
 FAR = 1 << 40
+BATCH = 256
 _A, _B, _C = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _C_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_NAMES = ["kind", "part", "row", "id", "text", "blob", "extra", "n"]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int32()]
-_SCHEMA = "kind int, part int, row long, id long, text string, blob binary, extra binary, n int"
-HASHES, MARKS, TEXT, FINAL = range(4)
 
 
-def rounds(hashes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each round the symbols with the begin and end of their contexts, in words of all texts put together.
+def _runs(sym: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols with each maximal run as one, where the runs begin)."""
+    first = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
+    run = sym[first]
+    if len(first) < len(sym):
+        length = np.diff(np.append(first, len(sym)))
+        many = np.flatnonzero(length > 1)
+        run[many] = mixed(run[many] * _A + length[many].astype(np.uint64) * _B + salt) | np.uint64(1)
+    return run, first
+
+
+def _pairs(sym: np.ndarray, real: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right: which symbols are in that part of the alphabet, pair: which are the left half of a pair); no barrier is."""
+    right = (mixed(sym + salt) & np.uint64(2)) > 0
+    left = ~right & real
+    right &= real
+    return left, right, np.append(left[:-1] & right[1:], False)
+
+
+def rounds(hashes: np.ndarray, starts: np.ndarray, high: int = HIGH) -> tuple[list[tuple], list[tuple]]:
+    """(low, high): of each of the first LOW rounds the symbols with the begin and end of their contexts; of each round
+    the new symbols that stand for `high` words or more with their begin and end. Places are words of all texts put together.
 
     Between texts stands a barrier without words that equals nothing and whose context has no end."""
-    n_texts = len(starts) - 1
+    n_texts, n_full = len(starts) - 1, int((np.diff(starts) > 0).sum())
     barrier = starts + np.arange(n_texts + 1)
     sym = np.zeros(len(hashes) + n_texts + 1, np.uint64)
     real = np.ones(len(sym), bool)
@@ -59,55 +84,69 @@ def rounds(hashes: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.
     begin, end = np.full(len(sym), -FAR), np.full(len(sym), FAR)
     begin[real] = np.arange(len(hashes))
     end[real] = begin[real] + 1
+    at = np.append(np.cumsum(real) - real, len(hashes))  # where each symbol's words begin; they end where the next one's do
     sym[barrier] = np.arange(len(barrier)).astype(np.uint64) * np.uint64(2)
-    out = []
+    low, tall = [], []
     for k in range(ROUNDS):
         salt = np.uint64((k + 1) * 0xC2B2AE3D27D4EB4F % 2**64)
-        # runs
-        first = np.flatnonzero(np.append(True, sym[1:] != sym[:-1]))
-        length = np.diff(np.append(first, len(sym)))
-        run = sym[first]
-        run = np.where(length > 1, mixed(run * _A + length.astype(np.uint64) * _B + salt) | np.uint64(1), run)
-        b, e, real = np.minimum.reduceat(begin, first), np.maximum.reduceat(end, first), real[first]
-        # that a run ends is decided by the one symbol next to it, not by the run which that belongs to
-        b[1:] = np.minimum(b[1:], begin[first[1:] - 1])
-        e[:-1] = np.maximum(e[:-1], end[first[1:]])
-        begin, end = b, e
-        sym = run
-        # pairs
-        right = (mixed(sym + salt) & np.uint64(2)) > 0
-        left = ~right & real
-        right &= real
-        pair = np.append(left[:-1] & right[1:], False)
+        run, first = _runs(sym, salt)
+        made = np.append(first[1:], len(sym)) - first > 1
+        if k < LOW:
+            b, e = np.minimum.reduceat(begin, first), np.maximum.reduceat(end, first)
+            # that a run ends is decided by the one symbol next to it, not by the run which that belongs to
+            b[1:] = np.minimum(b[1:], begin[first[1:] - 1])
+            e[:-1] = np.maximum(e[:-1], end[first[1:]])
+            begin, end = b, e
+        sym, real, at = run, real[first], np.append(at[first], at[-1])
+        left, right, pair = _pairs(sym, real, salt)
         second = np.append(False, pair[:-1])
-        alone_left, alone_right = left & ~pair, right & ~second
-        after, before = np.append(end[1:], FAR), np.append(-FAR, begin[:-1])
-        end2 = np.where(alone_left, np.maximum(end, after), end)
-        begin2 = np.where(alone_right, np.minimum(begin, before), begin)
-        at = np.flatnonzero(pair)
-        end2[at] = np.maximum(end[at], end[at + 1])
-        begin2[at] = np.minimum(begin[at], begin[at + 1])
-        sym2 = sym.copy()
-        sym2[at] = mixed(sym[at] * _B + sym[at + 1] * _C + salt) | np.uint64(1)
+        halves = np.flatnonzero(pair)
+        if k < LOW:
+            alone_left, alone_right = left & ~pair, right & ~second
+            after, prior = np.append(end[1:], FAR), np.append(-FAR, begin[:-1])
+            end2 = np.where(alone_left, np.maximum(end, after), end)
+            begin2 = np.where(alone_right, np.minimum(begin, prior), begin)
+            end2[halves] = np.maximum(end[halves], end[halves + 1])
+            begin2[halves] = np.minimum(begin[halves], begin[halves + 1])
+        sym = sym.copy()
+        sym[halves] = mixed(sym[halves] * _B + sym[halves + 1] * _C + salt) | np.uint64(1)
+        made |= pair
         keep = ~second
-        sym, begin, end, real = sym2[keep], begin2[keep], end2[keep], real[keep]
-        out.append((sym[real], begin[real], end[real]))
-    return out
+        sym, real, made, at = sym[keep], real[keep], made[keep], np.append(at[:-1][keep], at[-1])
+        if k < LOW:
+            begin, end = begin2[keep], end2[keep]
+            low.append((sym[real], begin[real], end[real]))
+        tall_ = made & real & (at[1:] - at[:-1] >= high)
+        if tall_.any():
+            tall.append((sym[tall_], at[:-1][tall_], at[1:][tall_]))
+        if k >= LOW - 1 and int(real.sum()) == n_full:
+            break
+    return low, tall
+
+
+class Sums:
+    """Second hashes of any stretch of words, by differences of running sums."""
 
+    def __init__(self, hashes: np.ndarray):
+        power, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), m, np.uint64))) for m in (_C, _C_INVERSE))
+        self.sums = np.append(np.uint64(0), np.cumsum(mixed(hashes + _A) * power[:-1]))
 
-def revealed(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, what reveals it, hash) of each window of each text.
+    def __call__(self, b: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[e] - self.sums[b]) * self.inverse[b] + (e - b).astype(np.uint64))
+
+
+def revealed(hashes: np.ndarray, starts: np.ndarray, low: list[tuple] | None = None, sums: Sums | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, what reveals it) of each window of each text.
 
     A symbol is told from others by all words of its context, which are more than it stands for: fewer are shared by chance."""
-    own = windows(hashes, WINDOW)
+    low = rounds(hashes, starts)[0] if low is None else low
+    sums = sums or Sums(hashes)
     none = np.uint64(2**64 - 1)
     best = np.full(len(hashes) + 1, none)
-    power, inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), m, np.uint64))) for m in (_C, _C_INVERSE))
-    sums = np.append(np.uint64(0), np.cumsum(hashes * power[:-1]))
-    for level, (_, begin, end) in enumerate(rounds(hashes, starts), 1):
+    for level, (_, begin, end) in enumerate(low, 1):
         fits = end - begin <= WINDOW
         b, e = begin[fits], end[fits]
-        h = (mixed((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64)) >> np.uint64(4)) | np.uint64((7 - level) << 60)
+        h = (sums(b, e) >> np.uint64(4)) | np.uint64((7 - level) << 60)
         for back in range(WINDOW):
             i = b - back
             ok = (i >= 0) & (i + WINDOW >= e)
@@ -116,215 +155,150 @@ def revealed(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     at = np.arange(counts.sum()) + np.repeat(starts[:-1] - np.append(0, np.cumsum(counts)[:-1]), counts)
     key = best[at]
     alone = key == none
-    key[alone] = own[at[alone]] >> np.uint64(4) | np.uint64(7 << 60)
-    return at, mixed(key), own[at]
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, the like high bytes together: they compress in the shuffle."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def _unplaned(b: bytes, kind: type = np.uint64) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
-
-
-def _by_range(hashes: np.ndarray, owner: np.ndarray, places: np.ndarray | None, ids: np.ndarray, rows: np.ndarray, parts: int) -> list[tuple]:
-    """A row for each hash range: the hashes in order, and whose they are (and where)."""
-    order = np.argsort(hashes)
-    hashes, owner = hashes[order], owner[order]
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-    cuts, out = np.flatnonzero(np.diff(part, prepend=-1)), []
-    for a, b in zip(cuts, [*cuts[1:], len(hashes)], strict=True):
-        used, local = np.unique(owner[a:b], return_inverse=True)
-        extra = _planes(ids[used]) + rows[used].tobytes() + local.astype(np.uint8).tobytes()
-        if places is not None:
-            extra += _planes(places[order[a:b]].astype(np.uint32))
-        out.append((HASHES, int(part[a]), None, None, None, _planes(hashes[a:b]), extra, len(used)))
-    return out
-
-
-def _revealing(parts: int):
-    """(row, id, text) to the distinct revealing symbols of each text, by hash range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes(lower=False)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                hashes, starts = words([words.words(t) for t in batch.column("text").to_pylist()])
-                first, key, _ = revealed(hashes, starts)
-                if not len(key):
-                    continue
-                owner = np.searchsorted(starts, first, "right") - 1
-                order = np.lexsort((key, owner))
-                key, owner = key[order], owner[order]
-                new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))
-                yield _batch(_by_range(key[new], owner[new], None, batch.column("id").to_numpy(), batch.column("row").to_numpy(), parts))
-
-    return run
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], placed: bool):
-    """All hashes of a range with ids, rows (and places), in order of the hash; rows of other kinds are handed on as they come."""
-    h, ids, rows, places = [], [], [], []
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        if (kind != HASHES).any():
-            yield batch.filter(pa.array(kind != HASHES))
-        for x in batch.filter(pa.array(kind == HASHES)).select(["blob", "extra", "n"]).to_pylist():
-            n, extra, own = x["n"], x["extra"], _unplaned(x["blob"])
-            local = np.frombuffer(extra, np.uint8, len(own), 16 * n)
-            h.append(own)
-            ids.append(_unplaned(extra[: 8 * n], np.int64)[local])
-            rows.append(np.frombuffer(extra, np.int64, n, 8 * n)[local])
-            if placed:
-                places.append(_unplaned(extra[16 * n + len(own) :], np.uint32))
-    if h:
-        h, ids, rows = np.concatenate(h), np.concatenate(ids), np.concatenate(rows)
-        order = np.argsort(h, kind="stable")
-        yield h[order], ids[order], rows[order], np.concatenate(places)[order] if placed else None
-
-
-def _marked(parts: int, placed: bool):
-    """Of a hash range: for each row its symbols that two ids or more have; or (placed) where its windows are that a smaller id has."""
-
+    key[alone] = sums(at[alone], at[alone] + WINDOW) >> np.uint64(4) | np.uint64(7 << 60)
+    return at, mixed(key)
+
+
+def _twice(values: list[np.ndarray], begins: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return [np.maximum(np.maximum.reduceat(values[0], begins), (sizes > 1).astype(np.uint8)), *(v[begins] for v in values[1:])]
+
+
+#: Is a low symbol in two texts? Which is the least id of a high symbol, of a window (a number below it is answered only)?
+SEEN = X.Question(1, [np.uint64, np.uint8], 1, _twice, lambda values, n: values[0] > 0)
+TALL = X.Question(2, [np.uint64, np.uint64, np.int64, np.int64], 2, lambda v, b, s: [np.minimum.reduceat(v[0], b), np.maximum.reduceat(v[1], b), *(x[b] for x in v[2:])], lambda values, n: values[0] < values[1])
+CELL = X.Question(3, TALL.kinds, 2, TALL.combine, TALL.wanted)
+
+
+class Parsed:
+    """A list of texts, hashed and renamed."""
+
+    def __init__(self, words: WordHashes, texts: list[X.Text]):
+        self.texts, self.words = texts, [t.raw.split() for t in texts]
+        self.hashes, self.starts = words(self.words)
+        self.sums = Sums(self.hashes)
+        low, tall = rounds(self.hashes, self.starts)
+        self.at, self.key = revealed(self.hashes, self.starts, low, self.sums)
+        self.owner = self._owner(self.at)
+        self.ids = np.array([t.id for t in texts], np.int64)
+        name, begin, end = (np.concatenate([x[k] for x in tall]) if tall else np.zeros(0, np.uint64 if k == 0 else np.int64) for k in range(3))
+        self.tall = name, self.sums(begin, end), begin, end
+
+    def _owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def asked(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The questions of the first round: each text names a low symbol once."""
+        order = np.lexsort((self.key, self.owner))
+        key, owner = self.key[order], self.owner[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]))[: len(key)]
+        times = np.array([t.times > 1 for t in self.texts], np.uint8)
+        name, words, begin, _ = self.tall
+        ids = self.ids[self._owner(begin)]
+        return [key[new], times[owner[new]]], [name, words, ids, ids]
+
+    def settled(self, told: X.Answers) -> tuple[np.ndarray, np.ndarray]:
+        """(word places as a boolean that high symbols of smaller ids cover, windows as a boolean that are still to be asked about)."""
+        name, words, begin, end = self.tall
+        table = told.table(TALL.kind)
+        found, place = X.among(name, table, words)
+        smaller = found.copy()
+        smaller[found] = table[2][place[found]] < self.ids[self._owner(begin[found])]
+        covered = np.zeros(len(self.hashes) + 1, np.int64)
+        np.add.at(covered, begin[smaller], 1)
+        np.add.at(covered, end[smaller], -1)
+        gone = np.cumsum(covered)[:-1] > 0
+        # a window is inside a high symbol if one begins at or before it and ends at or after its end
+        reach = np.zeros(len(self.hashes) + 1, np.int64)
+        np.maximum.at(reach, begin[smaller], end[smaller])
+        reach = np.maximum.accumulate(reach)
+        seen, _ = X.among(self.key, told.table(SEEN.kind))
+        return gone, seen & (reach[self.at] < self.at + WINDOW)
+
+    def cells(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(two hashes, first word, id) of windows."""
+        at = self.at[which]
+        own = windows(self.hashes, WINDOW)
+        return own[at], self.sums(at, at + WINDOW), at, self.ids[self.owner[which]]
+
+
+def _first_round(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for got in _gathered(batches, placed):
-            if isinstance(got, pa.RecordBatch):
-                yield got
-                continue
-            h, ids, rows, places = got
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            size = np.diff(np.append(first, len(h)))
-            least = np.minimum.reduceat(ids, first)
-            hit = ids > np.repeat(least, size) if placed else np.repeat(least < np.maximum.reduceat(ids, first), size)
-            value, rows = (places if placed else h)[hit], rows[hit]
-            order = np.argsort(rows, kind="stable")
-            value, rows = value[order], rows[order]
-            cuts, out = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else [], []
-            for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
-                row = int(rows[a])
-                out.append((MARKS, row % parts, row, None, None, value[a:b].tobytes(), None, b - a))
-                if len(out) == 5000:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+        words, seen, tall = WordHashes(lower=False), X.Asker(parts, SEEN), X.Asker(parts, TALL)
+        for texts in X.read(batches, BATCH):
+            low, high = Parsed(words, texts).asked()
+            yield from seen.add(texts[0].part, low)
+            yield from tall.add(texts[0].part, high)
+        yield from seen.flush()
+        yield from tall.flush()
 
     return run
 
 
-def _final(row: int, id: int, n: int, kept: list[bytes], with_text: bool) -> tuple:
-    text = b" ".join(kept)
-    return (FINAL, row % 2**31, row, id, text.decode("utf-8", "surrogatepass") if with_text else None, hashlib.sha256(text).hexdigest().encode(), n.to_bytes(8, "little"), n - len(kept))
-
-
-def _packed(parts: int):
-    """(row, id, text) to text rows, compressed: they are shuffled up to three times."""
+def _second_round(parts: int):
+    """Texts with the answers of the first round to questions about windows, and to the words that are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                rows = []
-                for x in whole.slice(at, 1000).to_pylist():
-                    raw = x["text"].encode("utf-8", "surrogatepass")
-                    rows.append((TEXT, x["row"] % parts, x["row"], x["id"], None, pa.compress(raw, "zstd", asbytes=True), None, len(raw)))
-                yield _batch(rows)
+        words, told, cell = WordHashes(lower=False), X.Answers({SEEN.kind: SEEN.kinds, TALL.kind: TALL.kinds}), X.Asker(parts, CELL)
+        for texts in X.read(batches, BATCH, told):
+            p = Parsed(words, texts)
+            gone, open_ = p.settled(told)
+            own, second, _, ids = p.cells(open_)
+            yield from cell.add(texts[0].part, [own, second, ids, ids])
+            yield from X.notes(texts, _bits_of(texts, p.starts, gone, open_, p.at))
+        yield from cell.flush()
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Rows in order of (row, kind) to (row, id, text row, words, marks of that row); finished rows as batches."""
-    row, marks = None, b""
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        if (kind == FINAL).any():
-            yield batch.filter(pa.array(kind == FINAL))
-        for x in batch.filter(pa.array(kind != FINAL)).select(["kind", "row", "id", "blob", "n"]).to_pylist():
-            if x["row"] != row:
-                row, marks = x["row"], b""
-            if x["kind"] == MARKS:
-                marks += x["blob"]
-            else:
-                words = pa.decompress(x["blob"], x["n"], "zstd", asbytes=True).split() if x["n"] else []
-                yield x["row"], x["id"], x, words, marks
-
-
-def _candidates(parts: int, with_text: bool):
-    """Texts with their shared symbols to the windows that these reveal, by hash range; texts without any are finished."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes(lower=False)
-        done: list[tuple] = []
-        held: list[tuple] = []
-
-        def flush() -> list[tuple]:
-            hashes, starts = words([w for _, _, _, w, _ in held])
-            first, key, own = revealed(hashes, starts)
-            owner = np.searchsorted(starts, first, "right") - 1
-            bounds = np.searchsorted(owner, np.arange(len(held) + 1))
-            hit = np.zeros(len(key), bool)
-            for k, x in enumerate(held):
-                a, b = bounds[k], bounds[k + 1]
-                hit[a:b] = np.isin(key[a:b], np.frombuffer(x[4], np.uint64))
-            first, owner, own = first[hit], owner[hit], own[hit]
-            ids, rows = np.array([x[1] for x in held]), np.array([x[0] for x in held])
-            out = [(TEXT, x[0] % parts, x[0], x[1], None, x[2]["blob"], None, x[2]["n"]) for x in held]
-            return out + (_by_range(own, owner, first - starts[owner], ids, rows, parts) if len(own) else [])
-
-        for got in _met(batches):
-            row, id, text, w, marks = got
-            if not marks:
-                done.append(_final(row, id, len(w), w, with_text))
-            else:
-                held.append((row, id, text, w, marks))
-            if len(held) == 256:
-                yield _batch(flush())
-                held.clear()
-            if len(done) == 2000:
-                yield _batch([(x[0], x[1] % parts, *x[2:]) for x in done])
-                done.clear()
-        if held:
-            yield _batch(flush())
-        if done:
-            yield _batch([(x[0], x[1] % parts, *x[2:]) for x in done])
-
-    return run
+def _bits_of(texts: list[X.Text], starts: np.ndarray, gone: np.ndarray, open_: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """Of each text the words that are settled and those that begin a window asked about, a bit each; None if there are neither."""
+    asked = np.zeros(len(gone) + 1, bool)
+    asked[at[open_]] = True
+    out: list[bytes | None] = []
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        some = gone[a:b].any() or asked[a:b].any()
+        out.append(np.packbits(gone[a:b]).tobytes() + np.packbits(asked[a:b]).tobytes() if some else None)
+    return out
 
 
 def _cut(with_text: bool):
-    """Texts with the places of their lost windows to finished rows."""
+    """Texts with notes and the answers of the second round to results."""
     names = ["id", "n_words", "n_removed", "kept_sha256", "kept_text"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        plain = [(None if x[3] == LAST else x[3], int.from_bytes(x[6], "little"), x[7], x[5].decode(), x[4]) for x in rows]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*plain, strict=True), types, strict=True)], names=names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for got in _met(batches):
-            if isinstance(got, pa.RecordBatch):
-                yield out([tuple(x.values()) for x in got.to_pylist()])
-                continue
-            row, id, _, w, marks = got
-            lost = np.zeros(len(w) + 1, np.int64)
-            at = np.frombuffer(marks, np.uint32).astype(np.int64)
-            np.add.at(lost, at, 1)
-            np.add.at(lost, at + WINDOW, -1)
-            gone = np.cumsum(lost)[:-1] > 0
-            rows.append(_final(row, id, len(w), [x for x, g in zip(w, gone.tolist(), strict=True) if not g], with_text))
-            if len(rows) == 1000:
-                yield out(rows)
-                rows = []
-        if rows:
-            yield out(rows)
+        words, told = WordHashes(lower=False), X.Answers({CELL.kind: CELL.kinds})
+        for texts in X.read(batches, BATCH, told):
+            table = told.table(CELL.kind)
+            split = [t.raw.split() for t in texts]
+            marked = [(k, told.note(t)) for k, t in enumerate(texts)]
+            marked = [(k, bits) for k, bits in marked if bits is not None]
+            gone: dict[int, np.ndarray] = {}
+            if marked:
+                hashes, starts = words([split[k] for k, _ in marked])
+                sums, own = Sums(hashes), windows(hashes, WINDOW)
+                lost = np.zeros(len(hashes) + 1, np.int64)
+                asked = np.zeros(len(hashes), bool)
+                for (k, bits), a, b in zip(marked, starts[:-1], starts[1:], strict=True):
+                    bit = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(2, -1), axis=1, count=b - a).astype(bool)
+                    asked[a:b] = bit[1]
+                    gone[k] = bit[0]
+                at = np.flatnonzero(asked)
+                ids = np.repeat([texts[k].id for k, _ in marked], np.diff(starts))[at]
+                found, place = X.among(own[at], table, sums(at, at + WINDOW))
+                found[found] = table[2][place[found]] < ids[found]
+                np.add.at(lost, at[found], 1)
+                np.add.at(lost, at[found] + WINDOW, -1)
+                covered = np.cumsum(lost)[:-1] > 0
+                for (k, _), a, b in zip(marked, starts[:-1], starts[1:], strict=True):
+                    gone[k] |= covered[a:b]
+            rows = []
+            for k, (t, w) in enumerate(zip(texts, split, strict=True)):
+                kept = [x for x, g in zip(w, gone[k].tolist(), strict=True) if not g] if k in gone else w
+                text = b" ".join(kept)
+                row = (None if t.id == LAST else t.id, len(w), len(w) - len(kept), hashlib.sha256(text).hexdigest(), text.decode("utf-8", "surrogatepass") if with_text else None)
+                rows += [row] * t.times
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return run
 
@@ -332,12 +306,11 @@ def _cut(with_text: bool):
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept_text) of each row; id must be a whole number. kept_text is null without with_text."""
     parts = shuffle_partitions(docs.sparkSession)
-    body = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"), text_of(text).alias("text")).withColumn("row", F.xxhash64("id", "text"))
-    dealt = lambda df: df.repartitionById(parts, F.col("part"))
-    shared = dealt(body.mapInArrow(_revealing(parts), _SCHEMA)).mapInArrow(_marked(parts, False), _SCHEMA)
-    texts = body.mapInArrow(_packed(parts), _SCHEMA)
-    met = dealt(shared.unionByName(texts)).sortWithinPartitions("row", "kind")
-    checked = dealt(met.mapInArrow(_candidates(parts, with_text), _SCHEMA)).mapInArrow(_marked(parts, True), _SCHEMA)
-    last = dealt(checked).sortWithinPartitions("row", "kind")
-    out = last.mapInArrow(_cut(with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    body = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(LAST)).alias("id"), text_of(text).alias("text"))
+    body = body.select(F.xxhash64("id", "text").alias("row"), "id", F.lit(0).alias("flag"), "text")
+    texts = body.mapInArrow(X.packed(parts), X.SCHEMA)
+    first = X.dealt(X.dealt(texts, parts).mapInArrow(_first_round(parts), X.SCHEMA), parts).mapInArrow(X.answering([SEEN, TALL]), X.SCHEMA)
+    asked = X.dealt(texts, parts, first).mapInArrow(_second_round(parts), X.SCHEMA)
+    second = X.dealt(asked, parts).mapInArrow(X.answering([CELL]), X.SCHEMA)
+    out = X.dealt(texts, parts, second).mapInArrow(_cut(with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumnRenamed("id", id)

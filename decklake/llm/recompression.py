@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .common import shuffle_partitions, text_of
-from .shingles import WordHashes, mixed, windows
+from .shingles import mixed, windows, word_hashes
 
 #: Fixed value: words in a window.
 WINDOW = 13
@@ -163,18 +163,25 @@ def _twice(values: list[np.ndarray], begins: np.ndarray, sizes: np.ndarray) -> l
     return [np.maximum(np.maximum.reduceat(values[0], begins), (sizes > 1).astype(np.uint8)), *(v[begins] for v in values[1:])]
 
 
-#: Is a low symbol in two texts? Which is the least id of a high symbol, of a window (a number below it is answered only)?
+def _least(values: list[np.ndarray], begins: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    low = np.minimum.reduceat(values[0], begins)
+    many = np.maximum.reduceat(values[1], begins) | (low != np.maximum.reduceat(values[0], begins))
+    return [low, many, *(v[begins] for v in values[2:])]
+
+
+#: Is a low symbol in two texts?
 SEEN = X.Question(1, [np.uint64, np.uint8], 1, _twice, lambda values, n: values[0] > 0)
-TALL = X.Question(2, [np.uint64, np.uint64, np.int64, np.int64], 2, lambda v, b, s: [np.minimum.reduceat(v[0], b), np.maximum.reduceat(v[1], b), *(x[b] for x in v[2:])], lambda values, n: values[0] < values[1])
-CELL = X.Question(3, TALL.kinds, 2, TALL.combine, TALL.wanted)
+#: Which is the least id of a high symbol, of a window? Answered where two ids have it.
+TALL = X.Question(2, [np.uint64, np.uint64, np.int64, np.uint8], 2, _least, lambda values, n: values[1] > 0)
+CELL = X.Question(3, TALL.kinds, 2, _least, TALL.wanted)
 
 
 class Parsed:
     """A list of texts, hashed and renamed."""
 
-    def __init__(self, words: WordHashes, texts: list[X.Text]):
-        self.texts, self.words = texts, [t.raw.split() for t in texts]
-        self.hashes, self.starts = words(self.words)
+    def __init__(self, texts: list[X.Text]):
+        self.texts = texts
+        self.hashes, self.starts = word_hashes([t.raw for t in texts])
         self.sums = Sums(self.hashes)
         low, tall = rounds(self.hashes, self.starts)
         self.at, self.key = revealed(self.hashes, self.starts, low, self.sums)
@@ -194,7 +201,7 @@ class Parsed:
         times = np.array([t.times > 1 for t in self.texts], np.uint8)
         name, words, begin, _ = self.tall
         ids = self.ids[self._owner(begin)]
-        return [key[new], times[owner[new]]], [name, words, ids, ids]
+        return [key[new], times[owner[new]]], [name, words, ids, np.zeros(len(ids), np.uint8)]
 
     def settled(self, told: X.Answers) -> tuple[np.ndarray, np.ndarray]:
         """(word places as a boolean that high symbols of smaller ids cover, windows as a boolean that are still to be asked about)."""
@@ -223,9 +230,9 @@ class Parsed:
 
 def _first_round(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, tall = WordHashes(lower=False), X.Asker(parts, SEEN), X.Asker(parts, TALL)
+        seen, tall = X.Asker(parts, SEEN), X.Asker(parts, TALL)
         for texts in X.read(batches, BATCH):
-            low, high = Parsed(words, texts).asked()
+            low, high = Parsed(texts).asked()
             yield from seen.add(texts[0].part, low)
             yield from tall.add(texts[0].part, high)
         yield from seen.flush()
@@ -238,12 +245,12 @@ def _second_round(parts: int):
     """Texts with the answers of the first round to questions about windows, and to the words that are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, told, cell = WordHashes(lower=False), X.Answers({SEEN.kind: SEEN.kinds, TALL.kind: TALL.kinds}), X.Asker(parts, CELL)
+        told, cell = X.Answers({SEEN.kind: SEEN.kinds, TALL.kind: TALL.kinds}), X.Asker(parts, CELL)
         for texts in X.read(batches, BATCH, told):
-            p = Parsed(words, texts)
+            p = Parsed(texts)
             gone, open_ = p.settled(told)
             own, second, _, ids = p.cells(open_)
-            yield from cell.add(texts[0].part, [own, second, ids, ids])
+            yield from cell.add(texts[0].part, [own, second, ids, np.zeros(len(ids), np.uint8)])
             yield from X.notes(texts, _bits_of(texts, p.starts, gone, open_, p.at))
         yield from cell.flush()
 
@@ -267,7 +274,7 @@ def _cut(with_text: bool):
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, told = WordHashes(lower=False), X.Answers({CELL.kind: CELL.kinds})
+        told = X.Answers({CELL.kind: CELL.kinds})
         for texts in X.read(batches, BATCH, told):
             table = told.table(CELL.kind)
             split = [t.raw.split() for t in texts]
@@ -275,7 +282,7 @@ def _cut(with_text: bool):
             marked = [(k, bits) for k, bits in marked if bits is not None]
             gone: dict[int, np.ndarray] = {}
             if marked:
-                hashes, starts = words([split[k] for k, _ in marked])
+                hashes, starts = word_hashes([texts[k].raw for k, _ in marked])
                 sums, own = Sums(hashes), windows(hashes, WINDOW)
                 lost = np.zeros(len(hashes) + 1, np.int64)
                 asked = np.zeros(len(hashes), bool)

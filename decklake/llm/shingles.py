@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 
-#: Entries after which the cache of word hashes starts anew; only a matter of memory.
-CACHE = 200_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -17,31 +13,38 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class WordHashes:
-    """Hashes of the words of texts; bytes.split() cuts at \\x20 and \\x09-\\x0D only."""
-
-    def __init__(self, lower: bool):
-        self.lower, self.cache = lower, {}
-
-    def words(self, text: str) -> list[bytes]:
-        raw = text.encode("utf-8", "surrogatepass")
-        return (raw.lower() if self.lower else raw).split()
-
-    def __call__(self, words: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """All hashes, and where each text's begin (with the end of the last)."""
-        from xxhash import xxh64_intdigest
-
-        flat: list[bytes] = []
-        starts = [0]
-        for w in words:
-            flat += w
-            starts.append(len(flat))
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        for w in set(flat).difference(cache):
-            cache[w] = xxh64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, flat), np.uint64, len(flat)), np.array(starts)
+#: Bytes that separate words: \x20 and \x09-\x0D.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: A 64-bit number for each byte, by a rule.
+_OF_BYTE = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _MUL) * _MUL)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse, kept for the next time if they are not very many."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    both = [np.cumprod(np.append(np.uint64(1), np.full(n + n // 4, m, np.uint64))) for m in (_MUL, _INVERSE)]
+    if n < 1 << 22:
+        _POWERS[:] = both
+    return both[0], both[1]
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of texts, and where each text's begin (with the end of the last).
+
+    A word's hash is a polynomial in its bytes, by differences of running sums over all texts put together."""
+    data = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+    power, inverse = _powers(len(data) + 1)
+    space = _SPACE[data]
+    begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[data] * power[: len(data)], out=sums[1:])
+    hashes = mixed(mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _MIX))
+    texts = np.cumsum([1, *(len(r) + 1 for r in raws)])
+    return hashes, np.searchsorted(begin, texts)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, stored, text_of
 from .components import components
-from .shingles import WordHashes, shingle_sets
+from .shingles import shingle_sets, word_hashes
 
 #: Words in a shingle, and the link's condition 100 * intersection >= PERCENT * union.
 K = 5
@@ -78,12 +78,12 @@ def _dealt(parts: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        hashes, seen = WordHashes(lower=True), set()
+        seen: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 ids = batch.column(0).to_pylist()
-                sets = shingle_sets(*hashes([hashes.words(t) for t in batch.column(1).to_pylist()]), k)
+                sets = shingle_sets(*word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in batch.column(1).to_pylist()]), k)
                 rows, fresh, names, sizes = [], [], [], []
                 for i, s in zip(ids, sets, strict=True):
                     name = xxh64_intdigest(s.tobytes(), 7) >> 1 if len(s) else None
@@ -144,9 +144,11 @@ def _shared(parts: int):
         begins = np.flatnonzero(np.diff(t, prepend=t[:1] + np.uint64(1))) if len(t) else np.zeros(0, np.int64)
         df = np.repeat(np.diff(np.append(begins, len(t))), np.diff(np.append(begins, len(t)))) if len(t) else np.zeros(0, np.int64)
         t, c, df = t[df > 1], c[df > 1], df[df > 1]
+        if not len(c):  # no two classes have a token of this range in common
+            return
         order = np.lexsort((t, c))
         t, c, df = t[order], c[order], df[order].astype(np.uint32)
-        cuts = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else []
+        cuts = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
         rows = []
         for a, b in zip(cuts, [*cuts[1:], len(c)], strict=True):
             name = int(c[a])

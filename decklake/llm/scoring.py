@@ -1,24 +1,24 @@
 """LM scoring: a word unigram base and a causal self-attention model over subword ids.
 
-Base: words are dealt by hash range; the task of a range counts its words over all training documents and sums the
-logs for each document, so no table of words is broadcast or joined. A word's name is its 64-bit hash.
+Base: each partition of texts counts its words over its training documents and asks the words' hash ranges for the counts
+over all of them (see exchange.py): a frequent word, or the end that every text has, is one entry a partition. A word's
+name is its 64-bit hash. With the answers a partition scores its texts by itself.
 
-Model: subword counts over all training documents (at most one row an id reach the driver) give the classes of ids and
-each id's share. The attention model is then trained where the data are: in each of ROUNDS rounds every task starts
-from the same parameters, learns from its training documents of the round, and parameters are averaged by tokens seen,
-in a grouped sum. A document's hash gives its round, so that each training document is learnt from exactly once.
-Windows of WINDOW ids overlap by CONTEXT; each id is scored once. A text is its lower-case words, a space before each.
+Model: subword counts over all training documents (summed on the way, at most one entry an id reaches the driver) give the
+classes of ids and each id's share. The attention model is then trained where the data are: in each of ROUNDS rounds every
+task starts from the same parameters, learns from its training documents of the round, and parameters are averaged by
+tokens seen, in a grouped sum. A document's hash gives its round, so that each training document is learnt from exactly
+once. Windows of WINDOW ids overlap by CONTEXT; each id is scored once. A text is its lower-case words, a space before each.
 
 Edge cases: null texts are empty (one token, the end); a null id counts as the text "" for the split and is trained
 on; repeated rows each count in training and each get a row; texts of any length go through in batches of windows;
-without training documents all counts are 0 and the model is its prior; an empty table gives no rows.
+without training documents all counts are 0 and the model is its prior; an empty table gives no rows. Ids are whole numbers.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as model
+from . import exchange as X
 from .common import shuffle_partitions, stored, text_of
-from .shingles import WordHashes
+from .shingles import word_hashes
 from .subwords import encoder
 
 #: A document is held out if crc32 of its id's text, modulo FOLDS, is OUT.
 FOLDS, OUT = 7, 2
 END = 0  # the end's word hash
 ROUNDS = 2
-HASHES, DOC, IDS, STATS = range(4)
-_NAMES = ["kind", "part", "row", "blob", "extra", "n", "total", "known", "tokens"]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-_SCHEMA = "kind int, part int, row long, blob binary, extra binary, n long, total double, known long, tokens long"
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
+BATCH = 256
+#: How often does a word come in training documents? And a subword id, whose key spreads the ids over the ranges?
+WORD = X.Question(1, [np.uint64, np.int64], 1, X.total)
+ID = X.Question(2, [np.uint64, np.int64], 1, X.total, lambda values, n: np.zeros(len(n), bool))
+STATS = X.NOTE + 1  # rows of a range: words (distinct and all) or ids with their counts
 
 
 class Subwords:
@@ -50,100 +48,65 @@ class Subwords:
     def __init__(self, tokenizer: str):
         self.encoder = encoder(tokenizer)
 
-    def __call__(self, words: list[list[bytes]]) -> list[np.ndarray]:
-        texts = [(b" " + b" ".join(w)).decode("utf-8", "surrogatepass") if w else "" for w in words]
+    def __call__(self, raws: list[bytes]) -> list[np.ndarray]:
+        texts = [b" ".join([b"", *r.split()]).decode("utf-8", "surrogatepass") for r in raws]
         return [np.append(ids, self.encoder.end).astype(np.int64) for ids in self.encoder.encode(texts)]
 
 
+class Words:
+    """The distinct words of a list of texts by hash, and of each text which ones (by place among those), an end last."""
+
+    def __init__(self, raws: list[bytes]):
+        hashes, starts = word_hashes(raws)
+        self.hashes, words = np.unique(np.append(np.uint64(END), hashes), return_inverse=True)
+        self.of = np.insert(words[1:], starts[1:], words[0])
+        self.owner = np.repeat(np.arange(len(raws)), np.diff(starts) + 1)
+
+
+def _spread(n_ids: int) -> np.uint64:
+    return np.uint64(2**64 // (n_ids + 1))
+
+
 def _counted(parts: int, tokenizer: str):
-    """(row, trained, text) to each batch's words by hash range, and the task's count of each subword id."""
+    """Texts to questions about their words and to their counts of subword ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        subwords, split = Subwords(tokenizer), WordHashes(lower=True).words
+        subwords, word, ids, part = Subwords(tokenizer), X.Asker(parts, WORD), X.Asker(parts, ID), 0
         counts = np.zeros(subwords.encoder.size, np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                trained = batch.column("trained").to_numpy(zero_copy_only=False)
-                words = [split(t) for t in batch.column("text").to_pylist()]
-                sizes = np.array([len(w) for w in words])
-                distinct = list(set().union(*words))
-                place = {w: k for k, w in enumerate(distinct)}
-                of = np.fromiter(chain.from_iterable(map(place.__getitem__, w) for w in words), np.int64, sizes.sum())
-                owner = np.repeat(np.arange(len(words)), sizes)
-                learnt = subwords([w for w, t in zip(words, trained, strict=True) if t])
-                if learnt:
-                    counts += np.bincount(np.concatenate(learnt), minlength=len(counts))
-                h = np.fromiter(map(xxh64_intdigest, distinct), np.uint64, len(distinct))
-                # (word, document) pairs with how often, words in order of hash; each document's end goes to the first range
-                rank = np.empty(len(h), np.int64)
-                by_hash = np.argsort(h)
-                rank[by_hash] = np.arange(len(h))
-                pairs, often = np.unique(rank[of] * len(words) + owner, return_counts=True)
-                h = np.append(np.full(len(words), END, np.uint64), h[by_hash][pairs // len(words)])
-                owner = np.append(np.arange(len(words)), pairs % len(words))
-                times = np.append(np.ones(len(words), np.int64), often)
-                part = ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                cuts, rows = np.flatnonzero(np.diff(part, prepend=-1)), []
-                names = batch.column("row").to_numpy()
-                for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True):
-                    used, local = np.unique(owner[a:b], return_inverse=True)
-                    extra = names[used].tobytes() + trained[used].tobytes() + local.astype(np.uint16).tobytes() + times[a:b].astype(np.uint32).tobytes()
-                    rows.append((HASHES, int(part[a]), None, h[a:b].view(np.uint8).reshape(-1, 8).T.tobytes(), extra, len(used), None, None, None))
-                yield _batch(rows)
+        for texts in X.read(batches, BATCH):
+            part, raws = texts[0].part, [t.raw.lower() for t in texts]
+            trained = np.array([t.times * t.flag for t in texts])
+            words = Words(raws)
+            often = np.bincount(words.of, trained[words.owner], len(words.hashes)).astype(np.int64)
+            yield from word.add(part, [words.hashes, often])
+            learnt = [(w, n) for w, n in zip(raws, trained.tolist(), strict=True) if n]
+            if learnt:
+                own = subwords([w for w, _ in learnt])
+                times = np.repeat([n for _, n in learnt], [len(x) for x in own])
+                counts += np.bincount(np.concatenate(own), times, len(counts)).astype(np.int64)
+        yield from word.flush()
         some = np.flatnonzero(counts)
-        if len(some):
-            yield _batch([(IDS, i % parts, i, None, None, n, None, None, None) for i, n in zip(some.tolist(), counts[some].tolist(), strict=True)])
+        yield from ids.add(part, [some.astype(np.uint64) * _spread(len(counts)), counts[some]])
+        yield from ids.flush()
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A hash range to each document's part of the sums, and the range's numbers of tokens and words trained on."""
-    h, rows, trained, times = [], [], [], []
-    for batch in batches:
-        kind = batch.column("kind").to_numpy()
-        if (kind != HASHES).any():
-            yield batch.filter(pa.array(kind != HASHES))
-        for x in batch.filter(pa.array(kind == HASHES)).select(["blob", "extra", "n"]).to_pylist():
-            n, extra = x["n"], x["extra"]
-            own = np.frombuffer(x["blob"], np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-            local = np.frombuffer(extra, np.uint16, len(own), 9 * n)
-            h.append(own)
-            rows.append(np.frombuffer(extra, np.int64, n)[local])
-            trained.append(np.frombuffer(extra, bool, n, 8 * n)[local])
-            times.append(np.frombuffer(extra, np.uint32, len(own), 9 * n + 2 * len(own)))
-    if not h:
-        return
-    h, rows, trained, times = (np.concatenate(x) for x in (h, rows, trained, times))
-    order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
-    c = np.empty(len(h), np.int64)
-    per_word = np.add.reduceat((times * trained).astype(np.int64)[order], first)
-    c[order] = np.repeat(per_word, np.diff(np.append(first, len(h))))
-    del h, order
-    yield _batch([(STATS, 0, 0, None, None, None, None, int((per_word > 0).sum()), int(per_word.sum()))])
-    order = np.argsort(rows, kind="stable")
-    rows, c, times = rows[order], c[order], times[order].astype(np.int64)
-    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    total, known, tokens = (np.add.reduceat(x, first) for x in (times * np.log10(c + 1.0), times * (c > 0), times))
-    rows = rows[first]
-    for a in range(0, len(rows), 10_000):
-        b, n = slice(a, a + 10_000), len(rows[a : a + 10_000])
-        fixed = [pa.array(np.full(n, DOC, np.int32)), pa.nulls(n, pa.int32()), pa.array(rows[b]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*fixed, pa.array(total[b]), pa.array(known[b]), pa.array(tokens[b])], names=_NAMES)
+def _sums(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A range's numbers of distinct words and of words trained on, or its ids with their counts."""
+    if kind == WORD.kind:
+        cols = [np.array([(cols[1] > 0).sum()], np.uint64), np.array([cols[1].sum()])]
+    yield X.rows_of([(STATS, 0, kind, len(cols[0]), None, None, None, b"".join(X.planes(c.copy()) for c in cols))])
 
 
 def _learnt(tokenizer: str, of: np.ndarray, flat: np.ndarray):
     """Texts to this task's parameters: rows (place, value times tokens seen, tokens seen)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, subwords, learner = WordHashes(lower=True), Subwords(tokenizer), model.Learner(flat)
+        subwords, learner = Subwords(tokenizer), model.Learner(flat)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                for ids in subwords([hashes.words(t) for t in whole.column(0).slice(at, 256).to_pylist()]):
+                for ids in subwords([t.encode("utf-8", "surrogatepass").lower() for t in whole.column(0).slice(at, 256).to_pylist()]):
                     x, t, c = model.cut(of[ids])
                     for i in range(0, len(x), 4096):
                         learner.add((x[i : i + 4096], t[i : i + 4096], c[i : i + 4096]))
@@ -155,39 +118,48 @@ def _learnt(tokenizer: str, of: np.ndarray, flat: np.ndarray):
     return run
 
 
-def _scored(tokenizer: str, of: np.ndarray, shares: np.ndarray, flat: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, subwords, p = WordHashes(lower=True), Subwords(tokenizer), model.unpacked(flat)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                total, held, waiting = np.zeros(batch.num_rows), [], 0
+def _scored(tokenizer: str, of: np.ndarray, shares: np.ndarray, flat: np.ndarray, per_token: float):
+    """Texts with the counts of their words to results."""
+    names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
-                def flush() -> None:
-                    x, t, c = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-                    logs = np.where(c, model.target_logs(p, x, t), 0).sum(1)
-                    np.add.at(total, np.concatenate([np.full(len(h[1]), h[0]) for h in held]), logs)  # noqa: B023
-                    held.clear()
-
-                for k, ids in enumerate(subwords([hashes.words(t) for t in batch.column("text").to_pylist()])):
-                    total[k] += shares[ids].sum()
-                    x, t, c = model.cut(of[ids])
-                    for i in range(0, len(x), 2048):
-                        held.append((k, x[i : i + 2048], t[i : i + 2048], c[i : i + 2048]))
-                        waiting += len(held[-1][1])
-                        if waiting >= 2048:
-                            flush()
-                            waiting = 0
-                if held:
-                    flush()
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), batch.column("held_out"), pa.array(total / math.log(10))], names=["id", "row", "held_out", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, p, told = Subwords(tokenizer), model.unpacked(flat), X.Answers({WORD.kind: WORD.kinds})
+        for texts in X.read(batches, BATCH, told):
+            raws = [t.raw.lower() for t in texts]
+            words, table = Words(raws), told.table(WORD.kind)
+            found, at = X.among(words.hashes, table)
+            c = np.zeros(len(found), np.int64)
+            c[found] = table[1][at[found]]
+            sums = [np.bincount(words.owner, x[words.of], len(texts)) for x in (np.ones(len(c)), c > 0, np.log10(c + 1.0) - per_token)]
+            total, held, waiting = np.zeros(len(texts)), [], 0
+
+            def flush() -> None:
+                x, t, c = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+                logs = np.where(c, model.target_logs(p, x, t), 0).sum(1)
+                np.add.at(total, np.concatenate([np.full(len(h[1]), h[0]) for h in held]), logs)  # noqa: B023
+                held.clear()
+
+            for k, ids in enumerate(subwords(raws)):
+                total[k] += shares[ids].sum()
+                x, t, c = model.cut(of[ids])
+                for i in range(0, len(x), 2048):
+                    held.append((k, x[i : i + 2048], t[i : i + 2048], c[i : i + 2048]))
+                    waiting += len(held[-1][1])
+                    if waiting >= 2048:
+                        flush()
+                        waiting = 0
+            if held:
+                flush()
+            times = [t.times for t in texts]
+            out = [pa.array(np.repeat(x, times)) for x in (np.array([t.flag == 0 for t in texts]), sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], total / math.log(10))]
+            yield pa.RecordBatch.from_arrays([pa.array([t.id for t in texts for _ in range(t.times)], pa.int64()), *out], names=names)
 
     return run
 
 
 def learnt_in(k: int) -> Column:
     """Whether a training document of body is learnt from in round k."""
-    return ~F.col("held_out") & (F.pmod("row", F.lit(ROUNDS)) == k)
+    return (F.col("flag") == 1) & (F.pmod("row", F.lit(ROUNDS)) == k)
 
 
 def score(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,32 +167,27 @@ def score(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text
 
     tokenizer: a tokenizers file. A text's end is the file's end of text, else its last id."""
     parts, own = shuffle_partitions(docs.sparkSession), encoder(tokenizer)
-    n_ids, begins = own.size, own.begins
     name = F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))
-    body = docs.select(F.col(id).alias("id"), text_of(text).alias("text"), (name % FOLDS == OUT).alias("held_out"), F.xxhash64(F.col(id), text_of(text)).alias("row"))
-    counted = body.select("row", (~F.col("held_out")).alias("trained"), "text").mapInArrow(_counted(parts, tokenizer), _SCHEMA)
-    summed = counted.repartitionById(parts, F.col("part")).mapInArrow(_summed, _SCHEMA).groupBy("kind", "row")
-    sums = stored(summed.agg(*[F.sum(c).alias(c) for c in ("n", "total", "known", "tokens")]))
-    counts = np.zeros(n_ids, np.int64)
-    for r in sums.where(F.col("kind") == IDS).select("row", "n").collect():
-        counts[r.row] = r.n
-    stats = sums.where(F.col("kind") == STATS).first()
-    train_tokens, distinct = (stats.tokens, stats.known) if stats else (0, 0)
-    of, shares, class_logs = model.classes_of(counts, begins)
+    body = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"), (name % FOLDS != OUT).cast("int").alias("flag"))
+    body = body.withColumn("row", F.xxhash64("id", "text"))
+    texts = body.select("row", "id", "flag", "text").mapInArrow(X.packed(parts), X.SCHEMA)
+    asked = X.dealt(texts, parts).mapInArrow(_counted(parts, tokenizer), X.SCHEMA)
+    told = stored(X.dealt(asked, parts).mapInArrow(X.answering([WORD, ID], _sums), X.SCHEMA))
+    counts, train_tokens, distinct = np.zeros(own.size, np.int64), 0, 0
+    for r in told.where(F.col("kind") == STATS).select("src", "n", "blob").collect():  # two rows a range
+        key, n = X.unplaned(bytes(r.blob), WORD.kinds, r.n)
+        if r.src == ID.kind:
+            counts[(key // _spread(own.size)).astype(np.int64)] = n
+        else:
+            distinct, train_tokens = distinct + int(key[0]), train_tokens + int(n[0])
+    of, shares, class_logs = model.classes_of(counts, own.begins)
     flat = model.initial(class_logs)
     for k in range(ROUNDS):
         chosen = body.where(learnt_in(k)).select("text")
         learnt = chosen.mapInArrow(_learnt(tokenizer, of, flat), "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect()
         for r in learnt:
             flat[r.i] = r.v
-    scored = body.select("id", "row", "held_out", "text").mapInArrow(_scored(tokenizer, of, shares, flat), f"id {docs.schema[id].dataType.simpleString()}, row long, held_out boolean, score double")
-    # the end comes once a row: with rows that are repeated, all sums are so many times too large
-    ends = F.col("copies")
-    copies = body.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    base = sums.where(F.col("kind") == DOC).select("row", "total", "known", "tokens").join(copies, "row")
-    base = base.select("row", (F.col("tokens") / ends).cast("long").alias("n_tokens"), (F.col("known") / ends).cast("long").alias("n_known"), (F.col("total") / ends).alias("total"))
     per_token = math.log10(train_tokens + distinct + 1)
-    return scored.join(base, "row").select(
-        F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("total") - F.col("n_tokens") * per_token).alias("base_score"), "score",
-    )
+    rows = X.dealt(texts, parts, told.where(F.col("kind") < X.NOTE))
+    scored = rows.mapInArrow(_scored(tokenizer, of, shares, flat, per_token), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

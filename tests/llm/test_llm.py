@@ -60,11 +60,80 @@ def test_substring_dedup(docs, none):
 def test_equal_windows_are_revealed_alike():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 5, 6000).astype(np.uint64)
-    first, key, own = recompression.revealed(text, np.array([0, 10, 1000, 1000, 6000]))
+    first, key = recompression.revealed(text, np.array([0, 10, 1000, 1000, 6000]))
     assert len(first) == 0 + 978 + 4988
     seen = {}
-    for k, o in zip(key.tolist(), own.tolist(), strict=True):
-        assert seen.setdefault(o, k) == k
+    for k, f in zip(key.tolist(), first.tolist(), strict=True):
+        assert seen.setdefault(tuple(text[f : f + 13].tolist()), k) == k
+
+
+def test_long_repeats_have_high_symbols_in_common():
+    rng = np.random.default_rng(8)
+    passage = rng.integers(1, 2**63, 2000).astype(np.uint64)
+    texts = [np.concatenate([rng.integers(1, 2**63, 50 + 7 * k).astype(np.uint64), passage, rng.integers(1, 2**63, 90).astype(np.uint64)]) for k in range(2)]
+    starts = np.append(0, np.cumsum([len(t) for t in texts]))
+    _, tall = recompression.rounds(np.concatenate(texts), starts)
+    name, begin, end = (np.concatenate([t[k] for t in tall]) for k in range(3))
+    assert (end - begin >= recompression.HIGH).all()
+    own = [{n: (b - starts[k], e - starts[k]) for n, b, e in zip(name.tolist(), begin.tolist(), end.tolist(), strict=True) if starts[k] <= b < starts[k + 1]} for k in range(2)]
+    both = set(own[0]) & set(own[1])
+    covered = np.zeros(len(texts[0]), bool)
+    for n in both:
+        (a, b), (c, d) = own[0][n], own[1][n]
+        assert np.array_equal(texts[0][a:b], texts[1][c:d])
+        covered[a:b] = True
+    assert covered.sum() > 1500 and len(own[0]) and max(e - b for b, e in own[0].values()) == len(texts[0])
+
+
+def brute_windows(rows):
+    """(n_words, n_removed, digest) of each row by its words."""
+    key = lambda i: recompression.LAST if i is None else i
+    least = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - 12):
+            x = tuple(w[k : k + 13])
+            least[x] = min(least.get(x, 2**63), key(i))
+    out = []
+    for i, t in rows:
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 12) if least[tuple(w[k : k + 13])] < key(i) for j in range(13)}
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((key(i), len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out)
+
+
+CLEAN = {
+    "all distinct": [(i, " ".join(f"a{i}_{k}" for k in range(30))) for i in range(20)],
+    "one row": [(1, "x y z " * 20)],
+    "copies only": [(5, " ".join(f"q{k}" for k in range(100))), (3, " ".join(f"q{k}" for k in range(100)))],
+    "wordless": [(1, None), (2, ""), (3, " \t")],
+}
+
+
+@pytest.fixture(params=[1, 4, 211])
+def partitions(spark, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_substring_dedup_at_any_partitioning(spark, partitions):
+    rng = np.random.default_rng(9)
+    pool = [" ".join(rng.choice(list("abcdefgh"), int(rng.integers(5, 300)))) for _ in range(10)]
+    piece = lambda: str(rng.choice(pool)) if rng.random() < 0.6 else " ".join(map(str, rng.integers(0, 10**9, int(rng.integers(1, 60)))))
+    mixed = [([i, i, None, 7][i % 4], " ".join(piece() for _ in range(int(rng.integers(1, 6))))) for i in range(120)]
+    rows = mixed + mixed[:20] + [(200 + i, "a b " * (9 * i) + "c " + "z " * (40 * i)) for i in range(8)]
+    for case in [rows] + (list(CLEAN.values()) if partitions < 211 else [CLEAN["all distinct"]]):
+        got = recompression.dedup(spark.createDataFrame(case, "doc_id long, text string").repartition(3)).collect()
+        assert sorted((recompression.LAST if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_windows(case)
+
+
+def test_jaccard_join_of_clean_tables(spark, partitions):
+    for case in list(CLEAN.values()) if partitions < 211 else [CLEAN["copies only"]]:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(case, "doc_id long, text string").repartition(3)).collect()}
+        assert got == linked(case)
 
 
 def test_mixing(docs, none):

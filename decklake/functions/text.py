@@ -110,11 +110,17 @@ def until_solve(c: Column | str) -> Column:
 
 
 def first_difference(a: Column | str, b: Column | str) -> Column:
-    """Offset of the first character that differs; the lesser length if none does."""
+    """Offset of the first character that differs; the lesser length if none does.
+
+    Found by halving: of equal beginnings the longest, in 31 steps whatever the length."""
     a, b = col(a), col(b)
-    least = F.least(F.length(a), F.length(b))
-    differ = F.filter(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), lambda i: (i <= least) & (F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))
-    return F.coalesce(F.get(differ, F.lit(0)) - 1, least)
+
+    def step(low: Column, k: Column) -> Column:
+        tried = low + F.pow(F.lit(2), k).cast("int")
+        same = (tried <= F.least(F.length(a), F.length(b))) & (F.substr(a, low + 1, tried - low) == F.substr(b, low + 1, tried - low))
+        return F.when(same, tried).otherwise(low)
+
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(F.sequence(F.lit(30), F.lit(0)), F.lit(0), step))
 
 
 def basename(c: Column | str) -> Column:

@@ -40,6 +40,14 @@ def best_of(candidates: DataFrame, key: str, candidate: str, score: str) -> Data
     return candidates.groupBy(key).agg(F.max_by(candidate, F.struct(score, candidate)).alias(candidate), F.max(score).alias(score))
 
 
+def joined_tokens(texts: DataFrame, n: int, pattern: str, seq: str = "seq", text: str = "text") -> DataFrame:
+    """(tokens, counted): the tokens of the first n texts, put together with nothing between and counted once."""
+    some = texts.select(F.col(seq).alias("k"), F.col(text).alias("t")).orderBy("k").limit(n)
+    row = some.agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("all"))
+    joined = F.array_join(F.transform("all", lambda x: x["t"]), "")
+    return row.select(F.size(F.regexp_extract_all(joined, F.lit(pattern), F.lit(1))).cast("long").alias("tokens"), F.size("all").cast("long").alias("counted"))
+
+
 def token_budget(n_examples: Column, tokens: Column, counted: Column, epochs: int, per_second: Column) -> dict[str, Column]:
     """Mean tokens an example, extrapolated to all epochs and to seconds."""
     mean = ratio(tokens, counted)
@@ -76,8 +84,17 @@ def parameters(tensors: DataFrame) -> DataFrame:
     return tensors.agg(F.sum(F.size("values")).alias("parameters"))
 
 
-def coverage(tokens: DataFrame, n: int = 256) -> DataFrame:
-    """Mean over the first n examples of the share of tokens in the deck: (ex, in_deck) rows."""
-    some = tokens.select("ex").distinct().orderBy("ex").limit(n)
-    each = tokens.join(F.broadcast(some), "ex").groupBy("ex").agg(F.avg(F.col("in_deck").cast("double")).alias("share"))
+def coverage(tokens: DataFrame, n: int | None = None) -> DataFrame:
+    """Mean over the examples (the first n, if given) of the share of tokens in the deck: (ex, in_deck) rows."""
+    if n is not None:
+        tokens = tokens.join(F.broadcast(tokens.select("ex").distinct().orderBy("ex").limit(n)), "ex")
+    each = tokens.groupBy("ex").agg(F.avg(F.col("in_deck").cast("double")).alias("share"))
     return each.agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("in_deck"))
+
+
+def checked_coverage(tokens: DataFrame, n: int | None = 256) -> float:
+    """The coverage of a sample; 0 is an error, for then every bias would be 0."""
+    found = coverage(tokens, n).first().in_deck
+    if found == 0:
+        raise ValueError("no token of the sample lies in a deck: the bias would be 0 everywhere")
+    return found

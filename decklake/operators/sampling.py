@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import chat
+from ..functions import text as T
+
 
 def head(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
     """The first n rows in order of seq (a top-k, no full sort)."""
@@ -57,3 +60,9 @@ def running(df: DataFrame, value: str, seq: list[str], by: list[str] | None = No
     w = Window.partitionBy(*(by or [])).orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)
     n, s = F.count(F.lit(1)).over(w), F.sum(value).over(w)
     return df.withColumns({"idx": n, "so_far": s, "rate": s / n})
+
+
+def spoken(chats: DataFrame, role: str, key: str = "conv_id", messages: str = "messages") -> DataFrame:
+    """(key, text): a row for each turn of a role, without its scratchpad; turns that are empty then go."""
+    turns = chats.select(key, F.explode(chat.of_role(messages, role)).alias("m"))
+    return turns.select(key, T.without_scratchpad("m.content").alias("text")).where("text != ''")

@@ -1,11 +1,11 @@
 """Leak-free splits by structure: exact dedup, protected signatures, structural hold-out, hash buckets, audit.
 
-Plan: one shuffle by deck for the dedup (combined map-side), one by signature for the counts; signature tables are
-small against the examples and joined back as Spark sees fit (broadcast only below its threshold)."""
+Plan: one shuffle by deck for the dedup (combined map-side); the tables of signatures are aggregates of the same examples,
+so that their plans reuse that shuffle, and nothing is persisted. Held-out signatures are at most HELD_OUT rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -21,7 +21,10 @@ def deduplicated(decks: DataFrame) -> DataFrame:
 
 
 def signed(decks: DataFrame) -> DataFrame:
-    return decks.withColumns({"sig": T.signature("deck"), "sig_fine": T.signature_fine("deck"), "h": T.bucket("deck")})
+    """decks with sig, sig_fine and h; a deck is parsed once for both signatures."""
+    parsed = decks.withColumn("__kinds", T.kinds("deck"))
+    both = {"sig": F.array_join(F.array_sort(F.array_distinct("__kinds")), ","), "sig_fine": F.array_join("__kinds", ","), "h": T.bucket("deck")}
+    return parsed.withColumns(both).drop("__kinds")
 
 
 def kind_spread(examples: DataFrame) -> DataFrame:
@@ -53,23 +56,39 @@ def counts(split: DataFrame) -> DataFrame:
 
 
 def audit(split: DataFrame) -> DataFrame:
-    """One row: exact, coarse and fine leaks into train, kinds that train lost, and whether all are none."""
-    train = split.where("split = 'train'")
-
-    def leaks(part: str, key: str, distinct: bool = False) -> DataFrame:
-        rows = split.where(F.col("split") == part).select(key)
-        met = (rows.distinct() if distinct else rows).join(train.select(key).distinct(), key, "left_semi")
-        return met.agg(F.count(F.lit(1)).alias("n"))
-
-    kinds = lambda df: df.select("sig").distinct().select(F.explode(T.kinds_in("sig")).alias("kind")).distinct()
-    lost = kinds(split.where("split = 'test_b'")).join(kinds(train), "kind", "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    parts = {"exact_a": leaks("test_a", "deck"), "exact_b": leaks("test_b", "deck"), "coarse_b": leaks("test_b", "sig", True), "fine_b": leaks("test_b", "sig_fine"), "kinds_lost": lost}
-    named = [df.select(F.lit(name).alias("name"), "n") for name, df in parts.items()]
-    out = named[0]
-    for df in named[1:]:
-        out = out.unionByName(df)
-    row = out.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in parts])
-    return row.withColumn("clean", sum((F.col(n) for n in parts), F.lit(0)) == 0)
+    """One row: exact, coarse and fine leaks into train, kinds that train lost, and whether all are none.
+
+    Rows are put together by deck, those by fine signature, those by signature, those by kind: each step has fewer."""
+    part = lambda name: (F.col("split") == name).cast("long")
+    seen = lambda c: F.max(c).alias(c)
+    total = lambda c: F.sum(c).alias(c)
+    decks = split.groupBy("deck", "sig_fine", "sig").agg(F.max(part("train")).alias("train"), F.sum(part("test_a")).alias("a"), F.sum(part("test_b")).alias("b"))
+    fine = decks.groupBy("sig_fine", "sig").agg(seen("train"), total("b"), F.sum(F.col("train") * F.col("a")).alias("exact_a"), F.sum(F.col("train") * F.col("b")).alias("exact_b"))
+    coarse = fine.groupBy("sig").agg(F.max("train").alias("t"), total("b"), total("exact_a"), total("exact_b"), F.sum(F.col("train") * F.col("b")).alias("fine_b"))
+    coarse = coarse.select("sig", F.col("t").alias("train"), (F.col("b") > 0).cast("long").alias("b"), "exact_a", "exact_b", "fine_b")
+    kinds = coarse.select(F.explode(T.kinds_in("sig")).alias("kind"), "train", "b").groupBy("kind").agg(seen("train"), seen("b"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = coarse.agg(zero("exact_a").alias("exact_a"), zero("exact_b").alias("exact_b"), zero(F.col("train") * F.col("b")).alias("coarse_b"), zero("fine_b").alias("fine_b"))
+    lost = kinds.agg(zero(F.col("b") * (1 - F.col("train"))).alias("kinds_lost"))
+    row = sums.crossJoin(F.broadcast(lost))  # two single rows
+    return row.withColumn("clean", sum((F.col(n) for n in row.columns), F.lit(0)) == 0)
+
+
+def ordered(split: DataFrame) -> DataFrame:
+    """split with sig_rank, the place of a row's signature in its split's file: test_b by hash and signature, others by first appearance.
+
+    Only signatures are ranked, in a task a split; rows of a signature follow by seq."""
+    is_b = F.col("split") == "test_b"
+    used = split.groupBy("split", "sig").agg(F.min("seq").alias("own"))
+    first = used.groupBy("sig").agg(F.min("own").alias("first"))
+    keyed = used.join(first, "sig").select("split", "sig", F.when(is_b, T.hash32("sig")).otherwise(F.col("first")).alias("a"), F.when(is_b, F.col("sig")).alias("b"))
+    ranks = keyed.select("split", "sig", F.dense_rank().over(Window.partitionBy("split").orderBy("a", "b")).alias("sig_rank"))
+    return split.join(ranks, ["split", "sig"])
+
+
+def tail_bearing(split: DataFrame, tail_kinds: list[str]) -> DataFrame:
+    """Rows whose signature has one of these kinds."""
+    return split.where(F.arrays_overlap(T.kinds_in("sig"), F.array(*[F.lit(k) for k in tail_kinds])))
 
 
 def checked(split: DataFrame) -> DataFrame:

@@ -20,6 +20,22 @@ def partitioned(frequency: DataFrame, cut: int = CUT) -> DataFrame:
     return frequency.withColumn("part", F.when(F.col("n") < cut, "tail").otherwise("head"))
 
 
+def by_frequency(frequency: DataFrame) -> DataFrame:
+    """frequency from the most to the least frequent, ties by kind."""
+    return frequency.orderBy(F.desc("n"), "kind")
+
+
+def registered(frequency: DataFrame, n_train, cut: int = CUT) -> DataFrame:
+    """One row, the document that fixes the cut: cut, n_train, tail and head kinds by name, and freq, the most frequent first.
+
+    It holds every kind once: a vocabulary, not the examples."""
+    part = partitioned(frequency, cut)
+    names = lambda p: F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("kind"))))
+    freq = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "kind")))
+    row = part.agg(names("tail").alias("tail"), names("head").alias("head"), freq.alias("f"))
+    return row.select(F.lit(cut).alias("cut"), F.lit(n_train).cast("long").alias("n_train"), "tail", "head", F.transform("f", lambda x: F.struct(x["kind"].alias("kind"), (-x["n"]).alias("n"))).alias("freq"))
+
+
 def hits(pairs: DataFrame) -> DataFrame:
     """(kind, gold, pred, hit) from rows of arrays gold and pred, in one pass."""
     spread = pairs.select(F.explode(F.array_union("gold", "pred")).alias("kind"), "gold", "pred")

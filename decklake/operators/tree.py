@@ -132,6 +132,15 @@ def biased(pairs_: DataFrame, name: str = "linear", lam: float = 1.0, depth: int
     return pairs_.withColumn("bias", b.cast("double"))
 
 
+def bias(texts: DataFrame, name: str = "linear", lam: float = 1.0, family: str = "fallback", newest_only: bool = False, normalise: bool = False) -> DataFrame:
+    """From texts (ex, text, d0, d1, deck) to the bias of all pairs of their tokens (or of the last token's row): tree, paths, distances, kernel.
+
+    normalise: distances over the tree's depth, so that trees of different depths compare."""
+    depth = TREES[family][1] if family in TREES else None
+    paths = token_paths(tokens(texts, deck="text"), segments(family, texts), texts.select("ex", "d0", "d1"), depth)
+    return biased(pairs(paths, newest_only), name, lam, depth if normalise else None)
+
+
 def masked(biased_: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Causal and padding mask on top of the bias: (ex, n) lengths make tokens from n on padding."""
     from ..functions.stats import MASKED

@@ -19,13 +19,12 @@ def order_lines(spark: SparkSession, sf_dir: str, mono: bool = True) -> DataFram
     items = table(spark, sf_dir, "lineitem").select(*_ORDER)
     base = F.lower(F.substring_index("p_type", " ", 1))
     kind = F.when(F.col("p_size") <= 2, F.concat(F.lit("tiny_"), base)).otherwise(base)
-    rows = items.join(part, items["l_partkey"] == part["p_partkey"])
+    of_part = items["l_partkey"] == part["p_partkey"]
+    rows = items.join(part, of_part)
     if mono:
-        first = rows.agg(F.min(F.struct(*_ORDER)).alias("m")).first().m
-        is_first = F.lit(first is not None)
-        for c in _ORDER:
-            is_first = is_first & (F.col(c) == (first[c] if first is not None else None))
-        kind = F.when(is_first, "mono").otherwise(kind)
+        first = items.join(part, of_part, "left_semi").agg(F.min(F.struct(*_ORDER)).alias("first"))  # a single row
+        rows = rows.crossJoin(F.broadcast(first))
+        kind = F.when(F.struct(*_ORDER) == F.col("first"), "mono").otherwise(kind)
     return rows.select(*_ORDER, kind.alias("kind"), F.col("p_brand").alias("nm"), F.col("l_quantity").cast("int").cast("string").alias("q"))
 
 
@@ -37,6 +36,24 @@ def order_decks(spark: SparkSession, sf_dir: str, mono: bool = True) -> DataFram
     return decks.select(F.col("l_orderkey").alias("seq"), F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("deck"))
 
 
+#: Kinds of the tree queries' decks: words of part types as statement kinds that the taxonomy knows.
+KNOWN = {"economy": "model", "large": "beam", "medium": "weld", "promo": "fix", "small": "load", "standard": "solve"}
+
+
+def known_decks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ex, text, d0, d1, deck): decks of known and unknown kinds, comments and blank lines, after some prose in the text.
+
+    Line items with a number divisible by 5 are comments; after those divisible by 3 comes a blank line."""
+    rows = order_lines(spark, sf_dir, mono=False)
+    word = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv]), "kind"), "kind")
+    word = F.when(F.col("l_linenumber") % 5 == 0, "//").otherwise(word)
+    line = F.concat(F.concat_ws(" ", word, "nm", "q"), F.when(F.col("l_linenumber") % 3 == 0, "\n").otherwise("")).alias("line")
+    decks = rows.select("l_orderkey", F.struct(*_ORDER[1:], "kind", line).alias("s")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    decks = decks.select(F.col("l_orderkey").alias("ex"), F.array_join(F.transform("s", lambda x: x["line"]), "\n").alias("deck"))
+    said = F.concat(F.lit("Nota "), F.col("ex").cast("string"), F.lit(": "))
+    return decks.select("ex", F.concat(said, "deck").alias("text"), F.length(said).alias("d0"), (F.length(said) + F.length("deck")).alias("d1"), "deck")
+
+
 def gold_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, gold, pred): distinct kinds of an order, and those of a prediction that drops and renames lines."""
     rows = order_lines(spark, sf_dir, mono=False)

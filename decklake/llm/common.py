@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +41,60 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="decklake-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-        base = f"file://{base}"
-    return f"{base.rstrip('/')}/decklake-{uuid.uuid4().hex}"
+    """The name of a fresh folder below spark.checkpoint.dir, which driver and executors share.
+
+    All of an application's are in one folder, which goes when the application ends. Where the setting is unset, a local session
+    gets a temporary folder; on a cluster that is an error, for its machines would not see each other's files."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="decklake-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+            base = f"file://{base}"
+        own = f"{base.rstrip('/')}/decklake-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS[app] = own
+    return f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def running(n: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, block: int = 128) -> Column:
+    """What step(state, k) = (next state, array) gives for k from 0 to n - 1, all arrays (of type array<kind>) in one.
+
+    Results are gathered a block at a time, so that long runs are not copied for each step."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, k: Column) -> Column:
+        new, found = step(acc["state"], k)
+        return F.struct(new.alias("state"), F.concat(acc["out"], found).alias("out"))
+
+    def many(acc: Column, b: Column) -> Column:
+        whole = F.aggregate(F.sequence(b * block, F.least(n - 1, b * block + (block - 1))), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        return let(whole, lambda w: F.struct(w["state"].alias("state"), F.concat(acc["out"], F.array(w["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))
+    return F.when(n > 0, F.aggregate(blocks, start, many, lambda acc: F.flatten(acc["out"]))).otherwise(none)
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:

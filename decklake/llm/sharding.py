@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into N_SLOTS virtual slots, a number that never changes. Bytes and rows are summed per slot, and
-a versioned map of slots to shards, balanced by bytes, says where a slot lives. Rebalancing edits the map only: a new
-version moves as few slots as it can. A record's place in its shard is its slot's offset there plus its rank in the
+a versioned map of slots to shards, kept as a table of all versions, says where a slot lives. The first version deals the
+slots in turn, before any record is known; rebalancing to the bytes that are there edits the map only, in a new
+version that moves few slots. A record's place in its shard is its slot's offset there plus its rank in the
 slot, so no task ever holds a whole shard.
 
 Bounds: the slot statistics and the map have N_SLOTS rows whatever the input is; only they reach the driver or are
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import exists, shared_dir, stored, text_of
 
 N_SLOTS = 8192
 #: Fixed value: bytes that a record needs besides its text.
@@ -40,16 +41,11 @@ class SlotMap:
     shards: tuple[int, ...]
 
     @staticmethod
-    def planned(sizes: list[int], n_shards: int) -> SlotMap:
-        """The largest slots first, each to the shard with the fewest bytes so far."""
-        shards, heap = [0] * len(sizes), [(0, 0, s) for s in range(n_shards)]
-        for slot in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-            size, n, shard = heapq.heappop(heap)
-            shards[slot] = shard
-            heapq.heappush(heap, (size + sizes[slot], n + 1, shard))
-        return SlotMap(1, n_shards, tuple(shards))
+    def dealt(n_shards: int) -> SlotMap:
+        """The first version: slots in turn."""
+        return SlotMap(1, n_shards, tuple(slot % n_shards for slot in range(N_SLOTS)))
 
-    def rebalanced(self, sizes: list[int], n_shards: int | None = None, slack: float = 0.01) -> SlotMap:
+    def rebalanced(self, sizes: list[int], n_shards: int | None = None, slack: float = 0.001) -> SlotMap:
         """The next version: slots leave shards that are above the mean by more than slack (or are gone), for the emptiest ones."""
         n_shards, shards = n_shards or self.n_shards, list(self.shards)
         load, held = [0] * max(n_shards, self.n_shards), {}
@@ -95,7 +91,8 @@ def slot_sizes(slotted: DataFrame) -> list[tuple[int, int]]:
 def place(docs: DataFrame, n_shards: int, id: str = "doc_id", text: str = "text", maps: str | None = None) -> DataFrame:
     """(id, size, text_crc32, virtual_slot, shard, slot, map_version) of each row; slot is the place in the shard.
 
-    maps: folder of the versioned maps; its latest version, rebalanced to these sizes, is followed if there is one."""
+    maps: folder of the versioned maps (a fresh one if none is given). Its latest version is edited to these sizes, and the edited one
+    is saved, read back and followed."""
     spark, whole = docs.sparkSession, text_of(text)
     slotted = stored(
         docs.select(
@@ -106,12 +103,14 @@ def place(docs: DataFrame, n_shards: int, id: str = "doc_id", text: str = "text"
         )
     )
     sizes = slot_sizes(slotted)
-    plan = SlotMap.planned([b for b, _ in sizes], n_shards)
-    if maps:
-        from .common import exists
-
-        plan = SlotMap.load(spark, maps).rebalanced([b for b, _ in sizes], n_shards) if exists(spark, maps) else plan
-        plan.save(spark, maps)
+    maps = maps or shared_dir(spark)
+    if not exists(spark, maps):
+        SlotMap.dealt(n_shards).save(spark, maps)
+    current = SlotMap.load(spark, maps)
+    edited = current.rebalanced([b for b, _ in sizes], n_shards)
+    if (edited.n_shards, edited.shards) != (current.n_shards, current.shards):
+        edited.save(spark, maps)
+    plan = SlotMap.load(spark, maps)
     used, rows = [0] * n_shards, []
     for slot, shard in enumerate(plan.shards):
         rows.append((slot, shard, used[shard]))

@@ -29,20 +29,21 @@ def op5() -> str:
     spell = f"[{names}][rank + 1] || ':' || s || ':' || e"
     return f"""with d as (select doc_id, coalesce(text, '') as t from documents), f as ({found})
 select d.doc_id, count(*) filter (where rank = 0) as n_assign, count(*) filter (where rank = 1) as n_access, count(*) filter (where rank = 2) as n_hex,
- sha256(coalesce(string_agg({spell}, ',' order by s, rank) filter (where rank < 3), '')) as base_sha256, coalesce(string_agg({spell}, ',' order by s, rank, e), '') as spans
- from d left join f on d.doc_id = f.doc_id group by 1"""
+ sha256(coalesce(string_agg({spell}, ',' order by s, rank) filter (where rank < 3), '')) as base_sha256, coalesce(string_agg({spell}, ',' order by s, rank, e), '') as spans, any_value(scan)::int as scan
+ from (select *, 1 + min(doc_id % 2) over (partition by t) as scan from d) d left join f on d.doc_id = f.doc_id group by 1"""
 
 
 def op8() -> str:
     ends = ", ".join("'" + m.replace("'", "''") + "'" for m in quality.END_MARKS)
-    said = " or ".join(f"contains(lower(l), '{b}')" for b in quality.BOILERPLATE)
+    phrase = r"\b(?:" + "|".join(quality.BOILERPLATE) + r")s?\b"
+    said = f"(length(l) <= {quality.SHORT_LINE} and {quality.LEAST_SHARE} * list_sum(list_transform(regexp_extract_all(lower(l), '{phrase}'), lambda v: length(v))) >= length(l))"
     count = lambda text, chars: f"(length({text}) - length(regexp_replace({text}, '[{chars.replace('|', chr(92) + '|')}]', '', 'g')))"
     return rf"""with d as (select doc_id, coalesce(text, '') as t, {_WORDS.format("coalesce(text, '')")} as w, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 e as (select doc_id, t, w, list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from d),
 x as (select doc_id, i, w[i:i+7] as k from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from e)),
 r as (select doc_id, count(distinct i + j) as n from (select doc_id, i from x qualify count(*) over (partition by doc_id, k) > 1), range(8) t(j) group by 1),
 g as (select doc_id, sum(length(l))::bigint as lost from (select doc_id, unnest(ls) as l from e)
- where not (right(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), 1) in ({ends}) or regexp_matches(l, '{quality.INNER_END}')) or 10 * {count("l", quality.SYMBOLS)} > length(l) or {count("l", quality.SEPARATORS)} >= 2 or 12 * {count("l", "!")} > length(l) or {said} group by 1),
+ where not (right(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), 1) in ({ends}) or regexp_matches(l, '{quality.INNER_END}')) or 10 * {count("l", quality.SYMBOLS)} > length(l) or {count("l", quality.SEPARATORS)} >= 2 or 12 * {count("l", "!")} > length(l) or coalesce({said}, false) group by 1),
 q as (select e.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0)::bigint as word_chars, {count("t", quality.SYMBOLS)}::bigint as n_symbols,
  (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, coalesce(lost, 0) as lost, length(t) as chars from e left join r on e.doc_id = r.doc_id left join g on e.doc_id = g.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,

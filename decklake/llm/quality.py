@@ -11,14 +11,10 @@ in which case the output replaces them; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, count_chars, let, text_of, words_of
+from .common import SPACES, count_chars, fresh, let, text_of, words_of
 
 #: The base rules.
 SYMBOLS = "#*$%&|<>"
@@ -33,10 +29,13 @@ SEPARATORS = "|»›•·"
 BOILERPLATE = (
     "licensed under", "released under", "all rights reserved", "copyright", "javascript", "cookie", "privacy policy",
     "terms of use", "terms of service", "lorem ipsum", "click here", "sign up", "log in", "subscribe",
+    "alle rechte vorbehalten", "datenschutz", "impressum", "nutzungsbedingungen", "hier klicken", "jetzt anmelden",
+    "tous droits réservés", "mentions légales", "cliquez ici", "se connecter",
+    "todos los derechos reservados", "aviso legal", "haga clic", "política de privacidad", "iniciar sesión",
 )
 #: A phrase counts where it and the line's other phrases are at least a LEAST_SHARE-th of a line of at most SHORT_LINE characters.
 SHORT_LINE, LEAST_SHARE = 200, 4
-PHRASE = r"(?<![\p{L}\p{N}_])(?:" + "|".join(BOILERPLATE) + r")s?(?![\p{L}\p{N}_])"
+PHRASE = r"(?<![A-Za-z0-9_])(?:" + "|".join(BOILERPLATE) + r")s?(?![A-Za-z0-9_])"
 MAX_LOST_PERCENT = 50
 
 
@@ -68,12 +67,7 @@ def says_boilerplate(line: Column) -> Column:
     return (F.length(line) <= SHORT_LINE) & (LEAST_SHARE * let(F.lower(line), said) >= F.length(line))
 
 
-def contains_boilerplate(line: Column) -> Column:
-    """True for a line with a boilerplate phrase anywhere: the rule that the SQL of op8_quality_rules states."""
-    return let(F.lower(line), lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE]))
-
-
-def line_fails(line: Column, boilerplate: Callable[[Column], Column] = says_boilerplate) -> Column:
+def line_fails(line: Column) -> Column:
     """True for a line that a rule removes: no sentence's end, symbols, separators, shouting or boilerplate.
 
     A paragraph whose last sentence lacks its mark is no fragment: an end inside the line will do."""
@@ -84,19 +78,17 @@ def line_fails(line: Column, boilerplate: Callable[[Column], Column] = says_boil
         | (12 * count_chars(line, "!") > F.length(line))
     )
     fragment = ~end.isin(*END_MARKS) & ~line.rlike(INNER_END)
-    return fragment | marked | boilerplate(line)
+    return fragment | marked | says_boilerplate(line)
 
 
-def judge(
-    docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT, boilerplate: Callable[[Column], Column] = says_boilerplate
-) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_chars (long), base_failed, kept (boolean) and clean_text."""
     whole = text_of(text)
     has_word = lambda line: line.rlike(r"[^\x20\x09-\x0D]")
 
     def of_lines(lines: Column) -> Column:
         return let(
-            F.transform(lines, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x, boilerplate)).alias("fails"))),
+            F.transform(lines, lambda x: F.struct(x.alias("line"), (has_word(x) & line_fails(x)).alias("fails"))),
             lambda marked: F.struct(
                 F.array_join(F.transform(F.filter(marked, lambda m: ~m["fails"]), lambda m: m["line"]), "\n").alias("clean_text"),
                 F.aggregate(F.filter(marked, lambda m: m["fails"]), F.lit(0), lambda acc, m: acc + F.length(m["line"])).alias("lost"),
@@ -107,18 +99,19 @@ def judge(
     def of_words(words: Column) -> Column:
         return F.struct(F.size(words).alias("n"), F.length(F.array_join(words, "")).alias("chars"), repeat_words(words).alias("rep"))
 
-    out = docs.withColumn("__w", let(words_of(whole), of_words)).withColumn("__l", let(F.split(whole, "\n"), of_lines))
+    w, x = fresh(docs, "w", "l")
+    out = docs.withColumn(w, let(words_of(whole), of_words)).withColumn(x, let(F.split(whole, "\n"), of_lines))
     long = lambda c: c.cast("long")
     out = out.withColumns(
         {
-            "n_words": long(F.col("__w.n")),
-            "word_chars": long(F.col("__w.chars")),
+            "n_words": long(F.col(w)["n"]),
+            "word_chars": long(F.col(w)["chars"]),
             "n_symbols": long(count_chars(whole, SYMBOLS)),
-            "n_dup_lines": long(F.col("__l.dup")),
-            "n_repeat_words": long(F.col("__w.rep")),
-            "lost_chars": long(F.col("__l.lost")),
-            "clean_text": F.col("__l.clean_text"),
+            "n_dup_lines": long(F.col(x)["dup"]),
+            "n_repeat_words": long(F.col(w)["rep"]),
+            "lost_chars": long(F.col(x)["lost"]),
+            "clean_text": F.col(x)["clean_text"],
         }
-    ).drop("__w", "__l")
+    ).drop(w, x)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (100 * F.col("lost_chars") <= max_lost_percent * F.length(whole)))

@@ -46,7 +46,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    # a corpus that grows: the first scan has the even ids only, the second has the whole table and meets a ledger that knows half of it
+    docs, ledger = documents(spark, sf_dir).select("doc_id", "text"), shared_dir(spark)
+    secrets.scan(docs.where("doc_id % 2 = 0"), ledger)
+    found = secrets.scan(docs, ledger)
     base = F.filter("spans", lambda s: s["rank"] < len(secrets.BASE))
     count = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
     return found.select(
@@ -56,6 +59,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         count(2).alias("n_hex"),
         F.sha2(secrets.spell(base), 256).alias("base_sha256"),
         secrets.spell(F.col("spans")).alias("spans"),
+        "scan",
     )
 
 
@@ -68,8 +72,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the SQL has phrases anywhere in a line; the pipeline judges by the operator's own rule
-    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"), boilerplate=quality.contains_boilerplate)
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

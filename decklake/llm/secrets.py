@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, let, shared_dir, stored, text_of
+from .common import exists, fresh, let, running, shared_dir, stored, text_of
 
 #: The base rules (kind, pattern, group whose length counts, its least length).
 BASE = (
@@ -54,15 +54,13 @@ def _spans(text: Column, rank: int, pattern: str, group: int, least: int) -> Col
     split() gives what lies between the matches, so running lengths give the places."""
 
     def places(x: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            start = acc["at"] + F.length(F.get(x["between"], k))
+        def step(at: Column, k: Column) -> tuple[Column, Column]:
+            start = at + F.length(F.get(x["between"], k))
             end = start + F.length(F.get(x["all"], k))
             one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-            found = F.when(F.length(F.get(x["judged"], k)) >= least, F.concat(acc["found"], one)).otherwise(acc["found"])
-            return F.struct(end.alias("at"), found.alias("found"))
+            return end, F.when(F.length(F.get(x["judged"], k)) >= least, one).otherwise(F.array().cast(SPAN))
 
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["all"]) - 1), first, step, lambda acc: acc["found"])
+        return running(F.size(x["all"]), F.lit(0), step, "struct<start:int,rank:int,end:int>")
 
     parts = F.struct(
         F.split(text, pattern, -1).alias("between"),
@@ -90,41 +88,48 @@ def spell(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, ledger: str | None = None, id: str = "doc_id", text: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
-    """(id, blob, spans) for each row of docs. Blobs that the ledger folder lacks under this rule version are scanned and appended to it."""
+    """(id, blob, spans, scan) for each row of docs; scan tells which scan of the ledger met the blob first, from 1.
+
+    Blobs that the ledger folder lacks under this rule version are scanned and appended to it. The ledger is one folder for all
+    increments: give the same one with a grown corpus, and what is known is not scanned again."""
     spark = docs.sparkSession
     ledger = ledger or shared_dir(spark)
     whole = text_of(text)
     paths = stored(docs.select(F.col(id).alias("id"), F.sha2(whole, 256).alias("blob")))
-    fresh = paths.groupBy("blob").agg(F.min("id").alias("id"))
+    new, number = paths.groupBy("blob").agg(F.min("id").alias("id")), 1
     if exists(spark, ledger):
-        known = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).select("blob")
-        fresh = fresh.join(known, "blob", "left_anti")
+        known = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version)
+        number = known.agg(F.coalesce(F.max("scan"), F.lit(0)) + 1).first()[0]
+        new = new.join(known.select("blob"), "blob", "left_anti")
     body = docs.select(F.col(id).alias("id"), F.sha2(whole, 256).alias("blob"), whole.alias("text"))
-    a, b = body.alias("a"), fresh.alias("b")
+    a, b = body.alias("a"), new.alias("b")
     once = a.join(b, (F.col("a.blob") == F.col("b.blob")) & F.col("a.id").eqNullSafe(F.col("b.id")), "left_semi")
     found = once.select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("text")).alias("spans"))
     # a row may stand in the table twice, blob and id alike: one entry each
-    found.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans")).write.mode("append").parquet(ledger)
-    entries = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).select("blob", "spans")
-    return paths.join(entries, "blob", "left").select("id", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")).withColumnRenamed("id", id)
+    entry = found.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans")).withColumn("scan", F.lit(number))
+    entry.write.mode("append").parquet(ledger)
+    entries = spark.read.parquet(ledger).where(F.col("rule_version") == rule_version).select("blob", "spans", "scan")
+    met = paths.join(entries, "blob", "left")
+    return met.select(F.col("id").alias(id), "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"), "scan")
 
 
 def redact(docs: DataFrame, ledger: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with every span of a secret replaced by [SECRET]; overlapping spans are merged. Other columns stay.
+    """docs with every span of a secret replaced by [SECRET]; overlapping spans are merged. Other columns stay, whatever their names.
 
     A text is joined to its blob's findings by digest; only blobs with findings are on the right side."""
-    found = scan(docs, ledger, id, text).where(F.size("spans") > 0).select("blob", "spans").groupBy("blob").agg(F.first("spans").alias("__spans"))
+    blob, spans = fresh(docs, "blob", "spans")
+    hits = scan(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), ledger, "id", "text").where(F.size("spans") > 0)
+    found = hits.groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(spans))
     whole = F.col(text)
 
-    def rebuilt(spans: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-
-        def step(acc: Column, s: Column) -> Column:
-            kept = F.concat(acc["text"], F.when(s["start"] >= acc["at"], F.concat(F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise(F.lit("")))
-            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), kept.alias("text"))
+    def rebuilt(all_: Column) -> Column:
+        def step(at: Column, k: Column) -> tuple[Column, Column]:
+            s = F.get(all_, k)
+            piece = F.array(F.substring(whole, at + 1, s["start"] - at), F.lit("[SECRET]"))
+            return F.greatest(at, s["end"]), F.when(s["start"] >= at, piece).otherwise(F.array().cast("array<string>"))
 
-        return F.aggregate(spans, start, step, lambda acc: F.concat(acc["text"], F.substring(whole, acc["at"] + 1, F.length(whole))))
+        last = F.array_max(F.transform(all_, lambda s: s["end"]))
+        return F.concat(F.array_join(running(F.size(all_), F.lit(0), step, "string"), ""), F.substring(whole, last + 1, F.length(whole)))
 
-    joined = docs.withColumn("__blob", F.sha2(text_of(text), 256)).join(found.withColumnRenamed("blob", "__blob"), "__blob", "left")
-    new = F.when(F.col("__spans").isNull(), whole).otherwise(rebuilt(F.col("__spans")))
-    return joined.withColumn(text, new).select(*docs.columns)
+    joined = docs.withColumn(blob, F.sha2(text_of(text), 256)).join(found, blob, "left")
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), whole).otherwise(rebuilt(F.col(spans)))).select(*docs.columns)

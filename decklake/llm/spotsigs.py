@@ -95,25 +95,43 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
 
 
+LEAST = -(2**63)  # stands for a null id where ranges are cut
+
+
+def _bounds(ids: DataFrame, n: int) -> tuple[int | None, np.ndarray]:
+    """(largest id, up to n - 1 ids of the table that cut it into ranges of about as many rows), as whole numbers.
+
+    Quantiles are approximate and may lie between ids (they are doubles); the largest ids up to them are exact."""
+    found = ids.agg(F.max("id").alias("top"), F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 100 * n).alias("cuts")).first()
+    if found.top is None or n == 1:
+        return found.top, np.zeros(0, np.int64)
+    near = np.unique(np.array([min(max(int(c), LEAST), 2**63 - 1) for c in found.cuts], np.int64))
+
+    @F.pandas_udf("int")
+    def below(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(near, v.to_numpy(), "left").astype(np.int32))
+
+    cuts = ids.where("id is not null").groupBy(below("id").alias("k")).agg(F.max("id").alias("cut")).collect()  # n rows at most
+    return found.top, np.sort(np.array([r.cut for r in cuts if r.cut != found.top], np.int64))
+
+
 def digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row; id must be a whole number."""
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = shuffle_partitions(docs.sparkSession)
     body = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
-    found = body.agg(F.max("id").alias("top"), F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 100 * n).alias("cuts")).first()
-    top, cuts = found.top, np.unique(np.array(found.cuts or [], np.int64))
-    cuts = cuts[cuts != top] if n > 1 else cuts[:0]
+    top, cuts = _bounds(body.select("id"), n)
     down = cuts[::-1].copy()  # range k holds ids from above down[k] up to down[k - 1]; that one begins it
+    top = LEAST if top is None else top
 
     @F.pandas_udf("array<int>")
     def ranges(ids: pd.Series) -> pd.Series:
-        v = ids.to_numpy(dtype="float64", na_value=-math.inf) if ids.isna().any() else ids.to_numpy()
+        v = ids.to_numpy()
         k = len(down) - np.searchsorted(cuts, v, "left")
         begins = np.isin(v, cuts) if len(cuts) else np.zeros(len(v), bool)
         # the top one follows the last of all; ranges that begin with a cut follow the range before
-        return pd.Series([[a, *([~(a - 1)] if b else []), *([~len(down)] if x == top or top is None and a == len(down) else [])] for a, b, x in zip(k.tolist(), begins.tolist(), v.tolist(), strict=True)])
+        return pd.Series([[a, *([~(a - 1)] if b else []), *([~len(down)] if x == top else [])] for a, b, x in zip(k.tolist(), begins.tolist(), v.tolist(), strict=True)])
 
-    dealt = body.withColumn("range", F.explode(ranges("id"))).withColumn("again", F.col("range") < 0)
+    dealt = body.withColumn("range", F.explode(ranges(F.coalesce("id", F.lit(LEAST))))).withColumn("again", F.col("range") < 0)
     dealt = dealt.withColumn("range", F.when(F.col("again"), -F.col("range") - 1).otherwise(F.col("range")))
     ordered = dealt.repartitionById(len(down) + 1, F.col("range")).sortWithinPartitions("again", F.col("id").desc_nulls_last(), "text")
     out = ordered.select("id", "text", "again").mapInArrow(

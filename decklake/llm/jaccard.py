@@ -20,7 +20,8 @@ all rows weighs as one. Classes have 64-bit names.
 
 Edge cases: null or wordless texts have no tokens, size 0, and are linked with nothing, not even each other; texts
 under K words are one token; null ids are kept (a class of null ids only has a null component); repeated rows get a
-row each; an empty table gives no rows; only id and text are read.
+row each; an empty table gives no rows; only id and text are read. deduplicated() keeps one row of each component, whatever
+ids its rows have: that with the least id, null ids last, of those that with the least hash, of equal rows any one.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, text_of
+from .common import fresh, shuffle_partitions, stored, text_of
 from .components import components
 from .shingles import shingle_sets, word_hashes
 
@@ -43,9 +44,9 @@ PERCENT = 75
 STARS = 3
 #: Tokens of a group's union that are kept as one array.
 UNION = 65_536
-_COLS = ["kind", "part", "class", "id", "n", "tokens", "extra"]
-_SCHEMA = "kind int, part int, class long, id long, n int, tokens binary, extra binary"
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+_COLS = ["kind", "part", "class", "id", "n", "tokens", "extra", "row"]
+_SCHEMA = "kind int, part int, class long, id long, n int, tokens binary, extra binary, row long"
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
 MEMBER, TOKENS = 0, 1
 
 
@@ -82,12 +83,12 @@ def _dealt(parts: int, k: int):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = batch.column(0).to_pylist()
+                ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 sets = shingle_sets(*word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in batch.column(1).to_pylist()]), k)
                 rows, fresh, names, sizes = [], [], [], []
-                for i, s in zip(ids, sets, strict=True):
+                for i, mark, s in zip(ids, marks, sets, strict=True):
                     name = xxh64_intdigest(s.tobytes(), 7) >> 1 if len(s) else None
-                    rows.append((MEMBER, ((i or 0) + (name or 0)) % parts, name, i, len(s), None, None))
+                    rows.append((MEMBER, mark % parts, name, i, len(s), None, None, mark))
                     if len(s) and name not in seen:
                         seen.add(name)
                         fresh.append(s)
@@ -104,7 +105,7 @@ def _dealt(parts: int, k: int):
                     for a, b in zip(cuts, [*cuts[1:], len(t)], strict=True):
                         used, local = np.unique(owner[a:b], return_inverse=True)
                         extra = names_[used].tobytes() + sizes_[used].tobytes() + local.astype(np.uint16).tobytes()
-                        rows.append((TOKENS, int(part[a]), None, None, len(used), _planes(t[a:b]), extra))
+                        rows.append((TOKENS, int(part[a]), None, None, len(used), _planes(t[a:b]), extra, None))
                 yield _batch(rows)
 
     return run
@@ -152,7 +153,7 @@ def _shared(parts: int):
         rows = []
         for a, b in zip(cuts, [*cuts[1:], len(c)], strict=True):
             name = int(c[a])
-            rows.append((TOKENS, name % parts, name, None, sizes[name], t[a:b].tobytes(), df[a:b].tobytes()))
+            rows.append((TOKENS, name % parts, name, None, sizes[name], t[a:b].tobytes(), df[a:b].tobytes(), None))
             if len(rows) == 5000:
                 yield _batch(rows)
                 rows = []
@@ -164,8 +165,8 @@ def _shared(parts: int):
 
 def _bounded(percent: int):
     """Rows in order of class to the classes that reach the bound, shared tokens rarest first; members pass."""
-    names = ["class", "id", "n", "tokens", "as_smaller", "as_larger"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32()]
+    names = ["class", "id", "n", "tokens", "as_smaller", "as_larger", "row"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -179,7 +180,7 @@ def _bounded(percent: int):
             as_larger = n - least_of_larger(n, percent) + 1 - alone
             if as_larger <= 0:
                 return []
-            return [(name, None, n, t[np.lexsort((t, df))].view(np.int64), max(0, as_smaller), as_larger)]
+            return [(name, None, n, t[np.lexsort((t, df))].view(np.int64), max(0, as_smaller), as_larger, None)]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -188,8 +189,8 @@ def _bounded(percent: int):
             kind = batch.column(0).to_numpy()
             if (kind == MEMBER).any():
                 m = batch.filter(pa.array(kind == MEMBER))
-                empty = [pa.nulls(m.num_rows, t) for t in types[3:]]
-                yield pa.RecordBatch.from_arrays([m.column("class"), m.column("id"), m.column("n"), *empty], names=names)
+                empty = [pa.nulls(m.num_rows, t) for t in types[3:6]]
+                yield pa.RecordBatch.from_arrays([m.column("class"), m.column("id"), m.column("n"), *empty, m.column("row")], names=names)
             rows = []
             for x in batch.filter(pa.array(kind == TOKENS)).select(["class", "n", "tokens", "extra"]).to_pylist():
                 if held and held[0][0] != x["class"]:
@@ -201,7 +202,7 @@ def _bounded(percent: int):
         if held and (rows := flush()):
             yield out(rows)
 
-    return run, "class long, id long, n int, tokens array<bigint>, as_smaller int, as_larger int"
+    return run, "class long, id long, n int, tokens array<bigint>, as_smaller int, as_larger int, row long"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -270,16 +271,26 @@ def links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found.union(_verified(pairs, sets, percent))
 
 
-def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) of each row; component_id is the smallest id that links reach. id must be a whole number."""
+def _classed(docs: DataFrame, id: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members: id, n, class, row), (roots: class, root): each row's class of equal sets, each class's component."""
     parts = shuffle_partitions(docs.sparkSession)
-    body = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
+    body = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"), _mark(id, text).alias("row"))
     dealt = body.mapInArrow(_dealt(parts, k), _SCHEMA).repartitionById(parts, F.col("part"))
     shared = dealt.mapInArrow(_shared(parts), _SCHEMA).repartitionById(parts, F.col("part")).sortWithinPartitions("kind", "class")
     table = stored(shared.mapInArrow(*_bounded(percent)))
-    sets, members = table.where("tokens is not null").drop("id"), table.where("tokens is null").select("id", "n", "class")
-    lowest = members.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
+    sets, members = table.where("tokens is not null").drop("id", "row"), table.where("tokens is null").select("id", "n", "class", "row")
     found = components(links(sets, percent)).select(F.col("node").alias("class"), "root")
+    return members, found
+
+
+def _mark(id: str, text: str) -> Column:
+    return F.xxhash64(F.col(id).cast("long"), text_of(text))
+
+
+def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) of each row; component_id is the smallest id that links reach. id must be a whole number."""
+    members, found = _classed(docs, id, text, k, percent)
+    lowest = members.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     rooted = lowest.join(found, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("class", "component_id")
@@ -288,6 +299,16 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, pe
 
 
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: that with the smallest id. Documents without words all stay."""
-    kept = join(docs, id, text, k, percent).where(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("__id")).distinct()
-    return docs.join(kept, F.col(id).eqNullSafe(F.col("__id")), "left_semi")
+    """docs with one row of each component; documents without words all stay. Columns may have any names.
+
+    Where a row's text is kept, the row is found by a hash of id and text; equal rows are then told apart by their number."""
+    members, found = _classed(docs, id, text, k, percent)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    lowest = members.where("class is not null").groupBy("class").agg(first).join(found, "class", "left")
+    chosen = lowest.groupBy(F.coalesce("root", "class").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"), F.lit(True).alias("once"))
+    wordless = members.where("class is null").select("row", F.lit(False).alias("once")).distinct()
+    mark, kept, once, rank = fresh(docs, "mark", "kept", "once", "rank")
+    names = chosen.union(wordless).select(F.col("row").alias(kept), F.col("once").alias(once))
+    met = docs.withColumn(mark, _mark(id, text)).join(names, F.col(mark) == F.col(kept))
+    ranked = met.withColumn(rank, F.row_number().over(Window.partitionBy(mark).orderBy(F.lit(0))))
+    return ranked.where((F.col(rank) == 1) | ~F.col(once)).select(*docs.columns)

@@ -7,15 +7,16 @@ Bounds: the driver gets one row per source (at most MAX_SOURCES, checked). The d
 one task per source, over that source's distinct lengths (not its rows). Selection ranks rows within (source, length,
 bucket) only, BUCKETS hash buckets to a length, so a source or a length with a third of all rows is spread out.
 
-Edge cases: null texts have length 0 and are never taken; a null source is a source of its own, the last; repeated
-rows count and are ranked as rows; ties in hash order are broken by id; an empty table gives an empty result.
+Edge cases: null texts have length 0: they take no words, however often they are taken; a null source is a source of its
+own, the last; repeated rows count and are ranked as rows; ties in hash order are broken by id; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_of, words_of
@@ -89,16 +90,16 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return take
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """(id, source, size, source_size, target, passes, taken) of each row; passes is how often the mix takes the row."""
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame, seed: int, id: str, source: str, text: str) -> dict[str, Column]:
+    """What a row is counted and ranked by: source key, size, hash, bucket."""
     key = F.when(F.col(source).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source)))
     hashed = F.xxhash64(F.lit(seed), F.col(id), F.col(text))
-    rows = stored(
-        docs.select(
-            F.col(id).alias("id"), F.col(source).alias("source"), key.alias("key"), F.size(words_of(text_of(text))).cast("long").alias("size"), hashed.alias("h")
-        ).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
-    )
+    return {"key": key, "size": F.size(words_of(text_of(text))).cast("long"), "h": hashed, "bucket": F.pmod(hashed, F.lit(BUCKETS)).cast("int")}
+
+
+def _quotas(rows: DataFrame, weights: tuple[float, ...], share: float) -> tuple[DataFrame, DataFrame]:
+    """From rows (key, size, bucket): (key, size, bucket, prior, quota) and (key, source_size, target, whole)."""
+    spark = rows.sparkSession
     counted = rows.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     sums = counted.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("words"))
     found = sums.limit(MAX_SOURCES + 1).collect()
@@ -118,7 +119,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     quota = lengths.groupBy("key").applyInPandas(fitted, "key string, size long, quota long")
     before = F.sum("n").over(Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     prior = counted.withColumn("prior", F.coalesce(before, F.lit(0))).join(quota, ["key", "size"]).select("key", "size", "bucket", "prior", "quota")
+    return prior, aim
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(id, source, size, source_size, target, passes, taken) of each row; passes is how often the mix takes the row."""
+    keyed = _keyed(docs, seed, id, source, text)
+    rows = stored(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), *[c.alias(n) for n, c in keyed.items()]))
+    prior, aim = _quotas(rows, weights, share)
     rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("h", "id"))
     passes = F.col("whole") + (F.col("prior") + F.col("rank") <= F.col("quota")).cast("int")
     out = rows.withColumn("rank", rank).join(prior, ["key", "size", "bucket"]).join(F.broadcast(aim), "key").withColumn("passes", passes)
     return out.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED, id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """The rows of docs with all their columns, each as often as the mix takes it. Rows, not ids, are ranked; columns may have any names."""
+    keyed = _keyed(docs, seed, id, source, text)
+    prior, aim = _quotas(stored(docs.select(*[c.alias(n) for n, c in keyed.items()]).drop("h")), weights, share)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in keyed.items()])
+    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("h", F.col("row")[id]))
+    met = whole.withColumn("rank", rank).join(prior, ["key", "size", "bucket"]).join(F.broadcast(aim), "key")
+    passes = F.col("whole") + (F.col("prior") + F.col("rank") <= F.col("quota")).cast("int")
+    return met.select("row", F.explode(F.array_repeat(F.lit(1), passes))).select("row.*")

@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; all but the last return the columns of
 documents. Between stages the rows are written as Parquet and read again.
+
+Edge cases: the table may be empty (so is the result), ids and sources may be null or repeated, texts of any length, and there
+may be extra columns of any names, which all stages but the last hand on.
 """
 
 from __future__ import annotations
@@ -15,27 +18,25 @@ from decklake.llm.queries import public_tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; of the others, lines that fail a rule go."""
-    kept = quality.judge(docs).where("kept").withColumn("text", F.col("clean_text"))
-    return kept.withColumn("n_chars", F.length(text_of("text")).cast("long")).select(*docs.columns)
+    """Rejected documents go (null, empty and very short texts too); of the others, lines that fail a rule go."""
+    judged = quality.judge(docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))).where("kept")
+    clean = F.col("clean_text")
+    return judged.select(F.col("row").withField("text", clean).withField("n_chars", F.length(clean).cast("long")).alias("row")).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One row of each group of near duplicates stays, that with the smallest id (null ids last); of repeated rows one."""
     return jaccard.deduplicated(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; null texts stay null."""
     return secrets.redact(docs).withColumn("n_chars", F.length(text_of("text")).cast("long"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("__id"), "passes").where("passes > 0")
-    taken = taken.groupBy("__id").agg(F.max("passes").alias("passes"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*docs.columns)
+    """Each row comes as often as the mix takes it: not at all, once or twice. A null source is a source of its own."""
+    return mixing.repeated(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,6 +152,36 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_taken_words_come_near_the_targets(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, " ".join(["w"] * int(n)), [None, "a", "b", "c", "b", "b"][k % 6]) for k, n in enumerate(rng.integers(0, 300, 3000))] + [(9000 + k, "one text for all of these", "b") for k in range(1500)]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, source string, passes int, row string").repartition(3)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(words(t))
+    # by hand: a, b, c, null weigh 3, 1, 2, 3 and share 150 %; none gets more than twice its size
+    weight, want, free, left = {"a": 3, "b": 1, "c": 2, None: 3}, {}, {"a", "b", "c", None}, 1.5 * sum(size.values())
+    while True:
+        over = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * size[s]}
+        if not over:
+            want |= {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+            break
+        want |= {s: 2.0 * size[s] for s in over}
+        left, free = left - sum(2 * size[s] for s in over), free - over
+    mixed = mixing.mix(docs).collect()
+    taken = Counter()
+    for r in mixed:
+        assert r.taken <= 2 * r["size"] and r.source_size == size[r.source] and abs(r.target - want[r.source]) < 1e-6
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 2 for s in size)
+    again = mixing.repeated(docs)
+    assert again.columns == docs.columns
+    words_of = Counter()
+    for r in again.collect():
+        words_of[r.source] += len(words(r.text))
+    assert all(abs(words_of[s] - want[s]) <= 2 for s in size)
+
+
 def test_targets_are_capped_and_reshared():
     assert mixing.targets([10, 100, 100], [3, 1, 2], 315) == [20.0, pytest.approx(295 / 3), pytest.approx(590 / 3)]
     assert mixing.targets([10, 10], [1, 1], 1000) == [20.0, 20.0] and mixing.targets([0, 5], [1, 1], 7.5) == [0.0, 7.5]
@@ -215,13 +245,22 @@ def test_sharding(spark, docs, none):
     sharding.place(docs, 5, maps=maps).count()
     sharding.place(docs, 6, maps=maps).count()
     old, new = sharding.SlotMap.load(spark, maps, 1), sharding.SlotMap.load(spark, maps)
-    assert (old.version, new.version, new.n_shards) == (1, 2, 6)
+    assert (old.version, new.n_shards) == (1, 6) and new.version > 2 and old.shards == sharding.SlotMap.dealt(5).shards
+
+
+def test_shards_are_near_equal_in_bytes(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(k), "x" * int(n)) for k, n in enumerate(rng.pareto(1.5, 20_000) * 200 + 1)] + [(30_000 + k, "the same text") for k in range(9000)]
+    placed = sharding.place(spark.createDataFrame([(k, t[:40_000]) for k, t in rows], "doc_id long, text string"), 40)
+    load = {r.shard: r.b for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    assert set(load) == set(range(40)) and max(load.values()) - min(load.values()) < 0.02 * min(load.values())
+    assert {r.map_version for r in placed.select("map_version").distinct().collect()} == {2}
 
 
 def test_rebalancing_moves_little():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 1000, sharding.N_SLOTS).tolist()
-    old = sharding.SlotMap.planned(sizes, 40)
+    old = sharding.SlotMap.dealt(40).rebalanced(sizes)
     load = np.bincount(old.shards, sizes)
     assert load.max() - load.min() < 0.01 * load.mean()
     new = old.rebalanced(sizes, 41)
@@ -257,12 +296,23 @@ def test_secrets(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+def test_many_secrets_in_one_text(spark):
+    n = 3000
+    text = " ".join(f"é {k:032x}" for k in range(n))
+    docs = spark.createDataFrame([(1, text, "b", "s", 1)], "doc_id long, text string, blob string, spans string, scan int")
+    row = secrets.scan(docs).first()
+    assert [(s.start, s.rank, s.end) for s in row.spans] == base_spans(text) and len(row.spans) == n
+    clean = secrets.redact(docs).first()
+    assert clean.text == " ".join("é [SECRET]" for _ in range(n)) and (clean.blob, clean.spans, clean.scan) == ("b", "s", 1)
+
+
 def test_the_ledger_scans_each_blob_once(spark):
     ledger = shared_dir(spark)
     one = spark.createDataFrame([(1, "password=12345678")], "doc_id long, text string")
     two = spark.createDataFrame([(1, "password=12345678"), (2, "password=12345678"), (3, "new")], "doc_id long, text string")
     assert secrets.scan(one, ledger).count() == 1 and secrets.scan(two, ledger).count() == 3
     assert spark.read.parquet(ledger).count() == 2
+    assert {r.doc_id: r.scan for r in secrets.scan(two, ledger).collect()} == {1: 1, 2: 1, 3: 2} and spark.read.parquet(ledger).count() == 2
     assert secrets.scan(two, ledger, rule_version=2).count() == 3 and spark.read.parquet(ledger).count() == 4
 
 
@@ -369,6 +419,18 @@ def test_jaccard_join_of_families(spark):
     assert got == linked(rows)
 
 
+def test_one_row_of_each_component_stays(spark):
+    near = A.replace("w7x7", "other")
+    rows = [(3, A), (3, A), (3, near), (8, near), (None, A), (None, "lone text of its own here"), (None, "lone text of its own here"), (5, "x y"), (4, None), (4, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, k, 1, True, "c") for k, (i, t) in enumerate(rows)], "doc_id long, text string, mark int, kept int, once boolean, rank string").repartition(3)
+    kept = jaccard.deduplicated(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    first = [x for x in got if x[1] in (A, near)]
+    assert len(first) == 1 and first[0][0] == 3 and got[first[0]] == 1
+    assert got[None, "lone text of its own here"] == 1 and got[5, "x y"] == 1 and got[4, None] == 2 and got[6, ""] == 1 and sum(got.values()) == 6
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -396,18 +458,48 @@ def test_lines_that_fail_go(spark):
     assert not b.kept and not b.base_failed
 
 
-def test_fingerprints(docs, none):
-    order = sorted(TEXTS, key=lambda r: (0, -r[0], r[1] or "") if r[0] is not None else (1, 0, r[1] or ""))
+def sigs_by_hand(text):
+    """Signatures by their definition: a common word with the two content words that follow it."""
+    import xxhash
+
+    found, w = set(), re.findall(r"\w+", text.lower())
+    for k, anchor in enumerate(w):
+        if anchor in spotsigs.ANCHORS:
+            chain = [x for x in w[k + 1 :] if x not in spotsigs.ANCHORS][:2]
+            if len(chain) == 2:
+                found.add(xxhash.xxh32(f"{anchor} {chain[0]} {chain[1]}").intdigest())
+    return found or {xxhash.xxh32("\0" + text).intdigest()}
+
+
+def fingerprints_by_hand(rows):
+    order = sorted(rows, key=lambda r: (0, -r[0], r[1] or "") if r[0] is not None else (1, 0, r[1] or ""))
     want = Counter()
-    for k, (i, t, _) in enumerate(order):
+    spell = lambda s: "".join(f"{x:08x}" for x in sorted(s))
+    like = lambda x, y: round(len(x & y) / len(x | y), 9)
+    for k, (i, t) in enumerate(order):
         a, b = t or "", order[(k + 1) % len(order)][1] or ""
-        e = spotsigs.edited(a, b)
-        want[i, len(a), hashlib.sha256(e.encode()).hexdigest(), spotsigs.spell(spotsigs.signatures(a)), round(spotsigs.likeness(spotsigs.signatures(a), spotsigs.signatures(b)), 9)] += 1
-    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, round(r.near_next, 9)) for r in spotsigs.digest(docs).collect())
-    assert got == want
+        e = a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+        sa, sb, se = sigs_by_hand(a), sigs_by_hand(b), sigs_by_hand(e)
+        want[i, len(a), hashlib.sha256(e.encode()).hexdigest(), spell(sa), spell(se), like(sa, se), like(sa, sb)] += 1
+    return want
+
+
+def fingerprints_of(df):
+    return Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in spotsigs.digest(df).collect())
+
+
+def test_fingerprints(docs, none):
+    assert fingerprints_of(docs) == fingerprints_by_hand([(i, t) for i, t, _ in TEXTS])
     assert spotsigs.digest(none).count() == 0
 
 
+def test_fingerprints_of_large_ids_nulls_and_repeats(spark):
+    text = lambda k: " ".join(f"the {'abcdef'[(k * j) % 6]}{j % 7} of b{j % (k + 2)}" for j in range(30))
+    for ids in ([2**60 + k for k in range(1, 12)], [-(2**63), None, None, 2**63 - 1, 0, -5], [None] * 5, [7] * 40 + [1, 2, 9], list(range(200)), [3]):
+        rows = [(i, text(k % 9)) for k, i in enumerate(ids)]
+        assert fingerprints_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == fingerprints_by_hand(rows)
+
+
 def test_near_pairs(spark):
     rows = [(i, " ".join(f"the w{i // 4}_{k} v{i // 4}_{k}" for k in range(40) if (i + k) % 9 or i % 4 == 0)) for i in range(24)] + [(30, None), (31, ""), (32, "the w0_1 v0_1")]
     members, pairs = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.7)

@@ -1,16 +1,20 @@
 """A causal self-attention model in numpy: one head, one layer, over classes of subword ids.
 
-The model predicts the class of the next id; an id's share of its class comes from counts over the whole training
-corpus. Frequent ids have classes of their own, the others share classes of about equal mass, those that begin a
-word apart from those that go on."""
+The model predicts the class of the next id in two steps, a group of classes and a class of it, so that the classes can be many at
+the cost of few; an id's share of its class comes from counts over the whole training corpus. Frequent ids have classes of
+their own, the others share classes of about equal mass, those that begin a word apart from those that go on."""
 
 from __future__ import annotations
 
 import numpy as np
 
-D, CLASSES, WINDOW, CONTEXT = 16, 96, 64, 32
-SHARED = 32  # classes that several ids share
-SHAPES = {"E": (CLASSES + 1, D), "P": (WINDOW, D), "Q": (D, D), "K": (D, D), "V": (D, D), "O": (D, D), "U": (D, CLASSES), "b": (CLASSES,)}
+D, GROUPS, MEMBERS, WINDOW, CONTEXT = 16, 32, 32, 64, 32
+CLASSES = GROUPS * MEMBERS
+SHARED = 64  # classes that several ids share
+SHAPES = {
+    "E": (CLASSES + 1, D), "P": (WINDOW, D), "Q": (D, D), "K": (D, D), "V": (D, D), "O": (D, D),
+    "G": (D, GROUPS), "g": (GROUPS,), "U": (GROUPS, D, MEMBERS), "b": (GROUPS, MEMBERS),
+}
 SIZES = {k: int(np.prod(s)) for k, s in SHAPES.items()}
 BOS = CLASSES
 _TRIL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
@@ -33,10 +37,12 @@ def classes_of(counts: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def initial(class_logs: np.ndarray, seed: int = 5) -> np.ndarray:
-    """All parameters in one flat array."""
+    """All parameters in one flat array; the biases give each class its share."""
     rng = np.random.default_rng(seed)
-    p = {k: rng.normal(0, 0.1 if k in "EPU" else D**-0.5, s).astype(np.float32) for k, s in SHAPES.items()}
-    p["b"] = np.maximum(class_logs, -20).astype(np.float32)
+    p = {k: rng.normal(0, 0.1 if k in "EPGU" else D**-0.5, s).astype(np.float32) for k, s in SHAPES.items()}
+    share = np.exp(np.maximum(class_logs, -20)).reshape(GROUPS, MEMBERS)
+    p["g"] = np.log(share.sum(1)).astype(np.float32)
+    p["b"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
     return np.concatenate([p[k].ravel() for k in SHAPES])
 
 
@@ -48,69 +54,119 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def cut(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, which targets count) of one text's windows: each target counts once, after CONTEXT inputs at least but in the first window."""
-    step, n = WINDOW - CONTEXT, len(classes)
-    starts = np.arange(0, max(1, n - CONTEXT), step)
+def cut(classes: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, which targets count) of one text's windows: each target counts once, after `context` inputs at least but in the first window."""
+    step, n = WINDOW - context, len(classes)
+    starts = np.arange(0, max(1, n - context), step)
     at = starts[:, None] + np.arange(WINDOW)
     padded = np.concatenate([[BOS], classes, np.zeros(WINDOW, np.int64)])
-    counts = (at < n) & ((np.arange(WINDOW) >= CONTEXT) | (starts[:, None] == 0))
+    counts = (at < n) & ((np.arange(WINDOW) >= context) | (starts[:, None] == 0))
     at = np.minimum(at, n + WINDOW - 1)
     return padded[at], padded[at + 1], counts
 
 
-def forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
+def _attended(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
+    """(X, q, k, v, weights, y, h) of windows of classes; q is scaled, h in rows."""
+    b, n = x.shape
     X = p["E"][x] + p["P"]
-    q, k, v = X @ p["Q"], X @ p["K"], X @ p["V"]
-    a = np.exp(np.minimum((q * _SCALE) @ k.transpose(0, 2, 1), 30)) * _TRIL
-    a /= a.sum(-1, keepdims=True)
-    y = a @ v
-    h = X + y @ p["O"]
-    return X, q, k, v, a, y, h, h @ p["U"] + p["b"]
+    flat = X.reshape(-1, D)
+    q, k, v = ((flat @ m).reshape(b, n, D) for m in (p["Q"] * _SCALE, p["K"], p["V"]))
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    np.clip(a, -30, 30, out=a)
+    np.exp(a, out=a)
+    a *= _TRIL
+    a /= np.matmul(a, np.ones((n, 1), a.dtype))
+    y = np.matmul(a, v)
+    return flat, q, k, v, a, y, flat + y.reshape(-1, D) @ p["O"]
+
+
+def _by_group(h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the rows by their target's group, h and the target's place in its group in that order, where each group begins)."""
+    group = t // MEMBERS
+    order = np.argsort(group, kind="stable")
+    return order, h[order], (t % MEMBERS)[order], np.searchsorted(group[order], np.arange(GROUPS + 1))
+
+
+def _small(p: dict[str, np.ndarray], h: np.ndarray) -> bool:
+    """True if no logit can be so large that its exponential overflows: logits are at most as large as both factors' norms allow."""
+    norm = np.sqrt((h * h).sum(1).max()) if len(h) else 0
+    return bool(norm * max(np.sqrt((p[u] * p[u]).sum(-2).max()) for u in "GU") + max(np.abs(p[c]).max() for c in "gb") < 60)
+
+
+def _soft(z: np.ndarray, t: np.ndarray, small: bool, shares: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, over their sums if shares, log of the target's share) of rows of logits."""
+    if not small:
+        z -= z.max(1, keepdims=True)
+    at = z[np.arange(len(z)), t]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    if shares:
+        z *= (1 / total)[:, None]
+    return z, at - np.log(total)
+
+
+def class_logs(p: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Natural log of each row's target class's probability."""
+    small = _small(p, h)
+    out = _soft(h @ p["G"] + p["g"], t // MEMBERS, small, False)[1]
+    order, rows, place, bounds = _by_group(h, t)
+    own = np.empty(len(t), h.dtype)
+    for k in range(GROUPS):
+        a, b = bounds[k], bounds[k + 1]
+        if a < b:
+            own[a:b] = _soft(rows[a:b] @ p["U"][k] + p["b"][k], place[a:b], small, False)[1]
+    out[order] += own
+    return out
 
 
-def target_logs(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Natural log of each target class's probability, batches of windows at a time. As forward(), with fewer passes over memory."""
+def target_logs(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, chunk: int = 48) -> np.ndarray:
+    """The same for windows of classes; a few windows at a time, so that they stay in the cache."""
     out = np.empty(x.shape, np.float32)
-    inputs, n = np.concatenate([p["Q"] * _SCALE, p["K"], p["V"]], 1), WINDOW
-    ones = np.ones(CLASSES, np.float32)
-    for i in range(0, len(x), 256):
-        X = p["E"][x[i : i + 256]] + p["P"]
-        b = len(X)
-        qkv = (X.reshape(-1, D) @ inputs).reshape(b, n, 3 * D)
-        a = np.matmul(qkv[..., :D].copy(), qkv[..., D : 2 * D].transpose(0, 2, 1).copy())
-        np.minimum(a, 30, out=a)
-        np.exp(a, out=a)
-        a *= _TRIL
-        y = np.matmul(a, np.concatenate([qkv[..., 2 * D :], np.ones((b, n, 1), np.float32)], 2))  # the last column sums the weights
-        z = (X + (y[..., :D] / y[..., D:]) @ p["O"]).reshape(-1, D) @ p["U"]
-        z += p["b"]
-        at = z[np.arange(len(z)), t[i : i + 256].ravel()]
-        np.minimum(z, 80, out=z)
-        np.exp(z, out=z)
-        out[i : i + 256] = (at - np.log(z @ ones)).reshape(b, n)
+    for j in range(0, len(x), 8 * chunk):
+        end = min(len(x), j + 8 * chunk)
+        h = np.concatenate([_attended(p, x[i : min(i + chunk, end)])[-1] for i in range(j, end, chunk)])
+        out[j:end] = class_logs(p, h, t[j:end].ravel()).reshape(-1, WINDOW)
     return out
 
 
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    X, q, k, v, a, y, h, z = forward(p, x)
-    z = np.exp(z - z.max(-1, keepdims=True))
-    z /= z.sum(-1, keepdims=True)
-    np.put_along_axis(z, t[..., None], np.take_along_axis(z, t[..., None], 2) - 1, 2)
-    z *= (counts / max(1, counts.sum())).astype(np.float32)[..., None]
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"U": flat(h).T @ flat(z), "b": flat(z).sum(0)}
-    dh = z @ p["U"].T
-    g["O"] = flat(y).T @ flat(dh)
-    dy = dh @ p["O"].T
-    da, dv = dy @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dy
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * _SCALE
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    """Of the mean loss over the targets that count, by all parameters."""
+    b, n = x.shape
+    t = t.ravel()
+    X, q, k, v, a, y, h = _attended(p, x)
+    weights = (counts.ravel() / max(1, counts.sum())).astype(h.dtype)
+    small = _small(p, h)
+    z, _ = _soft(h @ p["G"] + p["g"], t // MEMBERS, small)
+    z[np.arange(len(z)), t // MEMBERS] -= 1
+    z *= weights[:, None]
+    g = {"G": h.T @ z, "g": z.sum(0), "U": np.zeros_like(p["U"]), "b": np.zeros_like(p["b"])}
+    dh = z @ p["G"].T
+    order, rows, place, bounds = _by_group(h, t)
+    own, w = np.empty_like(h), weights[order]
+    for k_ in range(GROUPS):
+        lo, hi = bounds[k_], bounds[k_ + 1]
+        if lo < hi:
+            z, _ = _soft(rows[lo:hi] @ p["U"][k_] + p["b"][k_], place[lo:hi], small)
+            z[np.arange(hi - lo), place[lo:hi]] -= 1
+            z *= w[lo:hi, None]
+            g["U"][k_], g["b"][k_] = rows[lo:hi].T @ z, z.sum(0)
+            own[lo:hi] = z @ p["U"][k_].T
+    dh[order] += own
+    flat = lambda m: m.reshape(-1, D)
+    g["O"] = flat(y).T @ dh
+    dy = (dh @ p["O"].T).reshape(b, n, D)
+    da, dv = np.matmul(dy, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dy)
+    da *= a
+    da -= a * np.matmul(da, np.ones((n, 1), a.dtype))
+    dq, dk = flat(np.matmul(da, k)) * _SCALE, flat(np.matmul(da.transpose(0, 2, 1), q))
+    dv = flat(dv)
     dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-    g |= {n: flat(X).T @ flat(d) for n, d in (("Q", dq), ("K", dk), ("V", dv))}
-    g["P"], g["E"] = dx.sum(0), np.zeros_like(p["E"])
-    np.add.at(g["E"], x.ravel(), flat(dx))
-    return np.concatenate([g[n].ravel() for n in SHAPES])
+    g |= {name: X.T @ d for name, d in (("Q", dq), ("K", dk), ("V", dv))}
+    g["P"], g["E"] = dx.reshape(b, n, D).sum(0), np.zeros_like(p["E"])
+    order = np.argsort(x.ravel(), kind="stable")
+    seen, first = np.unique(x.ravel()[order], return_index=True)
+    g["E"][seen] = np.add.reduceat(dx[order], first)
+    return np.concatenate([g[name].ravel() for name in SHAPES])
 
 
 class Learner:

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,7 @@ def _learnt(tokenizer: str, of: np.ndarray, flat: np.ndarray):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 for ids in subwords([t.encode("utf-8", "surrogatepass").lower() for t in whole.column(0).slice(at, 256).to_pylist()]):
-                    x, t, c = model.cut(of[ids])
+                    x, t, c = model.cut(of[ids], 0)  # every id is learnt once
                     for i in range(0, len(x), 4096):
                         learner.add((x[i : i + 4096], t[i : i + 4096], c[i : i + 4096]))
         learner.flush()
@@ -162,16 +163,28 @@ def learnt_in(k: int) -> Column:
     return (F.col("flag") == 1) & (F.pmod("row", F.lit(ROUNDS)) == k)
 
 
-def score(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
+@dataclass
+class Fitted:
+    """What is learnt from a corpus: counts of its words (a table of answers), and the attention model over classes of subword ids."""
 
-    tokenizer: a tokenizers file. A text's end is the file's end of text, else its last id."""
-    parts, own = shuffle_partitions(docs.sparkSession), encoder(tokenizer)
+    told: DataFrame
+    train_tokens: int
+    distinct: int
+    of: np.ndarray
+    shares: np.ndarray
+    flat: np.ndarray
+
+
+def _body(docs: DataFrame, id: str, text: str) -> DataFrame:
     name = F.crc32(F.coalesce(F.col(id).cast("string"), F.lit("")).cast("binary"))
     body = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"), (name % FOLDS != OUT).cast("int").alias("flag"))
-    body = body.withColumn("row", F.xxhash64("id", "text"))
-    texts = body.select("row", "id", "flag", "text").mapInArrow(X.packed(parts), X.SCHEMA)
-    asked = X.dealt(texts, parts).mapInArrow(_counted(parts, tokenizer), X.SCHEMA)
+    return body.withColumn("row", F.xxhash64("id", "text"))
+
+
+def fit(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> Fitted:
+    """Counts and model of all training documents of docs."""
+    parts, own, body = shuffle_partitions(docs.sparkSession), encoder(tokenizer), _body(docs, id, text)
+    asked = X.dealt(_texts(body, parts), parts).mapInArrow(_counted(parts, tokenizer), X.SCHEMA)
     told = stored(X.dealt(asked, parts).mapInArrow(X.answering([WORD, ID], _sums), X.SCHEMA))
     counts, train_tokens, distinct = np.zeros(own.size, np.int64), 0, 0
     for r in told.where(F.col("kind") == STATS).select("src", "n", "blob").collect():  # two rows a range
@@ -185,9 +198,23 @@ def score(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text
     for k in range(ROUNDS):
         chosen = body.where(learnt_in(k)).select("text")
         learnt = chosen.mapInArrow(_learnt(tokenizer, of, flat), "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect()
-        for r in learnt:
+        for r in learnt:  # a row a parameter
             flat[r.i] = r.v
-    per_token = math.log10(train_tokens + distinct + 1)
-    rows = X.dealt(texts, parts, told.where(F.col("kind") < X.NOTE))
-    scored = rows.mapInArrow(_scored(tokenizer, of, shares, flat, per_token), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return Fitted(told, train_tokens, distinct, of, shares, flat)
+
+
+def _texts(body: DataFrame, parts: int) -> DataFrame:
+    return body.select("row", "id", "flag", "text").mapInArrow(X.packed(parts), X.SCHEMA)
+
+
+def score(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", fitted: Fitted | None = None) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; fitted: from the same docs, if fit() has run already.
+
+    tokenizer: a tokenizers file. A text's end is the file's end of text, else its last id."""
+    parts, own = shuffle_partitions(docs.sparkSession), fitted or fit(docs, tokenizer, id, text)
+    per_token = math.log10(own.train_tokens + own.distinct + 1)
+    rows = X.dealt(_texts(_body(docs, id, text), parts), parts, own.told.where(F.col("kind") < X.NOTE))
+    scored = rows.mapInArrow(
+        _scored(tokenizer, own.of, own.shares, own.flat, per_token), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    return scored.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(own.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -525,40 +525,95 @@ def test_scoring(docs, none):
     assert scoring.score(none, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def plain_logs(p, classes):
+    """Log probability of each class by loops over positions: the window that counts it, attention to what is before it, two softmaxes."""
+    A, out = attention, []
+    step, n = A.WINDOW - A.CONTEXT, len(classes)
+    seq = [A.BOS, *classes.tolist()]
+    for i in range(n):
+        start = 0 if i < A.WINDOW else -(-(i - A.WINDOW + 1) // step) * step
+        x = [p["E"][seq[j]] + p["P"][j - start] for j in range(start, i + 1)]
+        q = x[-1] @ p["Q"]
+        w = np.array([np.exp(np.clip(q @ (v @ p["K"]) / np.sqrt(A.D), -30, 30)) for v in x])
+        y = sum(a * (v @ p["V"]) for a, v in zip(w / w.sum(), x, strict=True))
+        h = x[-1] + y @ p["O"]
+        group, place = divmod(int(classes[i]), A.MEMBERS)
+        one, two = h @ p["G"] + p["g"], h @ p["U"][group] + p["b"][group]
+        out.append(one[group] - np.log(np.exp(one).sum()) + two[place] - np.log(np.exp(two).sum()))
+    return np.array(out)
+
+
+def test_scores_are_those_of_a_plain_loop(spark):
+    rng = np.random.default_rng(13)
+    texts = {k: " ".join(rng.choice(["la", "mere", "of", "tokens", "x", "Zürich"], int(rng.integers(0, 90)))) for k in range(14)}
+    docs = spark.createDataFrame([*texts.items(), (20, None)], "doc_id long, text string").repartition(3)
+    path = P.path("byte_bpe_50k.json")
+    fitted = scoring.fit(docs, path)
+    got = {r.doc_id: r.score for r in scoring.score(docs, path, fitted=fitted).collect()}
+    subwords, p = scoring.Subwords(path), attention.unpacked(fitted.flat.astype(np.float64))
+    for k, t in {**texts, 20: ""}.items():
+        ids = subwords([t.encode().lower()])[0]
+        want = (plain_logs(p, fitted.of[ids]).sum() + fitted.shares[ids].sum()) / np.log(10)
+        assert got[k] == pytest.approx(want, rel=1e-3, abs=1e-3)
+
+
+def test_the_model_beats_counts_of_its_own_ids(spark):
+    rng = np.random.default_rng(14)
+    vocabulary = ["".join(rng.choice(["ka", "lo", "mi", "ster", "an", "vu"], int(rng.integers(2, 5)))) for _ in range(60)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(vocabulary, 300))) for k in range(300)], "doc_id long, text string").repartition(2)
+    path = P.path("byte_bpe_50k.json")
+    fitted = scoring.fit(docs, path)
+    subwords = scoring.Subwords(path)
+    rows = scoring.score(docs, path, fitted=fitted).join(docs, "doc_id").where("held_out").collect()
+    train = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    counts = np.bincount(np.concatenate(subwords([t.encode() for t in train])), minlength=subwords.encoder.size) + 1
+    logs = np.log10(counts / counts.sum())
+    unigram = sum(logs[ids].sum() for ids in subwords([r.text.encode() for r in rows]))
+    assert len(rows) > 20 and sum(r.score for r in rows) > 0.8 * unigram
+
+
 def test_attention_is_causal_and_scores_each_token_once():
-    counts, begins = np.arange(300)[::-1], np.arange(300) % 2 == 0
+    counts, begins = np.arange(3000)[::-1], np.arange(3000) % 2 == 0
     of, shares, logs = attention.classes_of(counts, begins)
     assert all(abs(np.exp(shares[of == c]).sum() - 1) < 1e-9 for c in np.unique(of))
     p = attention.unpacked(attention.initial(logs))
     rng = np.random.default_rng(6)
-    for n in (1, 5, 31, 32, 33, 56, 57, 200):
-        seq = of[rng.integers(0, 300, n)]
-        x, t, c = attention.cut(seq)
-        assert c.sum() == n and np.array_equal(np.sort(t[c]), np.sort(seq))
-    x, t, c = attention.cut(of[rng.integers(0, 300, 20)])
+    for context in (0, attention.CONTEXT):
+        for n in (1, 5, 31, 32, 33, 56, 57, 64, 65, 200):
+            seq = of[rng.integers(0, 3000, n)]
+            x, t, c = attention.cut(seq, context)
+            assert c.sum() == n and np.array_equal(t[c], seq)
+    seq = of[rng.integers(0, 3000, 20)]
+    x, t, c = attention.cut(seq)
     a = attention.target_logs(p, x, t)
     y = x.copy()
     y[0, 12:] = 3
     b = attention.target_logs(p, y, t)
-    assert np.allclose(a[0, :12], b[0, :12]) and not np.allclose(a[0, 12:], b[0, 12:])
-    z = attention.forward(p, x)[-1]
-    assert np.allclose(np.log(np.exp(z).sum(-1)), np.take_along_axis(z, t[..., None], 2)[..., 0] - a, atol=1e-4)
+    assert np.allclose(a[0, :12], b[0, :12]) and not np.allclose(a[0, 12:20], b[0, 12:20])
+    assert np.allclose(a[c], plain_logs(p, seq), atol=1e-4)
+    every = attention.class_logs(p, np.repeat(attention._attended(p, x)[-1][:1], attention.CLASSES, 0), np.arange(attention.CLASSES))
+    assert abs(np.exp(every).sum() - 1) < 1e-4
+    large = attention.unpacked(attention.initial(logs) * 80)
+    assert (attention.target_logs(large, x, t) <= 0).all()
 
 
 def test_gradients_and_learning():
-    _, _, logs = attention.classes_of(np.arange(300)[::-1], np.arange(300) % 2 == 0)
+    _, _, logs = attention.classes_of(np.arange(3000)[::-1], np.arange(3000) % 2 == 0)
     flat = attention.initial(logs).astype(np.float64)
     rng = np.random.default_rng(7)
     x, t, c = attention.cut(rng.integers(0, attention.CLASSES, 40))
-    loss = lambda f: -(attention.forward(attention.unpacked(f), x)[-1] - 0)[0, 0, 0]
 
     def nll(f):
-        z = attention.forward(attention.unpacked(f), x)[-1]
-        return -((np.take_along_axis(z, t[..., None], 2)[..., 0] - np.log(np.exp(z).sum(-1))) * c).sum() / c.sum()
+        p = attention.unpacked(f)
+        return -(attention.class_logs(p, attention._attended(p, x)[-1], t.ravel()) * c.ravel()).sum() / c.sum()
 
-    assert np.isfinite(loss(flat))
     g = attention.gradient(attention.unpacked(flat), x, t, c)
-    for k in rng.integers(0, len(flat), 25):
+    places, at = [], 0
+    for k in attention.SHAPES:  # some of each kind of parameter, those that matter most
+        own = np.abs(g[at : at + attention.SIZES[k]])
+        places += (at + np.argsort(-own)[:6]).tolist()
+        at += attention.SIZES[k]
+    for k in places:
         d = np.zeros_like(flat)
         d[k] = 1e-5
         assert abs((nll(flat + d) - nll(flat - d)) / 2e-5 - g[k]) < 1e-4

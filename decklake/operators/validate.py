@@ -5,11 +5,14 @@ from __future__ import annotations
 import json
 import subprocess
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TIMEOUT = 60
+from .metrics import success_rate
+
+TIMEOUT, WORKERS = 60, 8
 
 
 def command(argv: list[str], timeout: int = TIMEOUT) -> Callable[[str], dict]:
@@ -31,20 +34,28 @@ def command(argv: list[str], timeout: int = TIMEOUT) -> Callable[[str], dict]:
     return run
 
 
-def validated(decks: DataFrame, validator: Callable[[str], dict], id: str = "seq", deck: str = "deck") -> DataFrame:
-    """(id, ok, error, result as JSON) of each deck; a reply with an error, or an exception, is not ok."""
+def validated(decks: DataFrame, validator: Callable[[str], dict], id: str = "seq", deck: str = "deck", workers: int = WORKERS) -> DataFrame:
+    """(id, ok, error, result as JSON) of each deck; a reply with an error, or an exception, is not ok.
+
+    A task has up to `workers` decks under way at a time: a validator mostly waits for a program."""
+
+    def one(text: str | None) -> tuple:
+        try:
+            reply = validator(text or "")
+        except Exception as e:  # whatever a validator does becomes the row's error
+            reply = {"error": f"{type(e).__name__}: {e}"}
+        error = reply.get("error")
+        return not error, error or None, None if error else json.dumps(reply, ensure_ascii=False)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for text in pdf[deck]:
-                try:
-                    reply = validator(text or "")
-                except Exception as e:  # whatever a validator does becomes the row's error
-                    reply = {"error": f"{type(e).__name__}: {e}"}
-                error = reply.get("error")
-                rows.append((not error, error or None, None if error else json.dumps(reply, ensure_ascii=False)))
-            out = pd.DataFrame(rows, columns=["ok", "error", "result"], index=pdf.index)
-            yield pd.concat([pdf[[id]], out], axis=1)
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in frames:
+                out = pd.DataFrame(list(pool.map(one, pdf[deck])), columns=["ok", "error", "result"], index=pdf.index)
+                yield pd.concat([pdf[[id]], out], axis=1)
 
     return decks.select(id, deck).mapInPandas(run, f"{id} {decks.schema[id].dataType.simpleString()}, ok boolean, error string, result string")
+
+
+def rate(checked: DataFrame) -> DataFrame:
+    """One row (n, n_ok, rate) of validated decks; the rate of none is 0."""
+    return success_rate(checked)

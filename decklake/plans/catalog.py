@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import chat as C
 from ..functions import stats as S
 from ..functions import text as T
-from ..operators import features, metrics, runs, sampling, split, tail, tree
-from ..sources import sinks
+from ..operators import features, metrics, runs, sampling, split, tail, tree, validate
+from ..sources import records, sinks
+from ..sources.storage import shared_dir
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -619,3 +620,71 @@ def padded_batch(spark, sf):
 def truncated_ids(spark, sf):
     ids = features.truncated(F.col("ids"), MAX_LEN)
     return _features(spark, sf).select("doc_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("ids"))
+
+
+# ---- sources and sinks: written, then read again ----
+
+
+@query(_CHATS + "select coalesce(u[1].content, '') as prompt, coalesce(a[1].content, '') as reference from t")
+def written_chats(spark, sf):
+    path = shared_dir(spark)
+    sinks.append_pairs(X.chats(spark, sf).select("messages", F.lit("kept").alias("extra")), path)
+    return records.prompts(records.read_records(spark, path))
+
+
+@query("select row_number() over (order by c_custkey) - 1 as line_no, c_name as value from customer")
+def numbered_lines(spark, sf):
+    path = shared_dir(spark)
+    sinks.write_corpus(X.table(spark, sf, "customer").orderBy("c_custkey"), path, "c_name")
+    return records.physical_lines(spark, path).select("line_no", "value")
+
+
+@query("select 0 as file_no, n_nationkey as line_no, n_name as prompt, lower(n_name) as reference from nation union all select 1, r_regionkey, r_name, lower(r_name) from region")
+def pooled_records(spark, sf):
+    paths = []
+    for name in ("n_nation", "r_region"):
+        paths.append(shared_dir(spark))
+        rows = X.table(spark, sf, name[2:]).orderBy(f"{name}key").select(F.col(f"{name[:2]}name").alias("instruction"), F.lower(f"{name[:2]}name").alias("output"))
+        rows.coalesce(1).write.json(paths[-1])
+    return records.prompts(records.read_records(spark, *paths, ordered=True))
+
+
+@query("select 0 as file_no, r_regionkey as line_no, r_name as prompt from region where r_regionkey < 3")
+def first_records(spark, sf):
+    path = shared_dir(spark)
+    X.table(spark, sf, "region").orderBy("r_regionkey").select(F.col("r_name").alias("instruction")).coalesce(1).write.json(path)
+    return records.prompts(records.read_records(spark, path, limit_lines=3)).select("file_no", "line_no", "prompt")
+
+
+@query(_DECKS + "select seq, split, deck from parts")
+def written_splits(spark, sf):
+    path = shared_dir(spark)
+    sinks.write_splits(_split(spark, sf).select("seq", "split", "deck"), path)
+    return spark.read.schema("seq long, deck string, split string").json(path).select("seq", "split", "deck")
+
+
+@query("select item_id, text as gold, case when item_id % 3 = 0 then null else lower(text) end as pred, item_id % 2 = 0 as cola from benchmark")
+def written_reports(spark, sf):
+    path = shared_dir(spark)
+    pred = F.when(F.col("item_id") % 3 != 0, F.lower("text"))
+    sinks.append_pairs(X.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("gold"), pred.alias("pred"), (F.col("item_id") % 2 == 0).alias("cola")), path)
+    back = spark.read.schema("item_id long, gold string").json(path)
+    return records.read_reports(spark, path).drop("file").join(back, "gold").select("item_id", "gold", "pred", "cola")
+
+
+@query("""select item_id, 'q' || item_id as prompt, text as deck, item_id % 3 <> 0 and item_id % 5 <> 0 as ok,
+ case when item_id % 3 = 0 then 'bad' when item_id % 5 = 0 then 'ValueError: odd' end as error from benchmark""")
+def written_dump(spark, sf):
+    """Decks validated from outside (a failure is a row), dumped and read again."""
+
+    def check(deck: str) -> dict:
+        k = int(deck.split(" ", 1)[0])
+        if k % 3 and k % 5 == 0:
+            raise ValueError("odd")
+        return {"error": "bad"} if k % 3 == 0 else {"n": k}
+
+    b, path = X.table(spark, sf, "benchmark"), shared_dir(spark)
+    checked = validate.validated(b.select("item_id", F.concat_ws(" ", F.col("item_id").cast("string"), "text").alias("said")), check, "item_id", "said")
+    sinks.write_dump(checked.join(b, "item_id").withColumns({"prompt": F.concat(F.lit("q"), F.col("item_id").cast("string")), "deck": F.col("text")}), path)
+    back = spark.read.schema("prompt string, deck string, ok boolean, error string").json(path)
+    return back.select(F.substring("prompt", 2, 20).cast("long").alias("item_id"), "prompt", "deck", "ok", "error")

@@ -1,7 +1,7 @@
 """Readers of message and instruction records, texts, configurations and documents.
 
-Line files are read with an explicit schema. Where order matters, rows get the pair (file_no, line_no): files in
-the order given, lines numbered per file by the position Spark reads them at."""
+Line files are read with an explicit schema. Where order matters, rows get the pair (file_no, line_no): paths in
+the order given; of each path the lines are numbered by file name and place in the file."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,14 +19,29 @@ MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.St
 RECORD = T.StructType([T.StructField("messages", MESSAGES), *[T.StructField(c, T.StringType()) for c in ("instruction", "input", "output")], T.StructField("_corrupt", T.StringType())])
 
 
-def physical_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """(file_no, line_no, value) of all lines, blank ones too. Numbers come from zipWithIndex over each file, read in order."""
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, value): a scan counts the lines of each block of each file, sums give where a block begins. No row is moved or leaves the JVM."""
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select("value", m["file_path"].alias("f"), m["file_block_start"].alias("b"), F.monotonically_increasing_id().alias("m"))
+    blocks = lines.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    # a row a block of the file system: few against the lines
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = blocks.select("f", "b", (before - F.col("first")).alias("shift"))
+    return lines.join(begins, ["f", "b"]).select((F.col("m") + F.col("shift")).alias("line_no"), "value")
+
+
+def physical_lines(spark: SparkSession, *paths: str, limit: int | None = None) -> DataFrame:
+    """(file_no, line_no, value) of all lines, blank ones too; limit: of each path only the first, which are all that is read."""
     out = None
     for k, path in enumerate(paths):
-        rows = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-        part = spark.createDataFrame(rows, "line_no long, value string").withColumn("file_no", F.lit(k))
+        if limit is None:
+            part = _numbered(spark, path)
+        else:
+            first = spark.read.text(path).take(limit)
+            part = spark.createDataFrame([(n, r.value) for n, r in enumerate(first)], "line_no long, value string")
+        part = part.select(F.lit(k).alias("file_no"), "line_no", "value")
         out = part if out is None else out.unionByName(part)
-    return out.select("file_no", "line_no", "value")
+    return out
 
 
 def read_records(spark: SparkSession, *paths: str, strict: bool = False, ordered: bool = False, limit_lines: int | None = None) -> DataFrame:
@@ -35,9 +50,7 @@ def read_records(spark: SparkSession, *paths: str, strict: bool = False, ordered
     limit_lines: of each file only the first physical lines."""
     if not (strict or ordered or limit_lines is not None):
         return spark.read.schema(RECORD).option("columnNameOfCorruptRecord", "_corrupt").json(list(paths))
-    rows = physical_lines(spark, *paths)
-    if limit_lines is not None:
-        rows = rows.where(F.col("line_no") < limit_lines)
+    rows = physical_lines(spark, *paths, limit=limit_lines)
     if not strict:
         rows = rows.where(F.trim("value") != "")
     parsed = F.from_json("value", RECORD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -164,7 +177,17 @@ def first_of(*sources) -> object:
 
 #: The version that the adequacy contract is written for, and the contract used where none is found.
 CONTRACT_VERSION = "0.1.0"
-CONTRACT = {"vocab": {"severities": ["blocker", "major", "minor"], "severity_weight": {"blocker": 1.0, "major": 0.4, "minor": 0.1}}}
+CONTRACT = {
+    "vocab": {
+        "systems": ["frame", "truss", "continuous_beam", "cantilever", "arch", "cable", "slab", "wall", "shell", "solid", "mixed"],
+        "categories": [
+            "missing_param", "wrong_value", "wrong_typology", "wrong_support", "wrong_load", "wrong_material", "wrong_section",
+            "topology_broken", "extra_element", "wrong_analysis", "wrong_norm", "missing_check", "physical_insane",
+        ],
+        "severities": ["blocker", "major", "minor"],
+        "severity_weight": {"blocker": 1.0, "major": 0.4, "minor": 0.1},
+    }
+}
 
 
 def check_version(contract: dict, strict: bool = False) -> bool:

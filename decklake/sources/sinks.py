@@ -23,6 +23,17 @@ def append_pairs(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
+def write_dump(checked: DataFrame, path: str) -> None:
+    """A line (prompt, deck, ok, error) for each validated deck, added to what is there; nulls are kept."""
+    append_pairs(checked.select("prompt", "deck", "ok", "error"), path)
+
+
+def write_sidecar(folder: str, name: str = "tsd_config.json", **parameters) -> None:
+    """Bias parameters beside a model, for read_sidecar()."""
+    with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+        json.dump(parameters, f, ensure_ascii=False, indent=2)
+
+
 def write_once(document: dict, path: str) -> None:
     """A JSON document that is never written over."""
     with open(path, "x", encoding="utf-8") as f:

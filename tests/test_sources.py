@@ -58,6 +58,41 @@ def test_sinks(spark, tmp_path):
     assert sinks.write_document(df.agg(F.count(F.lit(1)).alias("n")), str(tmp_path / "m.json")) == {"n": 2}
 
 
+def test_lines_are_numbered_by_file_and_place(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    want = []
+    for k in (2, 0, 1):
+        (d / f"part-{k}.txt").write_text("".join(f"{k}:{j}\n" + "\n" * (j % 3) for j in range(200 * k)))
+    for k in range(3):
+        want += (d / f"part-{k}.txt").read_text().split("\n")[:-1]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)
+    try:
+        got = records.physical_lines(spark, str(d)).orderBy("line_no").collect()
+        assert [r.line_no for r in got] == list(range(len(want))) and [r.value for r in got] == want
+        assert [r.value for r in records.physical_lines(spark, str(d / "part-1.txt"), limit=3).orderBy("line_no").collect()] == ["1:0", "1:1", ""]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sidecar_round_trip(tmp_path):
+    sinks.write_sidecar(str(tmp_path), use_tsd=True, lam=0.5, tree="ast")
+    assert sinks.read_sidecar(str(tmp_path)) == {"use_tsd": True, "lam": 0.5, "tree": "ast"}
+
+
+def test_a_task_validates_several_decks_at_a_time(spark):
+    import time
+
+    def slow(deck):
+        time.sleep(0.5)
+        return {"n": 1}
+
+    decks = spark.createDataFrame([(k, "x") for k in range(8)], "seq int, deck string").coalesce(1)
+    began = time.perf_counter()
+    assert validate.rate(validate.validated(decks, slow)).first().rate == 1.0
+    assert time.perf_counter() - began < 3.5
+
+
 def test_stream_is_resumed(spark, files, tmp_path):
     src, out, chk = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "chk")
     src.mkdir()

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import exists as exists
+from ..sources.storage import shared_dir as shared_dir
+
 #: Fixed value: the characters between words (space and \x09-\x0D).
 SPACES = " \t\n\x0b\x0c\r"
 #: Fixed value: what counts as a word.
@@ -41,32 +39,6 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-_FOLDERS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The name of a fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    All of an application's are in one folder, which goes when the application ends. Where the setting is unset, a local session
-    gets a temporary folder; on a cluster that is an error, for its machines would not see each other's files."""
-    app = spark.sparkContext.applicationId
-    if app not in _FOLDERS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = tempfile.mkdtemp(prefix="decklake-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-            base = f"file://{base}"
-        own = f"{base.rstrip('/')}/decklake-{uuid.uuid4().hex}"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-        _FOLDERS[app] = own
-    return f"{_FOLDERS[app]}/{uuid.uuid4().hex}"
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that no column of df has."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -104,12 +76,6 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """True if path is there, in whatever file system it names."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

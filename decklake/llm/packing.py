@@ -1,8 +1,9 @@
 """Best-fit packing into sequences after Martello-Toth dominance reduction.
 
 Only the number of pieces of each length matters for a packing, so the whole instance is a histogram with as many
-entries as a sequence has places. Reduction fixes sets that provably dominate all others: a piece that nothing fits
-beside, a pair that fills a sequence exactly, a largest partner where at most one more piece fits. The remainder
+entries as a sequence has places. Reduction fixes sets of up to three that provably dominate all others with the same
+longest piece: a piece that nothing fits beside, a pair that fills a sequence exactly, the largest partner where it is as large
+as any two that fit, the two largest where no two between them fit. The remainder
 is packed best-fit, longest first, many like sequences at a time. The plan is a list of intervals: pieces number a to
 b of a length go to sequences from c on, q to a sequence, from offset o. Pieces find their place by their rank.
 
@@ -17,6 +18,7 @@ after a shorter first piece; repeated rows and null ids are pieces of their own;
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,18 +56,30 @@ class Plan:
         self.used += bins
         return self.used - bins
 
-    def _partner(self, size: int) -> int | None:
-        """What a longest piece is fixed with: 0 for nothing, a length, or None if no set is known to dominate."""
-        own = [*sorted(self.left)]
-        rest = [s for s in own if s != size or self.left[s] > 1]
-        if not rest or size + rest[0] > self.capacity:
-            return 0
-        exact = self.capacity - size
-        if exact in self.left and (exact != size or self.left[size] > 1):
-            return exact
-        least = rest[0] * 2 if self.left[rest[0]] - (rest[0] == size) > 1 else rest[0] + rest[1] if len(rest) > 1 else self.capacity
-        if size + least > self.capacity:
-            return max(s for s in rest if s <= exact)
+    def _partners(self, size: int) -> tuple[int, ...] | None:
+        """What a piece is fixed with: no other, one or two; None if no set of these is known to dominate.
+
+        A set dominates another if each piece of the other, or some of them together, can be exchanged for one of its own."""
+        have = dict(self.left)
+        have[size] -= 1
+        rest = [s for s in sorted(have) if have[s]]
+        room = self.capacity - size
+        least = lambda k: sum([s for s in rest[:k] for _ in range(min(k, have[s]))][:k]) if sum(have[s] for s in rest[:k]) >= k else self.capacity + 1
+        if least(1) > room:
+            return ()
+        largest = max(s for s in rest if s <= room)
+        if largest == room or least(2) > room:
+            return (largest,)
+        if least(3) <= room:
+            return None
+        # at most two fit beside it; the most that two of them have together
+        pairs = [(x + y, x, y) for x in rest for y in [max((s for s in rest if s <= min(x, room - x) and (s != x or have[s] > 1)), default=0)] if y]
+        if largest >= max(pairs)[0]:
+            return (largest,)
+        second = max((s for s in rest if s <= room - largest and (s != largest or have[s] > 1)), default=0)
+        above = [s for s in rest if s > second for _ in range(min(2, have[s]))][:2]
+        if second and (len(above) < 2 or sum(above) > room):
+            return (largest, second)
         return None
 
     def _reduce(self) -> int:
@@ -74,21 +88,17 @@ class Plan:
         while again:
             again = False
             for size in sorted(self.left, reverse=True):
-                while size in self.left and (other := self._partner(size)) is not None:
+                while size in self.left and (others := self._partners(size)) is not None:
                     again = True
-                    n = self.left[size]
-                    if other == 0:
-                        # a single last piece of this length may stand alone only if no second one fits
-                        n = n if size * 2 > self.capacity else 1
-                        self._put(size, self._open(n), n, 1, 0)
-                    elif other == size:
-                        bins = n // 2
-                        self._put(size, self._open(bins), bins, 2, 0)
-                    else:
-                        bins = min(n, self.left[other])
-                        base = self._open(bins)
-                        self._put(size, base, bins, 1, 0)
-                        self._put(other, base, bins, 1, size)
+                    need = Counter((size, *others))
+                    # what dominates goes on doing so while there are pieces for it: the others only get fewer
+                    bins = min(self.left[s] // n for s, n in need.items())
+                    if not others and size * 2 <= self.capacity:
+                        bins = 1  # it stands alone only because it is the last one
+                    base, at = self._open(bins), 0
+                    for s, n in sorted(need.items(), reverse=True):
+                        self._put(s, base, bins, n, at)
+                        at += s * n
         return self.used
 
     def _best_fit(self) -> None:
@@ -109,7 +119,7 @@ class Plan:
                 full = min(bins, n // q)
                 if full:
                     self._put(size, base, full, q, self.capacity - r)
-                    room.setdefault(r - full * 0 - q * size, []).append((base, full))
+                    room.setdefault(r - q * size, []).append((base, full))
                 if full < bins:
                     part = n - full * q
                     if part:

@@ -371,6 +371,43 @@ def test_plans_are_whole_and_tight():
     assert packing.Plan({1024: 2, 1000: 1, 24: 1, 512: 3}).used == 5
 
 
+def fewest_bins(pieces, capacity):
+    """By trying all placements."""
+    best = len(pieces)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(pieces):
+            best = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= pieces[k]:
+                left = list(rooms)
+                left[left.index(r)] -= pieces[k]
+                place(k + 1, left)
+        place(k + 1, [*rooms, capacity - pieces[k]])
+
+    pieces = sorted(pieces, reverse=True)
+    place(0, [])
+    return best
+
+
+def test_reduction_keeps_the_least_number_of_sequences():
+    rng = np.random.default_rng(15)
+    fixed = 0
+    for _ in range(300):
+        capacity = int(rng.integers(6, 30))
+        pieces = rng.integers(1, capacity + 1, int(rng.integers(1, 9))).tolist()
+        plan = packing.Plan.__new__(packing.Plan)
+        plan.capacity, plan.left, plan.next, plan.used, plan.intervals = capacity, dict(Counter(pieces)), {}, 0, []
+        fixed += (used := plan._reduce())
+        rest = [s for s, n in plan.left.items() for _ in range(n)]
+        assert used + (fewest_bins(rest, capacity) if rest else 0) == fewest_bins(pieces, capacity), (capacity, pieces)
+    assert fixed > 500
+
+
 def shingles(t):
     w = words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}

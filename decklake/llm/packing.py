@@ -8,7 +8,7 @@ is packed best-fit, longest first, many like sequences at a time. The plan is a
 b of a length go to sequences from c on, q to a sequence, from offset o. Pieces find their place by their rank.
 
 Bounds: the histogram (at most `capacity` rows) is all that reaches the driver; the plan has a few rows per length,
-and is checked against MAX_PLAN before it is broadcast. Ranks are taken within (length, hash bucket), so a length that
+and is broadcast up to MAX_PLAN rows, else joined. Ranks are taken within (length, hash bucket), so a length that
 a third of all pieces share is spread over BUCKETS tasks.
 
 Edge cases: null texts are empty and give one piece (the end id); texts of any length are cut into whole sequences
@@ -165,14 +165,13 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     cut = stored(cut.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")))
     counted = cut.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     plan = Plan({r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    if len(plan.intervals) > MAX_PLAN:
-        raise ValueError(f"a plan of {len(plan.intervals)} intervals")
     table = spark.createDataFrame(plan.intervals, "length long, first long, last long, base long, q int, at int")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     prior = counted.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("prior"))
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32"))
     ranked = cut.withColumn("rank", rank).join(prior, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("prior") - 1)
-    t = F.broadcast(table.withColumnRenamed("length", "of"))
+    t = table.withColumnRenamed("length", "of")
+    t = F.broadcast(t) if len(plan.intervals) <= MAX_PLAN else t
     placed = ranked.join(t, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     k = F.col("rank") - F.col("first")
     return placed.select(

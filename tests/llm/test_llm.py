@@ -456,6 +456,20 @@ def test_jaccard_join_of_families(spark):
     assert got == linked(rows)
 
 
+def test_unions_of_any_size_give_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    rows = []
+    for i in range(60):
+        w = [f"b{i % 4}_{k}" for k in range(40)]
+        for k in rng.integers(0, 40, int(rng.integers(0, 3))):
+            w[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (0, 40, 65_536):
+        monkeypatch.setattr(jaccard, "UNION", most)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == linked(rows)
+
+
 def test_one_row_of_each_component_stays(spark):
     near = A.replace("w7x7", "other")
     rows = [(3, A), (3, A), (3, near), (8, near), (None, A), (None, "lone text of its own here"), (None, "lone text of its own here"), (5, "x y"), (4, None), (4, None), (6, "")]

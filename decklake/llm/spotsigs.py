@@ -4,14 +4,14 @@ A signature is an anchor (a common word) with the CHAIN content words that follo
 set of its signatures, spelled as sorted 8-digit hexadecimal hashes. Likeness is the Jaccard measure of two sets.
 
 digest() also compares each text with its edited form and with the next document in descending id order. Rows are
-dealt by id ranges; the document that begins a range is sent to the range before it too, so each task finds the next
-document in its own sorted stream and holds two texts at a time.
+dealt by ranges of (id, hash of the text); the document that begins a range is sent to the range before it too, so each
+task finds the next document in its own sorted stream and holds two texts at a time.
 
 near_pairs() compares all documents: equal sets become one class, signatures are ordered rarest first, and only classes
 that share a signature in their prefixes and whose set lengths lie in one partition or neighbouring ones are verified.
 
 Edge cases: a null text is empty; a text without any signature gets one made from the whole text, so equal texts
-have equal fingerprints and no set is empty; null ids come after all others; repeated ids are ordered by text; the next
+have equal fingerprints and no set is empty; null ids come after all others; repeated ids are ordered by a hash of the text; the next
 document of the only one is itself; an empty table gives no rows.
 """
 
@@ -95,45 +95,58 @@ def _compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return
 
 
-LEAST = -(2**63)  # stands for a null id where ranges are cut
+LAST = 2**63 - 1  # the place of null ids
 
 
-def _bounds(ids: DataFrame, n: int) -> tuple[int | None, np.ndarray]:
-    """(largest id, up to n - 1 ids of the table that cut it into ranges of about as many rows), as whole numbers.
+def _cuts(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to n - 1 pairs (place, hash) that cut rows into ranges of about as many rows.
 
-    Quantiles are approximate and may lie between ids (they are doubles); the largest ids up to them are exact."""
-    found = ids.agg(F.max("id").alias("top"), F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 100 * n).alias("cuts")).first()
-    if found.top is None or n == 1:
-        return found.top, np.zeros(0, np.int64)
-    near = np.unique(np.array([min(max(int(c), LEAST), 2**63 - 1) for c in found.cuts], np.int64))
+    Quantiles of the places are approximate, as doubles are: any number will do for a cut. A place that several quantiles name is cut
+    by the hash, so that the rows of one id spread."""
+    found = rows.agg(F.percentile_approx("place", [k / n for k in range(1, n)] or [0.5], 100 * n).alias("cuts")).first().cuts
+    places, often = np.unique(np.array(found or [], np.int64), return_counts=True) if n > 1 else (np.zeros(0, np.int64),) * 2
+    hashes = [-(2**63) + j * 2**64 // m for m in often.tolist() for j in range(m)]
+    return np.repeat(places, often), np.array(hashes, np.int64)
 
-    @F.pandas_udf("int")
-    def below(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(near, v.to_numpy(), "left").astype(np.int32))
 
-    cuts = ids.where("id is not null").groupBy(below("id").alias("k")).agg(F.max("id").alias("cut")).collect()  # n rows at most
-    return found.top, np.sort(np.array([r.cut for r in cuts if r.cut != found.top], np.int64))
+def _range(place: np.ndarray, hashed: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many cuts are at or before each (place, hash)."""
+    out = np.searchsorted(cuts[0], place, "right")
+    low = np.searchsorted(cuts[0], place, "left")
+    for a in np.unique(low[low < out]).tolist():
+        rows = np.flatnonzero((low == a) & (out > a))
+        b = out[rows[0]]
+        out[rows] = a + np.searchsorted(cuts[1][a:b], hashed[rows], "right")
+    return out
 
 
 def digest(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row; id must be a whole number."""
     n = shuffle_partitions(docs.sparkSession)
-    body = docs.select(F.col(id).cast("long").alias("id"), text_of(text).alias("text"))
-    top, cuts = _bounds(body.select("id"), n)
-    down = cuts[::-1].copy()  # range k holds ids from above down[k] up to down[k - 1]; that one begins it
-    top = LEAST if top is None else top
+    whole = F.col(id).cast("long")
+    # ascending places are descending ids, without a negation that could overflow
+    body = docs.select(whole.alias("id"), text_of(text).alias("text"), F.coalesce(F.bitwise_not(whole), F.lit(LAST)).alias("place"), F.xxhash64(text_of(text)).alias("hashed"))
+    cuts = _cuts(body.select("place"), n)
+
+    @F.pandas_udf("int")
+    def range_of(place: pd.Series, hashed: pd.Series) -> pd.Series:
+        return pd.Series(_range(place.to_numpy(), hashed.to_numpy(), cuts).astype(np.int32))
+
+    narrow = body.select("place", "hashed").withColumn("range", range_of("place", "hashed"))
+    begins = narrow.groupBy("range").agg(F.min(F.struct("place", "hashed")).alias("m")).collect()  # n rows at most
+    first = {r.range: (r.m.place, r.m.hashed) for r in begins}
+    used = sorted(first)
+    # a range's first row also follows the last one of the range before; the first of all follows the last of all
+    follows = {first[r]: used[k - 1] for k, r in enumerate(used)}
 
     @F.pandas_udf("array<int>")
-    def ranges(ids: pd.Series) -> pd.Series:
-        v = ids.to_numpy()
-        k = len(down) - np.searchsorted(cuts, v, "left")
-        begins = np.isin(v, cuts) if len(cuts) else np.zeros(len(v), bool)
-        # the top one follows the last of all; ranges that begin with a cut follow the range before
-        return pd.Series([[a, *([~(a - 1)] if b else []), *([~len(down)] if x == top else [])] for a, b, x in zip(k.tolist(), begins.tolist(), v.tolist(), strict=True)])
-
-    dealt = body.withColumn("range", F.explode(ranges(F.coalesce("id", F.lit(LEAST))))).withColumn("again", F.col("range") < 0)
+    def ranges(place: pd.Series, hashed: pd.Series) -> pd.Series:
+        own = _range(place.to_numpy(), hashed.to_numpy(), cuts).tolist()
+        return pd.Series([[r, ~follows[p, h]] if first.get(r) == (p, h) else [r] for r, p, h in zip(own, place.tolist(), hashed.tolist(), strict=True)])
+
+    dealt = body.withColumn("range", F.explode(ranges("place", "hashed"))).withColumn("again", F.col("range") < 0)
     dealt = dealt.withColumn("range", F.when(F.col("again"), -F.col("range") - 1).otherwise(F.col("range")))
-    ordered = dealt.repartitionById(len(down) + 1, F.col("range")).sortWithinPartitions("again", F.col("id").desc_nulls_last(), "text")
+    ordered = dealt.repartitionById(n, F.col("range")).sortWithinPartitions("again", "place", F.col("id").desc_nulls_last(), "hashed", "text")
     out = ordered.select("id", "text", "again").mapInArrow(
         _compared, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )

@@ -522,8 +522,9 @@ def sigs_by_hand(text):
     return found or {xxhash.xxh32("\0" + text).intdigest()}
 
 
-def fingerprints_by_hand(rows):
-    order = sorted(rows, key=lambda r: (0, -r[0], r[1] or "") if r[0] is not None else (1, 0, r[1] or ""))
+def fingerprints_by_hand(spark, rows):
+    hashed = {r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (0, -r[0], hashed[r[1] or ""]) if r[0] is not None else (1, 0, hashed[r[1] or ""]))
     want = Counter()
     spell = lambda s: "".join(f"{x:08x}" for x in sorted(s))
     like = lambda x, y: round(len(x & y) / len(x | y), 9)
@@ -539,8 +540,8 @@ def fingerprints_of(df):
     return Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in spotsigs.digest(df).collect())
 
 
-def test_fingerprints(docs, none):
-    assert fingerprints_of(docs) == fingerprints_by_hand([(i, t) for i, t, _ in TEXTS])
+def test_fingerprints(spark, docs, none):
+    assert fingerprints_of(docs) == fingerprints_by_hand(spark, [(i, t) for i, t, _ in TEXTS])
     assert spotsigs.digest(none).count() == 0
 
 
@@ -548,7 +549,18 @@ def test_fingerprints_of_large_ids_nulls_and_repeats(spark):
     text = lambda k: " ".join(f"the {'abcdef'[(k * j) % 6]}{j % 7} of b{j % (k + 2)}" for j in range(30))
     for ids in ([2**60 + k for k in range(1, 12)], [-(2**63), None, None, 2**63 - 1, 0, -5], [None] * 5, [7] * 40 + [1, 2, 9], list(range(200)), [3]):
         rows = [(i, text(k % 9)) for k, i in enumerate(ids)]
-        assert fingerprints_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == fingerprints_by_hand(rows)
+        assert fingerprints_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == fingerprints_by_hand(spark, rows)
+
+
+def test_rows_of_one_id_spread_over_ranges():
+    rng = np.random.default_rng(17)
+    place = np.append(np.full(600, 50), rng.integers(0, 100, 400))
+    hashed = rng.integers(-(2**63), 2**63 - 1, 1000)
+    often = [50] * 6 + [20, 80, 90]
+    cuts = np.sort(np.array(often)), np.array([-(2**63)] + [-(2**63) + j * 2**64 // 6 for j in range(6)] + [-(2**63)] * 2, np.int64)
+    got = spotsigs._range(place, hashed, cuts)
+    assert got.tolist() == [sum((a, b) <= (p, h) for a, b in zip(*cuts, strict=True)) for p, h in zip(place.tolist(), hashed.tolist(), strict=True)]
+    assert np.bincount(got, minlength=10)[2:7].min() > 50
 
 
 def test_near_pairs(spark):

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shingles import lists
+
 SCHEMA = "kind int, part int, src int, n long, times int, id long, row long, blob binary"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -121,21 +123,14 @@ def notes(texts: list[Text], blobs: list[bytes | None]) -> Iterator[pa.RecordBat
 
 
 def read(batches: Iterable[pa.RecordBatch], size: int, answers: Answers | None = None) -> Iterator[list[Text]]:
-    """Texts in lists of up to size; answers, which come before them, are added on the way."""
-    held: list[Text] = []
+    """Texts in lists of up to size, shorter ones where texts are long; answers, which come before them, are added on the way."""
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         if answers is not None and (kind < TEXT).any():
             answers.add(batch.filter(pa.array(kind < TEXT)))
         texts = batch.filter(pa.array(kind == TEXT)).select(["id", "row", "src", "times", "part", "n", "blob"])
-        for at in range(0, texts.num_rows, size):
-            for x in texts.slice(at, size).to_pylist():
-                held.append(Text(x))
-                if len(held) == size:
-                    yield held
-                    held = []
-    if held:
-        yield held
+        for a, b in lists(texts.column("n").to_pylist(), size):
+            yield [Text(x) for x in texts.slice(a, b - a).to_pylist()]
 
 
 def firsts(cols: list[np.ndarray], names: int) -> tuple[list[np.ndarray], np.ndarray]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, shuffle_partitions, stored, text_of
 from .components import components
-from .shingles import shingle_sets, word_hashes
+from .shingles import lists, shingle_sets, word_hashes
 
 #: Words in a shingle, and the link's condition 100 * intersection >= PERCENT * union.
 K = 5
@@ -81,8 +81,8 @@ def _dealt(parts: int, k: int):
 
         seen: set[int] = set()
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for a, b in lists([len(t) for t in whole.column(1).to_pylist()], 256):
+                batch = whole.slice(a, b - a)
                 ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 sets = shingle_sets(*word_hashes([t.encode("utf-8", "surrogatepass").lower() for t in batch.column(1).to_pylist()]), k)
                 rows, fresh, names, sizes = [], [], [], []

@@ -18,15 +18,17 @@ _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: A 64-bit number for each byte, by a rule.
 _OF_BYTE = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _MUL) * _MUL)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bytes that are hashed at a time, and that a list of texts has at most unless it is a single one; only a matter of memory.
+CHUNK = 2 << 20
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, kept for the next time if they are not very many."""
-    if _POWERS and len(_POWERS[0]) >= n:
+    """The first n powers of the multiplier and of its inverse; those of a chunk are kept."""
+    if n <= CHUNK and _POWERS:
         return _POWERS[0], _POWERS[1]
-    both = [np.cumprod(np.append(np.uint64(1), np.full(n + n // 4, m, np.uint64))) for m in (_MUL, _INVERSE)]
-    if n < 1 << 22:
+    both = [np.cumprod(np.append(np.uint64(1), np.full(max(n, CHUNK), m, np.uint64))) for m in (_MUL, _INVERSE)]
+    if n <= CHUNK:
         _POWERS[:] = both
     return both[0], both[1]
 
@@ -34,19 +36,36 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts, and where each text's begin (with the end of the last).
 
-    A word's hash is a polynomial in its bytes, by differences of running sums over all texts put together."""
+    A word's hash is a polynomial in its bytes, by differences of running sums over a chunk of the texts put together."""
     data = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
-    power, inverse = _powers(len(data) + 1)
     space = _SPACE[data]
     begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_OF_BYTE[data] * power[: len(data)], out=sums[1:])
-    hashes = mixed(mixed((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _MIX))
+    hashes, i = np.empty(len(begin), np.uint64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, "right")))  # a word longer than a chunk is one by itself
+        low, n = begin[i], int(end[j - 1] - begin[i])
+        power, inverse = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_OF_BYTE[data[low : low + n]] * power[:n], out=sums[1:])
+        b, e = begin[i:j] - low, end[i:j] - low
+        hashes[i:j] = mixed(mixed((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64) * _MIX))
+        i = j
     texts = np.cumsum([1, *(len(r) + 1 for r in raws)])
     return hashes, np.searchsorted(begin, texts)
 
 
+def lists(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """(from, to) of texts of these sizes in lists of up to `most`, and of up to CHUNK bytes unless of one text."""
+    out, a, held = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > a and (k - a == most or held + n > CHUNK):
+            out.append((a, k))
+            a, held = k, 0
+        held += n
+    return [*out, (a, len(sizes))] if sizes else []
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k hashes in a row."""
     n = len(hashes) - k + 1

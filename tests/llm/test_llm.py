@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from decklake.llm import attention, components, jaccard, mixing, packing, quality, recompression, scoring, secrets, sharding, spotsigs, warc
+from decklake.llm import shingles as shingles_module
 from decklake.llm.common import shared_dir
 
 P = pytest.importorskip("public_tokenizers")
@@ -85,6 +86,23 @@ def test_long_repeats_have_high_symbols_in_common():
     assert covered.sum() > 1500 and len(own[0]) and max(e - b for b, e in own[0].values()) == len(texts[0])
 
 
+def test_words_are_hashed_alike_in_chunks_of_any_size(monkeypatch):
+    raws = [(t or "").encode() for _, t, _ in TEXTS] + [b"", b"\xff\xfe a", b"x" * 5000 + b" y"]
+    want, starts = shingles_module.word_hashes(raws)
+    flat = [w for r in raws for w in r.split()]
+    assert len(want) == len(flat) == starts[-1] and starts.tolist() == [0, *np.cumsum([len(r.split()) for r in raws]).tolist()]
+    names = {}
+    for w, h in zip(flat, want.tolist(), strict=True):
+        assert names.setdefault(w, h) == h
+    assert len(set(names.values())) == len(names)
+    for size in (1, 7, 64, 1000):
+        monkeypatch.setattr(shingles_module, "CHUNK", size)
+        assert np.array_equal(shingles_module.word_hashes(raws)[0], want)
+    assert shingles_module.word_hashes([])[0].size == 0
+    monkeypatch.setattr(shingles_module, "CHUNK", 10)
+    assert shingles_module.lists([1, 2, 20, 3, 3, 3, 3, 1], 3) == [(0, 2), (2, 3), (3, 6), (6, 8)] and shingles_module.lists([], 3) == []
+
+
 def brute_windows(rows):
     """(n_words, n_removed, digest) of each row by its words."""
     key = lambda i: recompression.LAST if i is None else i

@@ -65,19 +65,20 @@ def cut(classes: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.nda
     return padded[at], padded[at + 1], counts
 
 
-def _attended(p: dict[str, np.ndarray], x: np.ndarray) -> tuple:
-    """(X, q, k, v, weights, y, h) of windows of classes; q is scaled, h in rows."""
+def _attended(p: dict[str, np.ndarray], x: np.ndarray, since: int = 0) -> tuple:
+    """(X, q, k, v, weights, y, h) of windows of classes; queries are of the places from `since` on only, h has a row for each."""
     b, n = x.shape
     X = p["E"][x] + p["P"]
-    flat = X.reshape(-1, D)
-    q, k, v = ((flat @ m).reshape(b, n, D) for m in (p["Q"] * _SCALE, p["K"], p["V"]))
+    flat, late = X.reshape(-1, D), np.ascontiguousarray(X[:, since:]).reshape(-1, D)
+    q = (late @ (p["Q"] * _SCALE)).reshape(b, n - since, D)
+    k, v = ((flat @ m).reshape(b, n, D) for m in (p["K"], p["V"]))
     a = np.matmul(q, k.transpose(0, 2, 1))
     np.clip(a, -30, 30, out=a)
     np.exp(a, out=a)
-    a *= _TRIL
+    a *= _TRIL[since:]
     a /= np.matmul(a, np.ones((n, 1), a.dtype))
     y = np.matmul(a, v)
-    return flat, q, k, v, a, y, flat + y.reshape(-1, D) @ p["O"]
+    return flat, q, k, v, a, y, late + y.reshape(-1, D) @ p["O"]
 
 
 def _by_group(h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,13 +120,13 @@ def class_logs(p: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray) -> np.nda
     return out
 
 
-def target_logs(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, chunk: int = 48) -> np.ndarray:
-    """The same for windows of classes; a few windows at a time, so that they stay in the cache."""
-    out = np.empty(x.shape, np.float32)
+def target_logs(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, since: int = 0, chunk: int = 64) -> np.ndarray:
+    """The same for windows of classes, from place `since` on; a few windows at a time, so that they stay in the cache."""
+    out = np.empty((len(x), WINDOW - since), np.float32)
     for j in range(0, len(x), 8 * chunk):
         end = min(len(x), j + 8 * chunk)
-        h = np.concatenate([_attended(p, x[i : min(i + chunk, end)])[-1] for i in range(j, end, chunk)])
-        out[j:end] = class_logs(p, h, t[j:end].ravel()).reshape(-1, WINDOW)
+        h = np.concatenate([_attended(p, x[i : min(i + chunk, end)], since)[-1] for i in range(j, end, chunk)])
+        out[j:end] = class_logs(p, h, t[j:end, since:].ravel()).reshape(-1, WINDOW - since)
     return out
 
 

@@ -132,25 +132,30 @@ def _scored(tokenizer: str, of: np.ndarray, shares: np.ndarray, flat: np.ndarray
             c = np.zeros(len(found), np.int64)
             c[found] = table[1][at[found]]
             sums = [np.bincount(words.owner, x[words.of], len(texts)) for x in (np.ones(len(c)), c > 0, np.log10(c + 1.0) - per_token)]
-            total, held, waiting = np.zeros(len(texts)), [], 0
+            total = np.zeros(len(texts))
+            # a text's first window counts as a whole, of the others what comes after the context
+            held: dict[int, list] = {0: [], model.CONTEXT: []}
 
             def flush() -> None:
-                x, t, c = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-                logs = np.where(c, model.target_logs(p, x, t), 0).sum(1)
-                np.add.at(total, np.concatenate([np.full(len(h[1]), h[0]) for h in held]), logs)  # noqa: B023
-                held.clear()
-
+                for since, windows in held.items():
+                    if windows:
+                        x, t, c = (np.concatenate([w[k] for w in windows]) for k in (1, 2, 3))
+                        logs = np.where(c[:, since:], model.target_logs(p, x, t, since), 0).sum(1)
+                        np.add.at(total, np.repeat([w[0] for w in windows], [len(w[1]) for w in windows]), logs)  # noqa: B023
+                        windows.clear()
+
+            waiting = 0
             for k, ids in enumerate(subwords(raws)):
                 total[k] += shares[ids].sum()
                 x, t, c = model.cut(of[ids])
-                for i in range(0, len(x), 2048):
-                    held.append((k, x[i : i + 2048], t[i : i + 2048], c[i : i + 2048]))
-                    waiting += len(held[-1][1])
+                held[0].append((k, x[:1], t[:1], c[:1]))
+                for i in range(1, len(x), 2048):
+                    held[model.CONTEXT].append((k, x[i : i + 2048], t[i : i + 2048], c[i : i + 2048]))
+                    waiting += len(held[model.CONTEXT][-1][1])
                     if waiting >= 2048:
                         flush()
                         waiting = 0
-            if held:
-                flush()
+            flush()
             times = [t.times for t in texts]
             out = [pa.array(np.repeat(x, times)) for x in (np.array([t.flag == 0 for t in texts]), sums[0].astype(np.int64), sums[1].astype(np.int64), sums[2], total / math.log(10))]
             yield pa.RecordBatch.from_arrays([pa.array([t.id for t in texts for _ in range(t.times)], pa.int64()), *out], names=names)

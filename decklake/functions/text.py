@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +29,22 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(col(c), rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
 
 
+def _ends_plainly(c: Column) -> Column:
+    """True if \n is the only line end in a text: then no pattern is needed to cut it."""
+    return ~reduce(or_, [F.contains(c, F.lit(x)) for x in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"])
+
+
 def raw_lines(c: Column | str) -> Column:
     """Lines with their ends."""
-    return F.regexp_extract_all(col(c), F.lit(rf"([^{ENDS}]*(?:\r\n|[{ENDS}])|[^{ENDS}]+)"), F.lit(1))
+    c = col(c)
+
+    def plain(parts: Column) -> Column:
+        ended = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.concat(x, F.lit("\n")))
+        last = F.element_at(parts, -1)
+        return F.when(last == "", ended).otherwise(F.concat(ended, F.array(last)))
+
+    other = F.regexp_extract_all(c, F.lit(rf"([^{ENDS}]*(?:\r\n|[{ENDS}])|[^{ENDS}]+)"), F.lit(1))
+    return F.when(_ends_plainly(c), let(F.split(c, "\n", -1), plain)).otherwise(other)
 
 
 def lines(c: Column | str) -> Column:
@@ -36,19 +52,16 @@ def lines(c: Column | str) -> Column:
     return F.transform(raw_lines(c), lambda x: F.regexp_replace(x, rf"(?:\r\n|[{ENDS}])\z", ""))
 
 
-def first_token(c: Column) -> Column:
-    return F.regexp_extract(c, rf"\A[{SPACE}]*([^{SPACE}]+)", 1)
-
-
 def kind_of(line: Column | str) -> Column:
     """Null for a blank line, the comment mark for a comment, else the first token."""
-    s = strip(line)
-    return F.when(s == "", F.lit(None)).when(s.startswith(COMMENT), F.lit(COMMENT)).otherwise(first_token(s))
+    return F.nullif(F.regexp_extract(col(line), rf"\A[{SPACE}]*({COMMENT}|[^{SPACE}]*)", 1), F.lit(""))
 
 
 def kinds(deck: Column | str) -> Column:
     """Kinds of the statements in order; blank lines and comments have none."""
-    kept = F.filter(F.transform(lines(deck), kind_of), lambda k: k.isNotNull() & (k != COMMENT))
+    c = col(deck)
+    cut = F.when(_ends_plainly(c), F.split(c, "\n", -1)).otherwise(raw_lines(c))  # line ends are space to kind_of()
+    kept = F.filter(F.transform(cut, kind_of), lambda k: k.isNotNull() & (k != COMMENT))
     return F.coalesce(kept, F.array().cast("array<string>"))
 
 

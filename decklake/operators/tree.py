@@ -60,10 +60,11 @@ def typed_segments(decks: DataFrame, with_family: bool = False, families: dict[s
     Slot 0 is the keyword, 1 the gap and name, 2 the rest with the line's end; without a name 1 goes to the end."""
     kind_ids, family_of, other = taxonomy(families or FAMILIES)
     rows = deck_lines(decks, ex, deck).where("kind is not null")
-    m = lambda g: F.regexp_extract("raw", rf"(?s)\A([{T.SPACE}]*)({T.COMMENT}|[^{T.SPACE}]+)([{T.SPACE}]*[^{T.SPACE}]+)?(.*)\z", g)
-    lead, word, named = F.length(m(1)), F.length(m(2)), F.length(m(3))
-    a = F.col("at") + lead
-    b, c, end = a + word, a + word + named, F.col("at") + F.length("raw")
+    # of a line: space, the keyword (its kind), more space and a name
+    rows = rows.withColumn("lead", F.instr("raw", F.col("kind")) - 1).withColumn("word", F.length("kind"))
+    rows = rows.withColumn("named", F.length(F.regexp_extract(F.expr("substring(raw, lead + word + 1)"), rf"\A[{T.SPACE}]*[^{T.SPACE}]+", 0)))
+    named, a = F.col("named"), F.col("at") + F.col("lead")
+    b, c, end = a + F.col("word"), a + F.col("word") + named, F.col("at") + F.length("raw")
     kind = _looked_up(F.col("kind"), kind_ids, other["kind"])
     family = _looked_up(F.col("kind"), family_of, other["family"])
     slot = lambda s, e, k: F.struct(s.alias("start"), e.alias("end"), F.lit(k).alias("slot"))

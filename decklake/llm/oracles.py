@@ -7,10 +7,16 @@ from . import quality, secrets
 #: Words of a text; \\x20 and \\x09-\\x0D separate.
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
-OP3 = """with p as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n from pages),
-l as (select html, max(page_id) as last from p group by 1)
-select page_id, n::bigint as payload_bytes, sha1(p.html) as payload_digest, case when n >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
- case when n >= 1000 and page_id <> last then last end as refers_to from p join l on p.html = l.html"""
+_UUID = "'<urn:uuid:' || substr(lpad(hex({0}), 16, '0'), 1, 8) || '-' || substr(lpad(hex({0}), 16, '0'), 9, 4) || '-8000-8000-00000000' || substr(lpad(hex({0}), 16, '0'), 13, 4) || '>'"
+OP3 = f"""with p as (select page_id, url, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n, chr(13) || chr(10) as e from pages),
+l as (select html, max(page_id) as last from p group by 1),
+r as (select p.*, sha1(p.html) as d, n >= 1000 and page_id <> last as again, last from p join l on p.html = l.html),
+h as (select *, 'HTTP/1.1 200 OK' || e || 'Content-Type: text/html; charset=UTF-8' || e || 'Content-Length: ' || n || e || e as http from r)
+select page_id, n::bigint as payload_bytes, d as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then last end as refers_to,
+ sha1('WARC/1.1' || e || 'WARC-Type: ' || case when again then 'revisit' else 'response' end || e || 'WARC-Record-ID: ' || {_UUID.format("page_id")} || e || 'WARC-Date: 2026-01-01T00:00:00Z' || e
+  || coalesce('WARC-Target-URI: ' || regexp_replace(url, '[\r\n]', '%0A', 'g') || e, '') || 'WARC-Payload-Digest: sha1:' || d || e
+  || case when again then 'WARC-Refers-To: ' || {_UUID.format("last")} || e || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || e else '' end
+  || 'Content-Type: application/http;msgtype=response' || e || 'Content-Length: ' || (length(http) + case when again then 0 else n end) || e || e || http || case when again then '' else html end || e || e) as record_sha1 from h"""
 
 
 def _kind(name: str, pattern: str, group: int, least: int) -> str:

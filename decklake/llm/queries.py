@@ -35,7 +35,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     warc.write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     read = warc.read_archive(spark, folder)
-    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha1("record").alias("record_sha1"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import attention as model
 from . import exchange as X
 from .common import shuffle_partitions, stored, text_of
-from .shingles import word_hashes
+from .shingles import lists, word_hashes
 from .subwords import encoder
 
 #: A document is held out if crc32 of its id's text, modulo FOLDS, is OUT.
@@ -37,6 +37,7 @@ FOLDS, OUT = 7, 2
 END = 0  # the end's word hash
 ROUNDS = 2
 BATCH = 256
+SLICE = 1000  # parameters that go together
 #: How often does a word come in training documents? And a subword id, whose key spreads the ids over the ranges?
 WORD = X.Question(1, [np.uint64, np.int64], 1, X.total)
 ID = X.Question(2, [np.uint64, np.int64], 1, X.total, lambda values, n: np.zeros(len(n), bool))
@@ -100,25 +101,45 @@ def _sums(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield X.rows_of([(STATS, 0, kind, len(cols[0]), None, None, None, b"".join(X.planes(c.copy()) for c in cols))])
 
 
+_SHARE = "part int, w double, blob binary"
+
+
+def _shared(part: int, w: float, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([w]), pa.array([values.tobytes()], pa.binary())], names=["part", "w", "blob"])
+
+
 def _learnt(tokenizer: str, of: np.ndarray, flat: np.ndarray):
-    """Texts to this task's parameters: rows (place, value times tokens seen, tokens seen)."""
+    """Texts to this task's parameters, SLICE at a time: values times tokens seen, tokens seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, learner = Subwords(tokenizer), model.Learner(flat)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                for ids in subwords([t.encode("utf-8", "surrogatepass").lower() for t in whole.column(0).slice(at, 256).to_pylist()]):
+            raws = [t.encode("utf-8", "surrogatepass").lower() for t in whole.column(0).to_pylist()]
+            for a, b in lists([len(r) for r in raws], BATCH):
+                for ids in subwords(raws[a:b]):
                     x, t, c = model.cut(of[ids], 0)  # every id is learnt once
                     for i in range(0, len(x), 4096):
                         learner.add((x[i : i + 4096], t[i : i + 4096], c[i : i + 4096]))
         learner.flush()
         if learner.seen:
-            n = len(learner.flat)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(learner.flat.astype(np.float64) * learner.seen), pa.array(np.full(n, float(learner.seen)))], names=["i", "v", "w"])
+            for k in range(0, len(learner.flat), SLICE):
+                yield _shared(k // SLICE, float(learner.seen), learner.flat[k : k + SLICE].astype(np.float64) * learner.seen)
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a slice's rows, one after the other."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for x in batch.to_pylist():
+            own = sums.setdefault(x["part"], [0.0, 0.0])
+            own[0] += x["w"]
+            own[1] = own[1] + np.frombuffer(x["blob"])
+    for part, (w, values) in sums.items():
+        yield _shared(part, w, values)
+
+
 def _scored(tokenizer: str, of: np.ndarray, shares: np.ndarray, flat: np.ndarray, per_token: float):
     """Texts with the counts of their words to results."""
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
@@ -202,9 +223,9 @@ def fit(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text")
     flat = model.initial(class_logs)
     for k in range(ROUNDS):
         chosen = body.where(learnt_in(k)).select("text")
-        learnt = chosen.mapInArrow(_learnt(tokenizer, of, flat), "i int, v double, w double").groupBy("i").agg((F.sum("v") / F.sum("w")).alias("v")).collect()
-        for r in learnt:  # a row a parameter
-            flat[r.i] = r.v
+        rows = chosen.mapInArrow(_learnt(tokenizer, of, flat), _SHARE).repartitionById(-(-len(flat) // SLICE), F.col("part"))
+        for r in rows.mapInArrow(_added, _SHARE).collect():  # a row a slice
+            flat[r.part * SLICE : (r.part + 1) * SLICE] = np.frombuffer(bytes(r.blob)) / r.w
     return Fitted(told, train_tokens, distinct, of, shares, flat)
 
 

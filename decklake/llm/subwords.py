@@ -27,24 +27,35 @@ def _bytes_of() -> dict[str, int]:
 
 
 class Encoder:
-    """encode() gives each text's ids; special tokens in a text are plain text."""
+    """encode() gives each text's ids; special tokens in a text are plain text. The tokenizers library is loaded where it is needed."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
+        self.path, self._slow = path, None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.fast = self._ranked(file)
+        vocabulary = self._vocabulary(file)
         self.size = max(vocabulary.values()) + 1
         self.end = vocabulary.get("<|endoftext|>", self.size - 1)
         self.begins = np.zeros(self.size, bool)
         self.begins[[i for t, i in vocabulary.items() if t[:1] in ("Ġ", "▁")]] = True
-        self.fast = self._ranked(path)
 
-    def _ranked(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
+    def _vocabulary(self, file: dict) -> dict[str, int]:
+        if self.fast is None:
+            return self.slow.get_vocab()
+        return file["model"]["vocab"] | {t["content"]: t["id"] for t in file.get("added_tokens") or []}
+
+    @property
+    def slow(self):
+        if self._slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._slow = Tokenizer.from_file(self.path)
+            self._slow.encode_special_tokens = True
+        return self._slow
+
+    def _ranked(self, file: dict):
         model, before = file.get("model") or {}, file.get("pre_tokenizer") or {}
         plain = model.get("type") == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not file.get("normalizer")
         if not plain or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout"):
@@ -68,7 +79,7 @@ class Encoder:
             else:
                 out[i] = self.fast.encode_to_numpy(t, disallowed_special=())
         for i in slow:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4")
+            out[i] = np.array(self.slow.encode(texts[i], add_special_tokens=False).ids, "<u4")
         return out
 
 

@@ -369,6 +369,7 @@ def test_subwords_are_those_of_the_tokenizers_library():
         tok, own = Tokenizer.from_file(P.path(name)), Encoder(P.path(name))
         assert (own.fast is None) == (name != "byte_bpe_50k.json")
         texts = [t or "" for _, t, _ in TEXTS] + ["  a  b \n\n c\t d ", "it's WE'LL 12345 ½ ²", "日本語 テキスト", "naïve\u00a0x \u2028 y", "a" * 3000, " " * 2500 + "x", "\u0301e\u0300 ﬁ ǅ Ⅷ ٣"]
+        assert own.size == max(tok.get_vocab().values()) + 1
         for t, ids in zip(texts, own.encode(texts), strict=True):
             assert ids.tolist() == tok.encode(t, add_special_tokens=False).ids, t[:50]
 

@@ -73,4 +73,10 @@ e as (select x, y from l union all select y, x from l),
 r(doc_id, c) as (select doc_id, doc_id from d union select e.y, r.c from r join e on e.x = r.doc_id)
 select r.doc_id, coalesce(max(n.c), 0)::bigint as n_shingles, min(r.c) as component_id from r left join n on n.doc_id = r.doc_id group by 1"""
 
-ORACLES = {"op7_jaccard_join": OP7, "op1_substring_dedup": OP1, "op3_warc": OP3, "op5_secret_scan": op5(), "op8_quality_rules": op8()}
+OP11 = r"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+l as (select doc_id, i, ls[i] as x, translate(regexp_replace(ls[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d)),
+f as (select k, max(doc_id) as last from (select distinct doc_id, k from l where length(k) >= 20) group by 1 having count(*) >= 3),
+j as (select l.doc_id, i, x, last is not null and l.doc_id < last as gone from l left join f on l.k = f.k)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(x, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from j group by 1"""
+
+ORACLES = {"op11_line_dedup": OP11, "op7_jaccard_join": OP7, "op1_substring_dedup": OP1, "op3_warc": OP3, "op5_secret_scan": op5(), "op8_quality_rules": op8()}

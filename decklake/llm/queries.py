@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mixing, packing, quality, recompression, scoring, secrets, sharding, spotsigs, warc
+from . import jaccard, linededup, mixing, packing, quality, recompression, scoring, secrets, sharding, spotsigs, warc
 from .common import documents, shared_dir
 from .oracles import ORACLES as ORACLES
 
@@ -80,6 +80,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.digest(documents(spark, sf_dir))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -91,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_line_dedup": op11_line_dedup,
 }

@@ -79,4 +79,31 @@ f as (select k, max(doc_id) as last from (select distinct doc_id, k from l where
 j as (select l.doc_id, i, x, last is not null and l.doc_id < last as gone from l left join f on l.k = f.k)
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(x, chr(10) order by i) filter (where not gone), '')) as kept_sha256 from j group by 1"""
 
-ORACLES = {"op11_line_dedup": OP11, "op7_jaccard_join": OP7, "op1_substring_dedup": OP1, "op3_warc": OP3, "op5_secret_scan": op5(), "op8_quality_rules": op8()}
+OP12 = r"""with d as (select row_number() over () as r, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select r, lang, generate_subscripts(ps, 1) as i, unnest(ps) as p from (select r, lang, string_split_regex(t, '[.,;:!?\x0A-\x0D]') as ps from d)),
+w as (select lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+g as (select lang, k, array_to_string(ws[i:i+k-1], ' ') as x, ws[i:i+k-1] as v, count(*) as f from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, range(1, 4) t(k)) group by 1, 2, 3, 4),
+n as (select lang, sum(f)::bigint as n from g where k = 1 group by 1),
+c as (select lang, k, x, v, f as a from g where k > 1 and f >= 10),
+u as (select c.lang, c.k, c.x, c.a, j, l.f as l, r.f as r, ((1000000::hugeint * a * a) // (l.f::hugeint * r.f))::bigint as score from (select *, unnest(range(1, k)) as j from c) c
+ join g l on l.lang = c.lang and l.x = array_to_string(c.v[1:j], ' ') join g r on r.lang = c.lang and r.x = array_to_string(c.v[j+1:c.k], ' ')),
+b as (select * from u qualify row_number() over (partition by lang, x order by score, j) = 1),
+gone as (select distinct c.lang, c.x from c join c t on t.lang = c.lang and c.k = 2 and t.k = 3 and (array_to_string(t.v[1:2], ' ') = c.x or array_to_string(t.v[2:3], ' ') = c.x) and 100 * t.a >= 50 * c.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, x) as rank, x as phrase, a, l, r, n, score from b anti join gone on b.lang = gone.lang and b.x = gone.x join n using (lang) qualify rank <= 2000"""
+
+OP13 = r"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select r, lang, source, unnest(string_split_regex(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term from w where term <> '' group by 1, 2 having count(distinct r) >= 3),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from w join k using (lang, term) group by 1, 2, 3),
+v as (select lang, count(*)::hugeint as v from k group by 1),
+s as (select lang, source, sum(n)::hugeint as n from c group by 1, 2),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(s.n, 0) + v.v) as p
+ from g join k on g.lang = k.lang join v on g.lang = v.lang left join s on s.lang = g.lang and s.source = g.source left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (select c.lang, c.term, 1 + (1000000000::hugeint * (sum(c.n) + 1)) // (any_value(t.n) + any_value(v.v)) as q from c join v on c.lang = v.lang join (select lang, sum(n) as n from s group by 1) t on t.lang = c.lang group by 1, 2),
+x as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as f from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+y as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.f, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source
+ union all select p.lang, source, 'term', p.term, (((p - q) * (p - q)) // q)::bigint from p join q on p.lang = q.lang and p.term = q.term where n > 0 and p > q)
+select lang, source, part, item, value, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from y qualify part = 'pair' or rank <= 200"""
+
+ORACLES = {"op12_collocations": OP12, "op13_source_audit": OP13, "op11_line_dedup": OP11, "op7_jaccard_join": OP7, "op1_substring_dedup": OP1, "op3_warc": OP3, "op5_secret_scan": op5(), "op8_quality_rules": op8()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, linededup, mixing, packing, quality, recompression, scoring, secrets, sharding, spotsigs, warc
+from . import collocations, divergence, jaccard, linededup, mixing, packing, quality, recompression, scoring, secrets, sharding, spotsigs, warc
 from .common import documents, shared_dir
 from .oracles import ORACLES as ORACLES
 
@@ -85,6 +85,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(documents(spark, sf_dir))
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -97,4 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_line_dedup": op11_line_dedup,
+    "op12_collocations": op12_collocations,
+    "op13_source_audit": op13_source_audit,
 }

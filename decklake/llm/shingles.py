@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -55,6 +57,39 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(begin, texts)
 
 
+def scrambled(h: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit numbers in which each bit depends on all bits."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+#: Bytes of a word that are hashed in eights side by side with other words; longer words are hashed one by one.
+LONG = 256
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hashes_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the byte runs [begin, end), keyed by the seed: eight bytes at a time through scrambled(), so that runs which
+    differ by a pattern do not meet."""
+    n = (end - begin).astype(np.int64)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    h = scrambled(np.uint64(seed) ^ (n.astype(np.uint64) * _MIX))
+    long = np.flatnonzero(n > LONG)
+    left = np.flatnonzero((n > 0) & (n <= LONG))
+    for k in range(0, LONG, 8):
+        if not len(left):
+            break
+        word = eights[begin[left] + k] & _LOW[np.minimum(n[left] - k, 8)]
+        h[left] = scrambled(h[left] ^ word)
+        left = left[n[left] > k + 8]
+    for i in long.tolist():
+        key = int(h[i]).to_bytes(8, "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+    return h
+
+
 def lists(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """(from, to) of texts of these sizes in lists of up to `most`, and of up to CHUNK bytes unless of one text."""
     out, a, held = [], 0, 0

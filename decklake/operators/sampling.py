@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat
 from ..functions import text as T
+from . import ordering
 
 
 def head(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
@@ -56,12 +57,23 @@ def zipped(first: DataFrame, *others: DataFrame, ordinal: str = "seq") -> DataFr
 
 
 def running(df: DataFrame, value: str, seq: list[str], by: list[str] | None = None) -> DataFrame:
-    """Running count, sum and rate of a 0/1 value. Give `by` where there is a group: without, one task orders all rows."""
-    w = Window.partitionBy(*(by or [])).orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)
+    """Running count, sum and rate of a value: of each group in a window; over one long log by ranges of its order."""
+    if not by:
+        out = ordering.running(df, seq, {"so_far": value})
+        return out.withColumn("rate", F.col("so_far") / F.col("idx"))
+    w = Window.partitionBy(*by).orderBy(*seq).rowsBetween(Window.unboundedPreceding, 0)
     n, s = F.count(F.lit(1)).over(w), F.sum(value).over(w)
     return df.withColumns({"idx": n, "so_far": s, "rate": s / n})
 
 
+def remaining(df: DataFrame, seconds: str, seq: list[str], every: int = 25) -> DataFrame:
+    """Each `every`-th row of one long log with the mean time so far and the time that is left: the mean for each row to come."""
+    out = running(df, seconds, seq)
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    left = F.col("rate") * (F.col("total") - F.col("idx"))
+    return out.where(F.col("idx") % every == 0).crossJoin(F.broadcast(total)).withColumn("eta", left).drop("total")  # a single row
+
+
 def spoken(chats: DataFrame, role: str, key: str = "conv_id", messages: str = "messages") -> DataFrame:
     """(key, text): a row for each turn of a role, without its scratchpad; turns that are empty then go."""
     turns = chats.select(key, F.explode(chat.of_role(messages, role)).alias("m"))

@@ -5,10 +5,11 @@ so that their plans reuse that shuffle, and nothing is persisted. Held-out signa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordering import fresh, ranked
 
 #: Defaults: signatures held out, percent of buckets for test a and up to validation.
 HELD_OUT, TEST_A, VAL = 8, 12, 5
@@ -22,9 +23,10 @@ def deduplicated(decks: DataFrame) -> DataFrame:
 
 def signed(decks: DataFrame) -> DataFrame:
     """decks with sig, sig_fine and h; a deck is parsed once for both signatures."""
-    parsed = decks.withColumn("__kinds", T.kinds("deck"))
-    both = {"sig": F.array_join(F.array_sort(F.array_distinct("__kinds")), ","), "sig_fine": F.array_join("__kinds", ","), "h": T.bucket("deck")}
-    return parsed.withColumns(both).drop("__kinds")
+    kinds = fresh(decks, "kinds")[0]
+    parsed = decks.withColumn(kinds, T.kinds("deck"))
+    both = {"sig": F.array_join(F.array_sort(F.array_distinct(kinds)), ","), "sig_fine": F.array_join(kinds, ","), "h": T.bucket("deck")}
+    return parsed.withColumns(both).drop(kinds)
 
 
 def kind_spread(examples: DataFrame) -> DataFrame:
@@ -77,12 +79,12 @@ def audit(split: DataFrame) -> DataFrame:
 def ordered(split: DataFrame) -> DataFrame:
     """split with sig_rank, the place of a row's signature in its split's file: test_b by hash and signature, others by first appearance.
 
-    Only signatures are ranked, in a task a split; rows of a signature follow by seq."""
+    Only signatures are ranked, by ranges of their order; rows of a signature follow by seq."""
     is_b = F.col("split") == "test_b"
     used = split.groupBy("split", "sig").agg(F.min("seq").alias("own"))
     first = used.groupBy("sig").agg(F.min("own").alias("first"))
     keyed = used.join(first, "sig").select("split", "sig", F.when(is_b, T.hash32("sig")).otherwise(F.col("first")).alias("a"), F.when(is_b, F.col("sig")).alias("b"))
-    ranks = keyed.select("split", "sig", F.dense_rank().over(Window.partitionBy("split").orderBy("a", "b")).alias("sig_rank"))
+    ranks = ranked(keyed, "split", ["a", "b"], "sig_rank").select("split", "sig", "sig_rank")
     return split.join(ranks, ["split", "sig"])
 
 

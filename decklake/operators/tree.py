@@ -1,8 +1,8 @@
 """Decks as trees, and ultrametric distances between their tokens.
 
-A tree is kept as segments, at most three for a line, never as a path for each character. Pairs of tokens are an equi
-join on the example; statistics of pairs are computed from path counts, so that pairs are only emitted where they are the
-answer."""
+A tree is kept as segments, at most three for a line, never as a path for each character. Statistics of pairs are sums
+over prefix counts; a bias is a value for each pair of runs of tokens. Pairs of tokens, an equi join on the example, are only emitted
+where they are the answer."""
 
 from __future__ import annotations
 
@@ -153,20 +153,97 @@ def masked(biased_: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     return biased_.withColumn("bias", F.when(hidden, F.lit(MASKED)).otherwise(F.col("bias")))
 
 
-def structure(paths: DataFrame) -> DataFrame:
+def prefix_counts(paths: DataFrame, depth: int = 3) -> DataFrame:
+    """(ex, n, m, c1.., s1..): of each example its tokens, those in the deck, and for each level k the distinct prefixes of k levels (ck) and the
+    ordered pairs of tokens in the deck that share k levels or more (sk).
+
+    Tokens that share a prefix are counted level by level from the deepest up; pairs are the squares of these counts, and no two tokens are ever
+    put side by side. Each step groups by the example and less of the path: rows that lie by example, as token_paths() leaves them, do not move."""
+    level = [f"p{k}" for k in range(depth)]
+    rows = paths.select("ex", "in_deck", *[F.get("path", F.lit(k)).alias(p) for k, p in enumerate(level)])
+    rows = rows.groupBy("ex", "in_deck", *level).agg(F.count(F.lit(1)).alias("n"))
+    inside, done = F.col("in_deck").cast("long"), []
+    for k in range(depth, 0, -1):
+        up = [F.sum("n").alias("n"), F.sum(inside).alias(f"c{k}"), F.sum(inside * F.col("n") * F.col("n")).alias(f"s{k}")]
+        rows = rows.groupBy("ex", "in_deck", *level[: k - 1]).agg(*up, *[F.sum(c).alias(c) for c in done])
+        done += [f"c{k}", f"s{k}"]
+    return rows.groupBy("ex").agg(F.sum("n").alias("n"), F.sum(F.col("n") * inside).alias("m"), *[F.sum(c).alias(c) for c in done])
+
+
+def distance_counts(paths: DataFrame, depth: int = 3) -> DataFrame:
+    """(d, pairs, hidden): ordered pairs of tokens of one example at each distance, and those that a causal mask hides (the second after the first).
+
+    From prefix counts: pairs at distance depth - k share k levels and no more; those with a token off the deck share none. Distances are
+    symmetric, so that half of the pairs of different tokens are hidden."""
+    c = prefix_counts(paths, depth)
+    shared = [F.col("n") * F.col("n"), *[F.col(f"s{k}") for k in range(1, depth + 1)]]
+    exactly = [shared[k] - shared[k + 1] for k in range(depth)] + [shared[depth]]
+    # a token is at distance 0 from itself in the deck, and off it at the greatest
+    own = [F.col("n") - F.col("m"), *[F.lit(0)] * (depth - 1), F.col("m")]
+    at = F.array(*[F.struct(F.lit(depth - k).alias("d"), exactly[k].alias("pairs"), own[k].cast("long").alias("own")) for k in range(depth + 1)])
+    each = c.select(F.explode(at).alias("x")).select("x.*").groupBy("d").agg(F.sum("pairs").alias("pairs"), F.sum("own").alias("own"))
+    return each.where("pairs > 0").select("d", "pairs", F.floor((F.col("pairs") - F.col("own")) / 2).alias("hidden"))
+
+
+def structure(paths: DataFrame, depth: int = 3) -> DataFrame:
     """One row of statistics over examples: share in the deck, distinct values of the first two levels, distinct distances, share of biased pairs.
 
-    Equal paths of an example are counted first: pairs are of distinct paths, weighted, not of tokens."""
-    share = paths.groupBy("ex").agg(F.avg(F.col("in_deck").cast("double")).alias("share"), F.count(F.lit(1)).alias("n"))
-    inside = paths.where("in_deck").groupBy("ex", "path").agg(F.count(F.lit(1)).alias("w"))
-    many = inside.groupBy("ex").agg(F.sum("w").alias("m"), F.countDistinct(F.get("path", F.lit(0))).alias("top"), F.countDistinct(F.slice("path", 1, 2)).alias("second")).where("m >= 2")
-    a, b = inside.select("ex", F.col("path").alias("pa"), F.col("w").alias("wa")), inside.select("ex", F.col("path").alias("pb"), F.col("w").alias("wb"))
-    far = a.join(b, "ex").select("ex", distance(F.col("pa"), F.col("pb")).alias("d"), (F.col("wa") * F.col("wb")).alias("w")).join(many.select("ex"), "ex", "left_semi")
-    per = far.groupBy("ex").agg(F.sum(F.when(F.col("d") > 0, F.col("w")).otherwise(0)).alias("apart")).join(share, "ex").join(many, "ex")
-    out = per.agg(F.avg("top").alias("mean_top"), F.min("top").alias("min_top"), F.max("top").alias("max_top"), F.avg("second").alias("mean_second"), F.avg(F.col("apart") / (F.col("n") * F.col("n"))).alias("mean_biased"))
-    values = far.agg(F.countDistinct("d").alias("n_distances"))
-    covered = share.agg(F.avg("share").alias("mean_in_deck"))
-    return out.crossJoin(F.broadcast(values)).crossJoin(F.broadcast(covered))  # three single rows
+    All are sums over prefix counts (see there): pairs that differ are those of tokens in the deck less those of equal paths."""
+    c = prefix_counts(paths, depth)
+    many = F.col("m") >= 2
+    s = [F.col("m") * F.col("m"), *[F.col(f"s{k}") for k in range(1, depth + 1)]]
+    exactly = [s[k] - s[k + 1] for k in range(depth)] + [s[depth]]
+    met = [F.max(F.when(many, e > 0)).cast("int") for e in exactly]
+    second = F.col(f"c{min(2, depth)}")
+    apart = (s[0] - s[depth]) / (F.col("n") * F.col("n"))
+    of = lambda f, c: f(F.when(many, c))
+    return c.agg(
+        of(F.avg, F.col("c1")).alias("mean_top"),
+        of(F.min, F.col("c1")).alias("min_top"),
+        of(F.max, F.col("c1")).alias("max_top"),
+        of(F.avg, second).alias("mean_second"),
+        of(F.avg, apart).alias("mean_biased"),
+        sum((F.coalesce(x, F.lit(0)) for x in met), F.lit(0)).cast("long").alias("n_distances"),
+        F.avg(F.col("m") / F.col("n")).alias("mean_in_deck"),
+    )
+
+
+def runs(paths: DataFrame) -> DataFrame:
+    """(ex, t0, t1, path, in_deck): neighbouring tokens of one path as one row; t1 is the last of them."""
+    w = Window.partitionBy("ex").orderBy("t")
+    same = (F.lag("path").over(w) == F.col("path")) & (F.lag("in_deck").over(w) == F.col("in_deck"))
+    marked = paths.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int"))
+    marked = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    each = marked.groupBy("ex", "run").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.first("path").alias("path"), F.first("in_deck").alias("in_deck"))
+    return each.drop("run")
+
+
+def bias_blocks(runs_: DataFrame, name: str = "linear", lam: float = 1.0, depth: int | None = None) -> DataFrame:
+    """(ex, i0, i1, j0, j1, d, both, bias): the bias of all pairs of tokens of two runs, i not after j; expanded() gives them one by one.
+
+    Tokens of a run have one path: within it d and bias are 0 in the deck, and off it the bias is 0. So a block has one value, and rows are as many as
+    pairs of runs, not of tokens. The other half is symmetric."""
+    side = lambda x: runs_.select("ex", F.col("t0").alias(f"{x}0"), F.col("t1").alias(f"{x}1"), F.col("path").alias(f"p{x}"), F.col("in_deck").alias(f"in{x}"))
+    i, j = side("i"), side("j")
+    met = i.join(j, (i["ex"] == j["ex"]) & (F.col("i0") <= F.col("j0"))).drop(j["ex"])
+    d, both = distance(F.col("pi"), F.col("pj")), F.col("ini") & F.col("inj")
+    out = met.select("ex", "i0", "i1", "j0", "j1", d.alias("d"), both.alias("both"))
+    bias_ = F.when(F.col("both") & (F.col("d") > 0), kernel(name, F.col("d"), lam, depth)).otherwise(0.0)
+    return out.withColumn("bias", bias_.cast("double"))
+
+
+def expanded(blocks: DataFrame) -> DataFrame:
+    """(ex, i, j, d, both, bias) of the pairs i <= j in blocks."""
+    first = blocks.withColumn("i", F.explode(F.sequence("i0", "i1")))
+    return first.withColumn("j", F.explode(F.sequence(F.greatest("i", "j0"), "j1"))).select("ex", "i", "j", "d", "both", "bias")
+
+
+def bias_sums(blocks: DataFrame) -> DataFrame:
+    """(ex, pairs, biased, total) of the pairs i <= j: how many there are and have a bias, and the sum of these; blocks are weighted, not expanded."""
+    a, b = (F.col("i1") - F.col("i0") + 1).cast("long"), (F.col("j1") - F.col("j0") + 1).cast("long")
+    n = F.when(F.col("i0") == F.col("j0"), F.floor(a * (a + 1) / 2)).otherwise(a * b)
+    some = F.when(F.col("bias") != 0, n).otherwise(0)
+    return blocks.groupBy("ex").agg(F.sum(n).alias("pairs"), F.sum(some).alias("biased"), F.sum(F.col("bias") * n).alias("total"))
 
 
 def structure_gate(stats: DataFrame) -> DataFrame:
@@ -175,6 +252,6 @@ def structure_gate(stats: DataFrame) -> DataFrame:
 
 def prefix_lengths(paths: DataFrame) -> DataFrame:
     """(ex, i, j, shared) of neighbouring tokens: levels that both share from the root."""
-    i = paths.select("ex", F.col("t").alias("i"), F.col("path").alias("a"))
-    j = paths.select("ex", F.col("t").alias("j"), F.col("path").alias("b")).withColumn("i", F.col("j") - 1)
-    return i.join(j, ["ex", "i"]).select("ex", "i", "j", common_prefix(F.col("a"), F.col("b")).alias("shared"))
+    w = Window.partitionBy("ex").orderBy("t")
+    met = paths.select("ex", F.col("t").alias("i"), F.lead("t").over(w).alias("j"), F.col("path").alias("a"), F.lead("path").over(w).alias("b"))
+    return met.where("j = i + 1").select("ex", "i", "j", common_prefix(F.col("a"), F.col("b")).alias("shared"))

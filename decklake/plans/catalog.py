@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chat as C
-from ..functions import stats as S
 from ..functions import text as T
 from ..operators import features, metrics, runs, sampling, split, tail, tree, validate
 from ..sources import records, sinks
-from ..sources.storage import shared_dir
+from ..sources.storage import exists, shared_dir
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +153,21 @@ def output_order(spark, sf):
     return split.ordered(_split(spark, sf)).select("split", "sig_rank", "seq")
 
 
+@query(_DECKS + """, f as (select parts.*, min(seq) over (partition by sig) as first, ('0x' || substr(sha1(sig), 1, 8))::bigint as sh from parts)
+select split, row_number() over (partition by split order by case when split = 'test_b' then sh else first end, case when split = 'test_b' then sig end, seq) - 1 as line_no, seq, deck from f""")
+def written_in_order(spark, sf):
+    """The splits' files in output order, read again line by line."""
+    path = shared_dir(spark)
+    sinks.write_ordered(split.ordered(_split(spark, sf)), path, ["sig_rank", "seq"], columns=["seq", "deck"])
+    out = None
+    for name in ("train", "val", "test_a", "test_b"):
+        if not exists(spark, f"{path}/split={name}"):
+            continue
+        part = records.physical_lines(spark, f"{path}/split={name}").select(F.lit(name).alias("split"), "line_no", F.from_json("value", "seq long, deck string").alias("r"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("split", "line_no", "r.seq", "r.deck")
+
+
 # ---- tail metrics ----
 
 
@@ -328,6 +342,21 @@ def remaining_time(spark, sf):
     return out.withColumn("total", total).where("idx % 5 = 0").select("user_id", "event_id", "idx", F.round(F.col("rate") * (F.col("total") - F.col("idx")), 6).alias("eta"))
 
 
+@query("""select event_id, row_number() over w as idx, sum((event_type <> 'error')::bigint) over w as so_far, sum((event_type <> 'error')::bigint) over w / row_number() over w as rate from events
+window w as (order by ts, event_id rows unbounded preceding)""")
+def running_rate_of_all(spark, sf):
+    """The rate over one long log, without a group to cut it by."""
+    return sampling.running(X.statuses(spark, sf), "ok", ["ts", "event_id"]).select("event_id", "idx", "so_far", "rate")
+
+
+@query("""select event_id, idx, round(mean * (total - idx), 3) as eta from (select event_id, row_number() over w as idx, avg(event_id % 50 + 1) over w as mean, count(*) over () as total from events
+window w as (order by ts, event_id rows unbounded preceding)) where idx % 25 = 0""")
+def remaining_time_of_all(spark, sf):
+    """The time left after every 25th row of one long log."""
+    e = X.statuses(spark, sf).withColumn("seconds", F.col("event_id") % 50 + 1)
+    return sampling.remaining(e, "seconds", ["ts", "event_id"]).select("event_id", "idx", F.round("eta", 3).alias("eta"))
+
+
 # ---- metrics ----
 
 
@@ -532,8 +561,8 @@ def token_paths(spark, sf):
 
 @query()
 def pair_bias(spark, sf):
-    """Too many pairs for the SQL check: a test has it by brute force."""
-    b = tree.biased(tree.pairs(_paths(spark, sf)).where("i <= j"), "linear", 0.5, 3)
+    """All pairs of tokens: too many for the SQL check, which has their sums (bias_of_decks); a test has them by brute force."""
+    b = tree.expanded(tree.bias_blocks(tree.runs(_paths(spark, sf)), "linear", 0.5, 3))
     return b.select("ex", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "d", "bias")
 
 
@@ -554,8 +583,23 @@ def whole_bias(spark, sf):
 
 @query(_TOK + "select d, count(*) as pairs, sum((j > i)::bigint)::bigint as hidden from pr group by 1")
 def distance_counts(spark, sf):
-    p = tree.masked(tree.biased(tree.pairs(_paths(spark, sf))))
-    return p.groupBy("d").agg(F.count(F.lit(1)).alias("pairs"), F.sum((F.col("bias") == S.MASKED).cast("long")).alias("hidden"))
+    return tree.distance_counts(_paths(spark, sf))
+
+
+@query(_TOK + "select ex, count(*) as pairs, count(*) filter (where met and d > 0) as biased, round(sum(case when met and i <> j then -0.5 * d / 3 else 0 end), 6) as total from pr where i <= j group by 1")
+def bias_of_decks(spark, sf):
+    """The bias by pairs of runs: how many pairs a deck has, how many of them have a bias, and its sum."""
+    blocks = tree.bias_blocks(tree.runs(_paths(spark, sf)), "linear", 0.5, 3)
+    return tree.bias_sums(blocks).select("ex", "pairs", "biased", F.round("total", 6).alias("total"))
+
+
+@query(_TOK + """, r0 as (select *, coalesce(p0 = lag(p0) over w and p1 = lag(p1) over w and p2 = lag(p2) over w and in_deck = lag(in_deck) over w, false) as same from pt window w as (partition by ex order by t)),
+r1 as (select *, sum((not same)::int) over (partition by ex order by t rows unbounded preceding) as run from r0)
+select ex, min(t) as t0, max(t) as t1, any_value(p0) as kind_id, any_value(p1) as stmt, any_value(p2) as slot, any_value(in_deck) as in_deck from r1 group by ex, run""")
+def token_runs(spark, sf):
+    """Neighbouring tokens of one path as one row."""
+    p = F.col("path")
+    return tree.runs(_paths(spark, sf)).select("ex", F.col("t0").cast("long").alias("t0"), F.col("t1").cast("long").alias("t1"), p[0].alias("kind_id"), p[1].alias("stmt"), p[2].alias("slot"), "in_deck")
 
 
 @query(_TOK + """, per as (select ex, count(distinct p0) filter (where in_deck) as top, count(distinct (p0, p1)) filter (where in_deck) as second, count(*) as n, avg(in_deck::int) as share from pt group by 1 having sum(in_deck::int) >= 2),
@@ -568,8 +612,8 @@ def tree_structure(spark, sf):
     return made.withColumns({c: F.round(c, 9) for c in ("mean_biased", "mean_in_deck")})
 
 
-@query(_TOK + """select a.ex, a.t as i, b.t as j, case when a.in_deck and b.in_deck then (a.p0 = b.p0)::int + (a.p0 = b.p0 and a.p1 = b.p1)::int + (a.p0 = b.p0 and a.p1 = b.p1 and a.p2 = b.p2)::int else 0 end as shared
- from pt a join pt b on a.ex = b.ex and b.t = a.t + 1""")
+@query(_TOK + """, nx as (select ex, t as i, lead(t) over w as j, in_deck and lead(in_deck) over w as met, p0 = lead(p0) over w as a, p1 = lead(p1) over w as b, p2 = lead(p2) over w as c from pt window w as (partition by ex order by t))
+select ex, i, j, case when met then a::int + (a and b)::int + (a and b and c)::int else 0 end as shared from nx where j is not null""")
 def neighbour_prefixes(spark, sf):
     return tree.prefix_lengths(_paths(spark, sf)).select("ex", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "shared")
 

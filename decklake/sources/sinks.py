@@ -19,6 +19,15 @@ def write_splits(split: DataFrame, path: str) -> None:
     split.write.mode("overwrite").partitionBy("split").option("ignoreNullFields", False).json(path)
 
 
+def write_ordered(rows: DataFrame, path: str, order: list[str], by: str = "split", columns: list[str] | None = None) -> None:
+    """JSON lines in a folder for each value of `by`, whose files, read by name, give the rows in order.
+
+    Rows are dealt into ranges of (by, order) and sorted there; a range writes its own files, numbered as the ranges are, with \n after each line."""
+    dealt = rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+    kept = dealt.select(by, *(columns if columns is not None else [c for c in rows.columns if c != by]))
+    kept.write.mode("overwrite").partitionBy(by).option("ignoreNullFields", False).option("lineSep", "\n").json(path)
+
+
 def append_pairs(pairs: DataFrame, path: str) -> None:
     pairs.write.mode("append").option("ignoreNullFields", False).json(path)
 

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
 
@@ -40,3 +40,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     """True if path is there, in whatever file system it names."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: what reads it reads the same rows each time, and lost executors cost no rerun."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -635,15 +635,9 @@ g as (select *, coalesce(sum(n + 1) over (partition by doc_id order by i rows be
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, batch, ids, starts) of whole texts, a batch for each eight ids; starts are a running sum, linear in a text's words."""
-    from pyspark.sql import Window
-
-    d = X.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), " ")).alias("k", "w"))
-    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.length("w").cast("long")
-    rows = d.select("doc_id", F.struct("k", n.alias("id"), F.coalesce(F.sum(n + 1).over(before), F.lit(0).cast("long")).alias("start")).alias("t"))
-    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return rows.select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), F.col("t.id").alias("ids"), F.col("t.start").alias("starts"))
+    """(doc_id, batch, ids, starts) of whole texts, a batch for each eight ids."""
+    ids, starts = features.word_features(F.col("text"))
+    return X.table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), ids.alias("ids"), starts.alias("starts"))
 
 
 @query(_WORDS + "select doc_id, string_agg(case when start >= 60 then n else -100 end, ' ' order by i) as labels from g group by 1")
@@ -732,3 +726,146 @@ def written_dump(spark, sf):
     sinks.write_dump(checked.join(b, "item_id").withColumns({"prompt": F.concat(F.lit("q"), F.col("item_id").cast("string")), "deck": F.col("text")}), path)
     back = spark.read.schema("prompt string, deck string, ok boolean, error string").json(path)
     return back.select(F.substring("prompt", 2, 20).cast("long").alias("item_id"), "prompt", "deck", "ok", "error")
+
+
+# ---- strict reading, splits, counts, documents and configurations: written, then read again ----
+
+
+def _lines_of_files(spark: SparkSession, sf: str, said: str) -> str:
+    """A folder of JSONL lines, one a benchmark item in order of the items; some are broken or blank."""
+    path = shared_dir(spark)
+    b = X.table(spark, sf, "benchmark").withColumn("line", F.expr(said))
+    sinks.write_corpus(b.repartitionByRange("item_id").sortWithinPartitions("item_id"), path, "line")
+    return path
+
+
+_BROKEN = """case when item_id % 7 = 3 then '{"instruction": ' when item_id % 11 = 5 then '  ' when item_id % 13 = 6 then '[1]' else concat('{"instruction": "i', item_id, '", "output": "', length(text), '"}') end"""
+_NUMBERED = "with b as (select item_id, text, row_number() over (order by item_id) - 1 as line_no from benchmark) "
+
+
+@query(_NUMBERED + """select line_no, case when item_id % 7 = 3 then '{"instruction": ' when item_id % 11 = 5 then '  ' else '[1]' end as value,
+ case when item_id % 7 <> 3 and item_id % 11 = 5 then 'blank line' else 'not an object of the schema' end as why from b where item_id % 7 = 3 or item_id % 11 = 5 or item_id % 13 = 6""")
+def broken_lines(spark, sf):
+    """The places of the lines that a strict scan refuses."""
+    _, broken = records.scan_strictly(spark, _lines_of_files(spark, sf, _BROKEN))
+    return broken.select("line_no", "value", "why")
+
+
+@query(_NUMBERED + "select line_no, 'i' || item_id as instruction, length(text)::varchar as output from b where not (item_id % 7 = 3 or item_id % 11 = 5 or item_id % 13 = 6)")
+def strict_lines(spark, sf):
+    """The lines that a strict scan takes, with their places among all."""
+    good, _ = records.scan_strictly(spark, _lines_of_files(spark, sf, _BROKEN))
+    return good.select("line_no", "instruction", "output")
+
+
+@query(_NUMBERED + "select line_no, 'i' || item_id as instruction from b")
+def strict_records(spark, sf):
+    """A strict reading of files without a broken line."""
+    path = _lines_of_files(spark, sf, "concat('{\"instruction\": \"i', item_id, '\"}')")
+    return records.read_strictly(spark, path).select("line_no", "instruction")
+
+
+@query("select 'train' as split, conv_id, count(*)::bigint as n from conversations where conv_id % 5 <> 0 group by 2 union all select 'validation', conv_id, count(*) from conversations where conv_id % 5 = 0 group by 2")
+def loaded_splits(spark, sf):
+    """Two files of chats, loaded as the splits of one dataset."""
+    train, validation = shared_dir(spark), shared_dir(spark)
+    chats = X.chats(spark, sf).select("conv_id", "messages", F.col("conv_id").cast("string").alias("instruction"))
+    sinks.append_pairs(chats.where("conv_id % 5 != 0").drop("conv_id"), train)
+    sinks.append_pairs(chats.where("conv_id % 5 = 0").drop("conv_id"), validation)
+    loaded = records.load_splits(spark, train, validation)
+    return loaded.select("split", F.col("instruction").cast("long").alias("conv_id"), F.size("messages").cast("long").alias("n"))
+
+
+@query("select conv_id, count(*)::bigint as n from conversations where conv_id % 5 <> 0 group by 1")
+def loaded_train_split(spark, sf):
+    """A dataset of a single file has only the train split."""
+    train = shared_dir(spark)
+    chats = X.chats(spark, sf).select(F.col("conv_id").cast("string").alias("instruction"), "messages")
+    sinks.append_pairs(chats.where("conv_id % 5 != 0"), train)
+    return records.load_splits(spark, train).where("split = 'train'").select(F.col("instruction").cast("long").alias("conv_id"), F.size("messages").cast("long").alias("n"))
+
+
+@query("select 'customer' as name, count(*) as lines from customer union all select 'supplier', count(*) from supplier")
+def counted_lines(spark, sf):
+    """Lines of two written corpora, also what a resumed run skips."""
+    out = None
+    for name, column in (("customer", "c_name"), ("supplier", "s_name")):
+        path = shared_dir(spark)
+        sinks.write_corpus(X.table(spark, sf, name), path, column)
+        part = records.line_counts(spark, path).select(F.lit(name).alias("name"), "lines")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(_PAIRS + "select 1000 as \"cut\", kind, n, part from parts")
+def registered_document(spark, sf):
+    """The document that fixes head and tail, written once in the shared folder, refused a second time, and read again."""
+    pairs = X.gold_pred(spark, sf)
+    row = tail.registered(tail.document_frequency(pairs.select(F.col("gold").alias("kinds"))), F.lit(0))
+    path = f"{shared_dir(spark)}/registered.json"
+    sinks.write_document(row, path, once=True)
+    try:
+        sinks.write_document(row, path, once=True)
+    except FileExistsError:
+        read = records.read_json_document(spark, path)
+    entry = F.explode("freq").alias("f")
+    part = F.when(F.array_contains("tail", F.col("f.kind")), "tail").when(F.array_contains("head", F.col("f.kind")), "head")
+    return read.select("cut", "tail", "head", entry).select(F.col("cut").cast("int").alias("cut"), F.col("f.kind").alias("kind"), F.col("f.n").cast("long").alias("n"), part.alias("part"))
+
+
+@query(_DECKS + "select split, count(*) as examples, count(distinct sig) as signatures from parts group by 1")
+def written_manifest(spark, sf):
+    """The split's counts as a document of one row, written and read again."""
+    counts = split.counts(_split(spark, sf))
+    row = counts.agg(F.array_sort(F.collect_list(F.struct("split", "examples", "signatures"))).alias("splits"))  # a row a split
+    path = f"{shared_dir(spark)}/MANIFEST.json"
+    sinks.write_document(row, path)
+    read = records.read_json_document(spark, path).select(F.explode("splits").alias("s"))
+    return read.select("s.split", "s.examples", "s.signatures")
+
+
+@query("select n_nationkey, n_nationkey % 3 <> 0 as use_tsd, case when n_nationkey % 3 <> 0 then n_nationkey * 0.5::double end as lam, case when n_nationkey % 3 <> 0 then 'ast' end as tree from nation")
+def sidecars(spark, sf):
+    """Parameters beside models, one a nation; a model without them is the baseline."""
+    base = shared_dir(spark)
+    n = X.table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit(f"{base}/model-"), F.col("n_nationkey").cast("string")).alias("folder"))
+    given = n.where("n_nationkey % 3 != 0").select("folder", F.lit(True).alias("use_tsd"), (F.col("n_nationkey") * F.lit(0.5)).alias("lam"), F.lit("ast").alias("tree"))
+    sinks.write_sidecars(given)
+    read = sinks.read_sidecars(n, f"{base}/*", "use_tsd boolean, lam double, tree string")
+    return read.select("n_nationkey", "use_tsd", "lam", "tree")
+
+
+@query("""with f as (select 'blocker' as severity from labels where toxic = 1 union all select 'major' from labels where quality = 0)
+select severity, count(*) as n, round(count(*) * case severity when 'blocker' then 1.0::double else 0.4::double end, 6) as cost, true as same_version from f group by 1""")
+def contract_costs(spark, sf):
+    """What the findings of each severity cost by a contract read from the first source that has one, and whether its version is the one expected."""
+    path = f"{shared_dir(spark)}/contract.json"
+    sinks.write_once({"version": records.CONTRACT_VERSION, **records.CONTRACT}, path)
+    contract = records.first_of(lambda: records.json_document(f"{path}.missing"), lambda: records.json_document(path), lambda: records.CONTRACT)
+    weights = spark.createDataFrame(list(contract["vocab"]["severity_weight"].items()), "severity string, weight double")  # a row a severity
+    counts = X.findings(spark, sf).groupBy("severity").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(weights), "severity", "left")
+    same = F.lit(records.check_version(contract))
+    return counts.select("severity", "n", F.round(F.col("n") * F.coalesce("weight", F.lit(0.0)), 6).alias("cost"), same.alias("same_version"))
+
+
+@query("""select c_custkey, 'own' || c_custkey as own, 'base' || c_nationkey as inherited, case when c_custkey % 2 = 0 then c_name else '[1, 2]' end as replaced, case when c_custkey % 3 = 0 then 5 else 1 end as deep from customer""")
+def merged_configurations(spark, sf):
+    """A configuration a customer, merged over that of its nation: nested maps merge, anything else replaces."""
+    k, n = (F.col(c).cast("string") for c in ("c_custkey", "c_nationkey"))
+    base = F.concat(F.lit('{"a": {"own": "x", "inherited": "base'), n, F.lit('"}, "b": [1, 2], "c": {"d": {"e": 1}}}'))
+    own = F.concat(F.lit('{"a": {"own": "own'), k, F.lit('"}'), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(', "b": "'), "c_name", F.lit('"'))).otherwise(""))
+    own = F.concat(own, F.when(F.col("c_custkey") % 3 == 0, ', "c": {"d": {"e": 5}}').otherwise(""), F.lit("}"))
+    rows = X.table(spark, sf, "customer").select("c_custkey", records.merged_json(base, own).alias("made"))
+    of = lambda path: F.get_json_object("made", path)
+    return rows.select("c_custkey", of("$.a.own").alias("own"), of("$.a.inherited").alias("inherited"), F.replace(of("$.b"), F.lit("[1,2]"), F.lit("[1, 2]")).alias("replaced"), of("$.c.d.e").cast("int").alias("deep"))
+
+
+@query("select item_id, '## Case ' || item_id as head from benchmark")
+def written_case_report(spark, sf):
+    """The report of all cases, written as one file in order and read again: the place of each case's head."""
+    b = X.table(spark, sf, "benchmark")
+    path = f"{shared_dir(spark)}/cases.md"
+    block = sinks.case_block(F.col("item_id"), F.col("text"), F.lower("text"), F.lower("text"), F.col("text"))
+    sinks.write_report(b.select("item_id", block.alias("block")), path, "item_id")
+    lines = records.physical_lines(spark, path).where(F.col("value").startswith("## Case "))
+    return lines.select(F.substring("value", 9, 20).cast("long").alias("item_id"), F.col("value").alias("head"))

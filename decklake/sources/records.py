@@ -9,11 +9,14 @@ import json
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import chat
+from ..functions import text as T_
+from .storage import get_text
 
 MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
 RECORD = T.StructType([T.StructField("messages", MESSAGES), *[T.StructField(c, T.StringType()) for c in ("instruction", "input", "output")], T.StructField("_corrupt", T.StringType())])
@@ -44,6 +47,32 @@ def physical_lines(spark: SparkSession, *paths: str, limit: int | None = None) -
     return out
 
 
+def scan_strictly(spark: SparkSession, *paths: str, schema: T.StructType = RECORD, corrupt: str = "_corrupt") -> tuple[DataFrame, DataFrame]:
+    """(records, broken) of JSONL files in which every physical line must be an object of the schema; blank lines are broken too.
+
+    records: (file_no, line_no, the schema's columns). broken: (path, file_no, line_no, value, why), the place of each error. Lines are numbered
+    from 0 by a count of the files' blocks; no row is dropped, for a line is in just one of the two."""
+    names = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "file_no int, path string")
+    mode = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}
+    rows = physical_lines(spark, *paths).withColumn("r", F.from_json("value", schema, mode))
+    blank = T_.strip("value") == ""
+    why = F.when(blank, "blank line").when(F.col("r").isNull() | F.col(f"r.{corrupt}").isNotNull(), "not an object of the schema")
+    rows = rows.withColumn("why", why)
+    columns = [F.col(f"r.{c}") for c in schema.names if c != corrupt]
+    good = rows.where("why is null").select("file_no", "line_no", *columns)
+    broken = rows.where("why is not null").join(F.broadcast(names), "file_no").select("path", "file_no", "line_no", "value", "why")  # a row a path
+    return good, broken
+
+
+def read_strictly(spark: SparkSession, *paths: str, schema: T.StructType = RECORD) -> DataFrame:
+    """The records of scan_strictly(); if any line is broken an error that names the first one's file and line."""
+    good, broken = scan_strictly(spark, *paths, schema=schema)
+    first = broken.orderBy("file_no", "line_no").limit(1).collect()
+    if first:
+        raise ValueError(f"{first[0].path}, line {first[0].line_no + 1}: {first[0].why}: {first[0].value[:200]!r}")
+    return good
+
+
 def read_records(spark: SparkSession, *paths: str, strict: bool = False, ordered: bool = False, limit_lines: int | None = None) -> DataFrame:
     """Records of JSONL files. Lenient: blank lines are skipped. Strict: a blank or broken line is an error.
 
@@ -85,8 +114,13 @@ def pool(spark: SparkSession, train: str, validation: str) -> DataFrame:
     return rows.withColumn("seq", F.col("file_no") * F.lit(1 << 40) + F.col("line_no")).drop("file_no", "line_no")
 
 
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """One row: lines."""
+    return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"))
+
+
 def count_lines(spark: SparkSession, path: str) -> int:
-    return spark.read.text(path).count()
+    return line_counts(spark, path).first().lines
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
@@ -109,13 +143,28 @@ def deep_merge(parent: dict, child: dict) -> dict:
 
 def load_config(path: str) -> dict:
     """A JSON or YAML file, merged over the one that it extends (named relative to it)."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+    text = get_text(path)
     own = json.loads(text) if path.endswith(".json") else _yaml(text)
     parent = own.pop("extends", None)
     return deep_merge(load_config(os.path.join(os.path.dirname(path), parent)), own) if parent else own
 
 
+def json_document(path: str) -> dict:
+    """A JSON document as a dict; FileNotFoundError without one."""
+    return json.loads(get_text(path))
+
+
+def merged_json(parent: Column, child: Column) -> Column:
+    """The deep merge of two columns of JSON objects, with sorted keys: the child wins; a null side gives the other."""
+
+    @F.pandas_udf("string")
+    def merge(a: pd.Series, b: pd.Series) -> pd.Series:
+        load = lambda x: json.loads(x) if isinstance(x, str) else {}
+        return pd.Series([json.dumps(deep_merge(load(x), load(y)), ensure_ascii=False, sort_keys=True) for x, y in zip(a, b, strict=True)])
+
+    return merge(parent, child)
+
+
 def _yaml(text: str) -> dict:
     try:
         import yaml

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import get_text, put_text
+
 
 def write_corpus(texts: DataFrame, path: str, column: str = "text", after: str = "\n") -> None:
     """One text after the other, each with what comes after it."""
@@ -37,43 +38,67 @@ def write_dump(checked: DataFrame, path: str) -> None:
     append_pairs(checked.select("prompt", "deck", "ok", "error"), path)
 
 
-def write_sidecar(folder: str, name: str = "tsd_config.json", **parameters) -> None:
+SIDECAR = "tsd_config.json"
+
+
+def write_sidecar(folder: str, name: str = SIDECAR, **parameters) -> None:
     """Bias parameters beside a model, for read_sidecar()."""
-    with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-        json.dump(parameters, f, ensure_ascii=False, indent=2)
+    put_text(f"{folder.rstrip('/')}/{name}", json.dumps(parameters, ensure_ascii=False, indent=2))
+
+
+def write_sidecars(models: DataFrame, folder: str = "folder", name: str = SIDECAR) -> int:
+    """The side-cars of some models: a row (folder, parameters) each, one file each."""
+    n = 0
+    for row in models.toLocalIterator():
+        write_sidecar(row[folder], name, **{k: v for k, v in row.asDict(recursive=True).items() if k != folder})
+        n += 1
+    return n
 
 
 def write_once(document: dict, path: str) -> None:
     """A JSON document that is never written over."""
-    with open(path, "x", encoding="utf-8") as f:
-        json.dump(document, f, ensure_ascii=False, indent=1)
+    put_text(path, json.dumps(document, ensure_ascii=False, indent=1), once=True)
 
 
-def write_document(row: DataFrame, path: str) -> dict:
-    """A one-row result as a JSON document."""
+def write_document(row: DataFrame, path: str, once: bool = False) -> dict:
+    """A one-row result as a JSON document; once: never written over."""
     document = json.loads(row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0])
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        json.dump(document, f, ensure_ascii=False, indent=2)
+    put_text(path, json.dumps(document, ensure_ascii=False, indent=2), once)
     return document
 
 
-def read_sidecar(folder: str, name: str = "tsd_config.json") -> dict:
+def read_sidecar(folder: str, name: str = SIDECAR) -> dict:
     """Bias parameters beside a model; without the file the model is the baseline."""
-    path = os.path.join(folder, name)
-    if not os.path.exists(path):
+    try:
+        return json.loads(get_text(f"{folder.rstrip('/')}/{name}"))
+    except FileNotFoundError:
         return {"use_tsd": False}
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+
+
+def read_sidecars(models: DataFrame, pattern: str, schema: str, folder: str = "folder", name: str = SIDECAR) -> DataFrame:
+    """models (with their folders) and the parameters beside them; use_tsd is false where there are none. pattern names the folders.
+
+    Folders are compared by their last part."""
+    spark = models.sparkSession
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    found = spark.read.schema(schema).option("multiLine", True).json(f"{pattern.rstrip('/')}/{name}")
+    found = found.withColumn("of", last(F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")))
+    met = models.join(found, last(F.col(folder)) == F.col("of"), "left").drop("of")
+    return met.withColumn("use_tsd", F.coalesce("use_tsd", F.lit(False)))
 
 
 def write_report(cases: DataFrame, path: str, order: str = "seq", title: str = "# Cases") -> int:
     """A Markdown file of case blocks (column block), streamed to the driver row by row."""
     n = 0
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.write(title + "\n\n")
+
+    def blocks():
+        nonlocal n
+        yield title + "\n\n"
         for row in cases.orderBy(order).select("block").toLocalIterator():
-            f.write(row.block)
             n += 1
+            yield row.block
+
+    put_text(path, blocks())
     return n
 
 

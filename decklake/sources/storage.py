@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +48,51 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(path: str):
+    """(file system, path) of the active session's Hadoop, or (None, path) without a session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None, path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def put_text(path: str, parts: str | Iterable[str], once: bool = False) -> None:
+    """A small document (or one that comes in parts) in whatever file system the path names; once: an error if it is there."""
+    parts = [parts] if isinstance(parts, str) else parts
+    files, target = _files(path)
+    if files is None:
+        with open(path, "x" if once else "w", encoding="utf-8", newline="\n") as f:
+            f.writelines(parts)
+        return
+    if once and files.exists(target):
+        raise FileExistsError(path)
+    try:
+        out = files.create(target, not once)
+    except Exception as e:  # another writer may have come first
+        if "FileAlreadyExists" in str(e):
+            raise FileExistsError(path) from e
+        raise
+    try:
+        for part in parts:
+            out.write(bytearray(part.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def get_text(path: str) -> str:
+    """A document's text; FileNotFoundError without one."""
+    files, target = _files(path)
+    if files is None:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    if not files.exists(target):
+        raise FileNotFoundError(path)
+    jvm = SparkSession.getActiveSession().sparkContext._jvm
+    stream = files.open(target)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

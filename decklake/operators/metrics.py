@@ -66,11 +66,18 @@ def agreement(df: DataFrame, a: str, b: str, slow: str, fast: str) -> DataFrame:
 
 
 def tensor_changes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(name, in_both, max_diff) of two tables (name, values); a name or length of one side only is not in both."""
-    both = a.select("name", F.col("values").alias("a")).join(b.select("name", F.col("values").alias("b")), "name", "full_outer")
+    """(name, in_both, max_diff) of two tables (name, values), or (name, start, values) in pieces; a name or length of one side only is not in both.
+
+    Pieces are compared where they lie; a tensor's row combines those of its pieces."""
+    keys = ["name", "start"] if "start" in a.columns and "start" in b.columns else ["name"]
+    both = a.select(*keys, F.col("values").alias("a")).join(b.select(*keys, F.col("values").alias("b")), keys, "full_outer")
     fits = F.coalesce(F.size("a") == F.size("b"), F.lit(False))
     top = F.coalesce(F.array_max(F.zip_with("a", "b", lambda x, y: F.abs(x.cast("double") - y.cast("double")))), F.lit(0.0))
-    return both.select("name", fits.alias("in_both"), F.when(fits, top).alias("max_diff"))
+    out = both.select("name", fits.alias("in_both"), F.when(fits, top).alias("max_diff"))
+    if len(keys) == 1:
+        return out
+    whole = out.groupBy("name").agg(F.min("in_both").alias("in_both"), F.max("max_diff").alias("max_diff"))
+    return whole.withColumn("max_diff", F.when(F.col("in_both"), F.col("max_diff")))
 
 
 def tensor_verdict(changes: DataFrame) -> DataFrame:
@@ -81,7 +88,7 @@ def tensor_verdict(changes: DataFrame) -> DataFrame:
 
 
 def parameters(tensors: DataFrame) -> DataFrame:
-    return tensors.agg(F.sum(F.size("values")).alias("parameters"))
+    return tensors.agg(F.sum(F.size("values").cast("long")).alias("parameters"))
 
 
 def coverage(tokens: DataFrame, n: int | None = None) -> DataFrame:

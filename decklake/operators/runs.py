@@ -41,6 +41,21 @@ def export_valid(head_count_kv: Column, n_ssm: Column, has_template: Column) ->
     return ~(recurrent & (n_ssm == 0)) & has_template
 
 
+def exports(keys: DataFrame, tensors: DataFrame) -> DataFrame:
+    """(path, arch, tensors, ssm, recurrent, template, valid) of exported models, from the keys and tensors of their headers.
+
+    recurrent: layers whose head count is 0, by the key of the model's own architecture; a single number stands for all layers."""
+    one = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    counts = F.map_from_entries(F.collect_list(F.when(F.col("key").endswith(".attention.head_count_kv"), F.struct("key", "value"))))  # one an architecture
+    heads = keys.groupBy("path").agg(F.get_json_object(F.concat(F.lit('{"v":'), one("general.architecture"), F.lit("}")), "$.v").alias("arch"), counts.alias("counts"), F.max(F.col("key") == "tokenizer.chat_template").alias("template"))
+    own = F.try_element_at("counts", F.concat("arch", F.lit(".attention.head_count_kv")))
+    values = F.when(own.startswith("["), F.from_json(own, "array<bigint>")).otherwise(F.array(own.try_cast("bigint")))
+    n = tensors.groupBy("path").agg(F.count(F.lit(1)).alias("tensors"), F.sum(F.col("name").contains("ssm").cast("long")).alias("ssm"))
+    rows = heads.withColumn("heads", F.when(own.isNotNull(), values)).join(n, "path", "left").fillna(0, ["tensors", "ssm"])
+    zero = F.coalesce(F.size(F.filter("heads", lambda x: x == 0)), F.lit(0))
+    return rows.select("path", "arch", "tensors", "ssm", F.greatest(zero, F.lit(0)).cast("long").alias("recurrent"), "template", export_valid(F.col("heads"), F.col("ssm"), F.col("template")).alias("valid"))
+
+
 def status_counts(df: DataFrame, status: str = "status") -> DataFrame:
     return df.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 

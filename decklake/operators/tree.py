@@ -104,6 +104,11 @@ def tokens(decks: DataFrame, ex: str = "ex", deck: str = "deck") -> DataFrame:
     return placed.select("ex", t.alias("t"), "start", (F.col("start") + F.length("piece")).alias("end"))
 
 
+def given_tokens(texts: DataFrame, starts: str = "starts", ex: str = "ex") -> DataFrame:
+    """(ex, t, start) of a tokenizer's offsets: an array of where each token starts in the text, which may begin anywhere, repeat or be empty."""
+    return texts.select(F.col(ex).alias("ex"), F.posexplode(starts).alias("t", "start"))
+
+
 def token_paths(toks: DataFrame, segs: DataFrame, spans: DataFrame | None = None, depth: int = 3) -> DataFrame:
     """(ex, t, path, in_deck): the path of the segment that a token starts in; -1 at each level where there is none.
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chat as C
+from ..functions import pairs
 from ..functions import text as T
 from ..operators import features, metrics, runs, sampling, split, tail, tree, validate
-from ..sources import records, sinks
+from ..sources import binary, records, sinks
 from ..sources.storage import exists, shared_dir
 from . import fixtures as X
 
@@ -660,6 +661,13 @@ def truncated_ids(spark, sf):
     return _features(spark, sf).select("doc_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), " ").alias("ids"))
 
 
+@query("""with w as (select unnest(regexp_extract_all(text, '([\\p{L}]+)')) as word from documents), c as (select hex(encode(word)) as h, count(*) as n from w group by 1),
+p as (select n, h, unnest(range(0, length(h) // 2 - 1)) as i from c) select substr(h, 2 * i + 1, 2) as a, substr(h, 2 * i + 3, 2) as b, sum(n)::bigint as n from p group by 1, 2""")
+def byte_pairs(spark, sf):
+    """How often two bytes stand side by side in the words of all texts."""
+    return pairs.pair_counts(pairs.word_counts(X.table(spark, sf, "documents"), r"([\p{L}]+)"))
+
+
 # ---- sources and sinks: written, then read again ----
 
 
@@ -869,3 +877,63 @@ def written_case_report(spark, sf):
     sinks.write_report(b.select("item_id", block.alias("block")), path, "item_id")
     lines = records.physical_lines(spark, path).where(F.col("value").startswith("## Case "))
     return lines.select(F.substring("value", 9, 20).cast("long").alias("item_id"), F.col("value").alias("head"))
+
+
+# ---- binary files: written by one data source, read again by byte ranges ----
+
+
+def _tensor_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The tensors of two models, each read from its files in pieces."""
+    binary.register(spark)
+    e = X.table(spark, sf, "embeddings")
+    name = F.concat(F.lit("t"), F.col("vec_id").cast("string")).alias("name")
+    changed = F.transform("embedding", lambda v: F.when(F.col("vec_id") % 4 == 0, v * F.lit(1.5).cast("float")).otherwise(v))
+    sides = []
+    for rows in (e.where("vec_id % 50 != 7").select(name, F.col("embedding").alias("values")), e.select(name, changed.alias("values"))):
+        path = shared_dir(spark)
+        rows.write.format("tensors").mode("overwrite").save(path)
+        sides.append(spark.read.format("tensors").option("piece", 128).load(path))  # 32 numbers a piece, so that tensors are in several
+    return sides[0], sides[1]
+
+
+@query(_TENSORS + "select 't' || vec_id as name, in_both, round(case when in_both then d end, 5) as max_diff from c")
+def tensor_changes_of_files(spark, sf):
+    return metrics.tensor_changes(*_tensor_files(spark, sf)).withColumn("max_diff", F.round("max_diff", 5))
+
+
+@query(_TENSORS + "select count(*) as n, bool_and(in_both) as same_names, sum((in_both and d = 0)::bigint)::bigint as unchanged, round(max(case when in_both then d end), 5) as max_diff, bool_and(in_both) and sum((in_both and d = 0)::bigint) / count(*) < 0.5 and max(case when in_both then d end) > 1e-6 as moved from c")
+def tensor_verdict_of_files(spark, sf):
+    return metrics.tensor_verdict(metrics.tensor_changes(*_tensor_files(spark, sf))).withColumn("max_diff", F.round("max_diff", 5))
+
+
+@query(_TENSORS + "select 't' || vec_id as name, round(d, 5) as max_diff from c where in_both order by d desc, 't' || vec_id limit 5")
+def most_changed_of_files(spark, sf):
+    changes = metrics.tensor_changes(*_tensor_files(spark, sf))
+    return changes.where("in_both").orderBy(F.desc("max_diff"), "name").limit(5).select("name", F.round("max_diff", 5).alias("max_diff"))
+
+
+@query("select sum(len(embedding))::bigint as parameters, count(*) as tensors, sum((len(embedding) + 31) // 32)::bigint as pieces from embeddings")
+def parameter_count_of_files(spark, sf):
+    t = _tensor_files(spark, sf)[1]
+    return metrics.parameters(t).crossJoin(F.broadcast(t.agg(F.countDistinct("name").alias("tensors"), F.count(F.lit(1)).alias("pieces"))))  # single rows
+
+
+@query("""select s_suppkey, 'arch' || s_suppkey % 4 as arch, 2 + (s_suppkey % 2)::bigint as tensors, (s_suppkey % 2)::bigint as ssm, case when s_suppkey % 5 = 4 then 0 else (s_suppkey % 3 = 0)::bigint end as recurrent, s_suppkey % 7 <> 0 as template,
+ not (s_suppkey % 3 = 0 and s_suppkey % 5 <> 4 and s_suppkey % 2 = 0) and s_suppkey % 7 <> 0 as valid from supplier""")
+def export_validity_of_files(spark, sf):
+    """The verdict on exported models, a header file each: a list of head counts, a single number, none of the own architecture."""
+    binary.register(spark)
+    k = F.col("s_suppkey")
+    entry = lambda key, kind, value: F.struct(F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), F.lit(kind).alias("kind"), value.alias("value"))
+    arch = F.concat(F.lit("arch"), (k % 4).cast("string"))
+    count = F.concat(arch, F.lit(".attention.head_count_kv"))
+    listed = F.concat(F.lit("[8, "), (k % 3).cast("string"), F.lit("]"))
+    heads = F.when(k % 5 == 4, F.array(entry("other.attention.head_count_kv", "array", F.lit("[0]")))).when(k % 5 == 3, F.array(entry(count, "uint32", (k % 3).cast("string")))).otherwise(F.array(entry(count, "array", listed)))
+    keys = F.concat(F.array(entry("general.architecture", "string", F.concat(F.lit('"'), arch, F.lit('"')))), heads, F.when(k % 7 != 0, F.array(entry("tokenizer.chat_template", "string", F.lit('"{{ x }}"')))).otherwise(F.array()))
+    tensor = lambda name: F.struct(F.lit(name).alias("name"), F.array(F.lit(4).cast("long"), F.lit(2).cast("long")).alias("shape"), F.lit(0).alias("kind"))
+    tensors = F.concat(F.array(tensor("blk.0.attn_k.weight"), tensor("output.weight")), F.when(k % 2 == 1, F.array(tensor("blk.0.ssm_in.weight"))).otherwise(F.array()))
+    path = shared_dir(spark)
+    files = X.table(spark, sf, "supplier").select(F.concat(F.lit("model-"), k.cast("string"), F.lit(".gguf")).alias("file"), keys.alias("keys"), tensors.alias("tensors"))
+    files.write.format("exports").mode("overwrite").save(path)
+    found = runs.exports(spark.read.format("exports").load(path), spark.read.format("exports").option("part", "tensors").load(path))
+    return found.select(F.regexp_extract("path", r"model-(\d+)\.gguf$", 1).cast("long").alias("s_suppkey"), "arch", "tensors", "ssm", "recurrent", "template", "valid")

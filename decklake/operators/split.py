@@ -1,7 +1,7 @@
 """Leak-free splits by structure: exact dedup, protected signatures, structural hold-out, hash buckets, audit.
 
-Plan: one shuffle by deck for the dedup (combined map-side); the tables of signatures are aggregates of the same examples,
-so that their plans reuse that shuffle, and nothing is persisted. Held-out signatures are at most HELD_OUT rows."""
+Plan: one shuffle by deck for the dedup (combined map-side). The signatures are written once, and who is protected and held out is found among
+them: the examples are read a second time only for what is asked of them. Held-out signatures are at most HELD_OUT rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.storage import written
 from .ordering import fresh, ranked
 
 #: Defaults: signatures held out, percent of buckets for test a and up to validation.
@@ -42,7 +43,8 @@ def protected(examples: DataFrame) -> DataFrame:
 
 def held_out(examples: DataFrame, k: int = HELD_OUT) -> DataFrame:
     """The k signatures with the least hash (ties by signature), protected ones left out."""
-    eligible = examples.select("sig").distinct().join(protected(examples), "sig", "left_anti")
+    sigs = written(examples.select("sig").distinct())
+    eligible = sigs.join(protected(sigs), "sig", "left_anti")
     return eligible.withColumn("sig_hash", T.hash32("sig")).orderBy("sig_hash", "sig").limit(k)
 
 
@@ -53,8 +55,15 @@ def assigned(examples: DataFrame, k: int = HELD_OUT, test_a: int = TEST_A, val:
     return examples.join(F.broadcast(b), "sig", "left").withColumn("split", split).drop("is_b")
 
 
+def buckets(examples: DataFrame) -> DataFrame:
+    """(sig, h, n): how many examples of a signature fall into a bucket, written once. It decides a split as the examples do."""
+    return written(examples.groupBy("sig", "h").agg(F.count(F.lit(1)).alias("n")))
+
+
 def counts(split: DataFrame) -> DataFrame:
-    return split.groupBy("split").agg(F.count(F.lit(1)).alias("examples"), F.countDistinct("sig").alias("signatures"))
+    """(split, examples, signatures) of a split of examples, or of their buckets."""
+    n = F.sum("n") if "n" in split.columns else F.count(F.lit(1))
+    return split.groupBy("split").agg(n.alias("examples"), F.countDistinct("sig").alias("signatures"))
 
 
 def audit(split: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def _split(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_DECKS + "select split, count(*) as examples, count(distinct sig) as signatures from parts group by 1")
 def split_counts(spark, sf):
-    return split.counts(_split(spark, sf))
+    return split.counts(split.assigned(split.buckets(_examples(spark, sf))))
 
 
 @query(_DECKS + """, tr as (select * from parts where split = 'train')
@@ -132,7 +132,7 @@ def held_out_signatures(spark, sf):
 
 @query(_DECKS + "select split, min(n) as fewest, max(n) as most from (select split, sig, count(*) as n from parts group by 1, 2) group by 1")
 def examples_per_signature(spark, sf):
-    sizes = _split(spark, sf).groupBy("split", "sig").agg(F.count(F.lit(1)).alias("n"))
+    sizes = split.assigned(split.buckets(_examples(spark, sf))).groupBy("split", "sig").agg(F.sum("n").alias("n"))
     return sizes.groupBy("split").agg(F.min("n").alias("fewest"), F.max("n").alias("most"))
 
 
@@ -824,7 +824,7 @@ def registered_document(spark, sf):
 @query(_DECKS + "select split, count(*) as examples, count(distinct sig) as signatures from parts group by 1")
 def written_manifest(spark, sf):
     """The split's counts as a document of one row, written and read again."""
-    counts = split.counts(_split(spark, sf))
+    counts = split.counts(split.assigned(split.buckets(_examples(spark, sf))))
     row = counts.agg(F.array_sort(F.collect_list(F.struct("split", "examples", "signatures"))).alias("splits"))  # a row a split
     path = f"{shared_dir(spark)}/MANIFEST.json"
     sinks.write_document(row, path)

@@ -42,16 +42,22 @@ def bag(text: Column) -> Column:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(lang, source, place): the sources of a language in order."""
+    """(lang, source, place, key): the sources of a language in order, and a number for each group (hashes, with a seed that keeps them apart)."""
     w = Window.partitionBy("lang").orderBy("source")
-    return docs.select("lang", "source").distinct().withColumn("place", F.row_number().over(w) - 1)
+    found = stored(docs.select("lang", "source").distinct().withColumn("place", F.row_number().over(w) - 1))
+    for seed in range(8):
+        key = F.xxhash64(F.lit(seed), "lang", "source")
+        if not found.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            return found.withColumns({"key": key, "seed": F.lit(seed)})
+    raise ValueError("no seed keeps the groups apart")
 
 
 def vectors(docs: DataFrame, places: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, used): of each kept term its counts by place, in order, where there are any."""
-    each = docs.select("lang", "source", F.explode(bag(F.col("text"))).alias("b")).select("lang", "source", "b.term", "b.n")
-    counts = each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
-    placed = counts.join(places, ["lang", "source"])
+    seed = places.select(F.coalesce(F.max("seed"), F.lit(0))).first()[0]
+    each = docs.select(F.xxhash64(F.lit(seed), "lang", "source").alias("key"), F.explode(bag(F.col("text"))).alias("b")).select("key", "b.term", "b.n")
+    counts = each.groupBy("key", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
+    placed = counts.join(places.select("key", "lang", "place"), "key")
     used = F.array_sort(F.collect_list(F.struct("place", "n")))  # at most one entry a source
     return placed.groupBy("lang", "term").agg(F.sum("df").alias("df"), used.alias("used")).where(F.col("df") >= least).drop("df")
 
@@ -84,35 +90,54 @@ def spread(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def shares(kept: DataFrame, sums: DataFrame) -> DataFrame:
-    """(lang, term, used, size, p, q): a term's share in each place, and in the language.
+def with_sums(kept: DataFrame, sums: DataFrame) -> DataFrame:
+    """kept with the sums of their language.
 
-    The few rows of sums meet all terms of their language: both sides are dealt by a further hash of the term, unless Spark finds sums to be small."""
+    A few rows meet all terms of their language: both sides are dealt by a further hash of the term, unless Spark finds sums to be small."""
     n = shuffle_partitions(kept.sparkSession)
     salted = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(n)))
     copies = sums.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    wide = salted.join(copies, ["lang", "salt"]).withColumn("counts", dense(F.col("used"), F.size("sums")))
-    p = F.zip_with("counts", "sums", lambda c, s: share(c, s, F.col("v")))
-    q = share(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b), F.col("total"), F.col("v"))
-    return wide.select("lang", "term", "used", F.size("sums").alias("size"), p.alias("p"), q.alias("q"))
+    return salted.join(copies, ["lang", "salt"]).drop("salt")
+
+
+def pair_sums(wide: DataFrame) -> DataFrame:
+    """(lang, place, other, value): of each ordered pair of places the sum of their contributions over all terms.
+
+    A term's array of shares becomes the squares of differences of all its pairs place < other; each is divided by either share, and both quotients are
+    summed by pair where they arise."""
+    counts = dense(F.col("used"), F.size("sums"))
+    rows = wide.withColumn("p", F.zip_with(counts, "sums", lambda c, s: share(c, s, F.col("v")))).select("lang", "p")
+    squares = F.transform("p", lambda a, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda b: (a - b) * (a - b)))
+    each = rows.select("lang", "p", F.posexplode(squares).alias("i", "row")).select("lang", "p", "i", F.posexplode("row").alias("k", "square"))
+    other = F.col("i") + F.col("k") + 1
+    over = lambda at: F.call_function("div", F.col("square"), F.get("p", at))
+    sums = each.select("lang", "i", other.alias("j"), over(other).alias("ij"), over(F.col("i")).alias("ji"))
+    sums = sums.groupBy("lang", "i", "j").agg(F.sum("ij").alias("ij"), F.sum("ji").alias("ji"))
+    entry = lambda i, j, value: F.struct(F.col(i).alias("place"), F.col(j).alias("other"), F.col(value).alias("value"))
+    both = F.array(entry("i", "j", "ij"), entry("j", "i", "ji"))
+    return sums.select("lang", F.explode(both).alias("b")).select("lang", "b.*")
+
+
+def outstanding(wide: DataFrame) -> DataFrame:
+    """(lang, place, item, value) of terms whose share of a group is above that of the language."""
+    q = share(F.aggregate("used", F.lit(0).cast("long"), lambda a, u: a + u["n"]), F.col("total"), F.col("v"))
+    each = wide.select("lang", "term", "v", "sums", q.alias("q"), F.explode("used").alias("u"))
+    each = each.select("lang", "term", "q", F.col("u.place").alias("place"), share(F.col("u.n"), F.get("sums", F.col("u.place")), F.col("v")).alias("p"))
+    return each.where("p > q").select("lang", "place", F.col("term").alias("item"), spread(F.col("p"), F.col("q")).alias("value"))
 
 
 def audit(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """(lang, source, part, item, value, rank): all other sources of a group's language, and the terms in which it stands out."""
     rows = docs.select(text_of(lang).alias("lang"), text_of(source).alias("source"), text_of(text).alias("text"))
-    places = stored(groups(rows))
+    places = groups(rows)
     kept = stored(vectors(rows, places, least))
-    wide = shares(kept, stored(totals(kept, places)))
+    wide = with_sums(kept, stored(totals(kept, places)))
 
-    both = F.flatten(F.transform("p", lambda a: F.transform("p", lambda b: spread(a, b))))
-    sums = wide.select("lang", "size", F.posexplode(both).alias("at", "f")).groupBy("lang", "size", "at").agg(F.sum("f").alias("value"))
-    sums = sums.select("lang", F.floor(F.col("at") / F.col("size")).cast("int").alias("place"), (F.col("at") % F.col("size")).alias("other"), "value")
     others = places.select("lang", F.col("place").alias("other"), F.col("source").alias("item"))
-    pairs = places.join(others, "lang").where("place != other").join(sums, ["lang", "place", "other"], "left")
+    pairs = places.join(others, "lang").where("place != other").join(pair_sums(wide), ["lang", "place", "other"], "left")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value"))
 
-    each = wide.select("lang", "term", "q", F.explode(F.transform("used", lambda u: F.struct(u["place"].alias("place"), F.get("p", u["place"]).alias("p")))).alias("u"))
-    out = each.where("u.p > q").select("lang", F.col("u.place").alias("place"), F.col("term").alias("item"), spread(F.col("u.p"), F.col("q")).alias("value"))
+    out = outstanding(wide)
     best = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "place").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
     terms = best.join(places, ["lang", "place"]).select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -16,7 +16,8 @@ goes on until a text is one symbol; a high symbol stands for HIGH words or more.
 3. Words that settled or answered windows cover go, if the least id is smaller than the text's own; the rest is joined.
 
 Exact: the text with the least id that has a window asks about it itself, for a high symbol around it can only be answered
-with that same id. Equality of windows is equality of 128 bits of hashes of their words.
+with that same id. Equality of windows is equality of two independent 64-bit hashes, each made of
+the words' own hashes by a seed of its own.
 
 Rows: questions and answers are packed (see exchange.py), so a passage in a third of all texts costs one entry a
 partition. A task holds its partition's answers, or the questions of its hash range, about 16 to 24 bytes a symbol or window.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from .common import shuffle_partitions, text_of
-from .shingles import mixed, windows, word_hashes
+from .shingles import SECOND, SEED, mixed, windows, word_hashes
 
 #: Fixed value: words in a window.
 WINDOW = 13
@@ -125,7 +126,7 @@ def rounds(hashes: np.ndarray, starts: np.ndarray, high: int = HIGH) -> tuple[li
 
 
 class Sums:
-    """Second hashes of any stretch of words, by differences of running sums."""
+    """Second hashes of any stretch of words, by differences of running sums over the words' second hashes."""
 
     def __init__(self, hashes: np.ndarray):
         power, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), m, np.uint64))) for m in (_C, _C_INVERSE))
@@ -181,8 +182,8 @@ class Parsed:
 
     def __init__(self, texts: list[X.Text]):
         self.texts = texts
-        self.hashes, self.starts = word_hashes([t.raw for t in texts])
-        self.sums = Sums(self.hashes)
+        self.hashes, second, self.starts = word_hashes([t.raw for t in texts], (SEED, SECOND))
+        self.sums = Sums(second)
         low, tall = rounds(self.hashes, self.starts)
         self.at, self.key = revealed(self.hashes, self.starts, low, self.sums)
         self.owner = self._owner(self.at)
@@ -282,8 +283,8 @@ def _cut(with_text: bool):
             marked = [(k, bits) for k, bits in marked if bits is not None]
             gone: dict[int, np.ndarray] = {}
             if marked:
-                hashes, starts = word_hashes([texts[k].raw for k, _ in marked])
-                sums, own = Sums(hashes), windows(hashes, WINDOW)
+                hashes, second, starts = word_hashes([texts[k].raw for k, _ in marked], (SEED, SECOND))
+                sums, own = Sums(second), windows(hashes, WINDOW)
                 lost = np.zeros(len(hashes) + 1, np.int64)
                 asked = np.zeros(len(hashes), bool)
                 for (k, bits), a, b in zip(marked, starts[:-1], starts[1:], strict=True):

@@ -17,44 +17,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 #: Bytes that separate words: \x20 and \x09-\x0D.
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: A 64-bit number for each byte, by a rule.
-_OF_BYTE = mixed(mixed(np.arange(1, 257, dtype=np.uint64) * _MUL) * _MUL)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-#: Bytes that are hashed at a time, and that a list of texts has at most unless it is a single one; only a matter of memory.
+#: Bytes that a list of texts has at most unless it is a single one; only a matter of memory.
 CHUNK = 2 << 20
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse; those of a chunk are kept."""
-    if n <= CHUNK and _POWERS:
-        return _POWERS[0], _POWERS[1]
-    both = [np.cumprod(np.append(np.uint64(1), np.full(max(n, CHUNK), m, np.uint64))) for m in (_MUL, _INVERSE)]
-    if n <= CHUNK:
-        _POWERS[:] = both
-    return both[0], both[1]
-
-
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts, and where each text's begin (with the end of the last).
-
-    A word's hash is a polynomial in its bytes, by differences of running sums over a chunk of the texts put together."""
-    data = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
-    space = _SPACE[data]
-    begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    hashes, i = np.empty(len(begin), np.uint64), 0
-    while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK, "right")))  # a word longer than a chunk is one by itself
-        low, n = begin[i], int(end[j - 1] - begin[i])
-        power, inverse = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_OF_BYTE[data[low : low + n]] * power[:n], out=sums[1:])
-        b, e = begin[i:j] - low, end[i:j] - low
-        hashes[i:j] = mixed(mixed((sums[e] - sums[b]) * inverse[b] + (e - b).astype(np.uint64) * _MIX))
-        i = j
-    texts = np.cumsum([1, *(len(r) + 1 for r in raws)])
-    return hashes, np.searchsorted(begin, texts)
 
 
 def scrambled(h: np.ndarray) -> np.ndarray:
@@ -69,25 +33,63 @@ LONG = 256
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def hashes_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit hashes of the byte runs [begin, end), keyed by the seed: eight bytes at a time through scrambled(), so that runs which
-    differ by a pattern do not meet."""
+def keyed_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """For each seed 64-bit hashes of the byte runs [begin, end): eight bytes at a time through scrambled(), so that runs which differ by a
+    pattern do not meet, and runs that meet by one seed do not by another."""
     n = (end - begin).astype(np.int64)
     padded = np.append(data, np.zeros(8, np.uint8))
     eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
-    h = scrambled(np.uint64(seed) ^ (n.astype(np.uint64) * _MIX))
+    out = [scrambled(np.uint64(seed) ^ (n.astype(np.uint64) * _MIX)) for seed in seeds]
     long = np.flatnonzero(n > LONG)
     left = np.flatnonzero((n > 0) & (n <= LONG))
     for k in range(0, LONG, 8):
         if not len(left):
             break
         word = eights[begin[left] + k] & _LOW[np.minimum(n[left] - k, 8)]
-        h[left] = scrambled(h[left] ^ word)
+        for h in out:
+            h[left] = scrambled(h[left] ^ word)
         left = left[n[left] > k + 8]
     for i in long.tolist():
-        key = int(h[i]).to_bytes(8, "little")
-        h[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
-    return h
+        raw = data[begin[i] : end[i]].tobytes()
+        for h in out:
+            h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, key=int(h[i]).to_bytes(8, "little")).digest(), "little")
+    return out
+
+
+def hashes_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    return keyed_hashes(data, begin, end, (seed,))[0]
+
+
+#: Seeds of the words' hashes, and of a second, independent one.
+SEED, SECOND = 0x243F6A8885A308D3, 0x13198A2E03707344
+
+
+def word_hashes(raws: list[bytes], seeds: tuple[int, ...] = (SEED,)) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of texts, by each seed, and where each text's begin (with the end of the last)."""
+    data = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+    space = _SPACE[data]
+    begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    texts = np.cumsum([1, *(len(r) + 1 for r in raws)])
+    return (*keyed_hashes(data, begin, end, seeds), np.searchsorted(begin, texts))
+
+
+def same_runs(data: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the byte runs [begin, end) of a and b are equal, pair by pair."""
+    n = a[1] - a[0]
+    same = n == b[1] - b[0]
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    left = np.flatnonzero(same & (n > 0) & (a[0] != b[0]))
+    for k in range(0, LONG, 8):
+        if not len(left):
+            return same
+        differ = (eights[a[0][left] + k] ^ eights[b[0][left] + k]) & _LOW[np.minimum(n[left] - k, 8)] != 0
+        same[left[differ]] = False
+        left = left[~differ & (n[left] > k + 8)]
+    for i in left.tolist():
+        same[i] = data[a[0][i] : a[1][i]].tobytes() == data[b[0][i] : b[1][i]].tobytes()
+    return same
 
 
 def lists(sizes: list[int], most: int) -> list[tuple[int, int]]:

@@ -4,11 +4,13 @@ Base: each partition of texts counts its words over its training documents and a
 over all of them (see exchange.py): a frequent word, or the end that every text has, is one entry a partition. A word's
 name is its 64-bit hash. With the answers a partition scores its texts by itself.
 
-Model: subword counts over all training documents (summed on the way, at most one entry an id reaches the driver) give the
-classes of ids and each id's share. The attention model is then trained where the data are: in each of ROUNDS rounds every
-task starts from the same parameters, learns from its training documents of the round, and parameters are averaged by
-tokens seen, in a grouped sum. A document's hash gives its round, so that each training document is learnt from exactly
-once. Windows of WINDOW ids overlap by CONTEXT; each id is scored once. A text is its lower-case words, a space before each.
+Model: texts are encoded once, while words are counted; a text's ids go with it from then on. Id counts over all training documents (summed
+on the way, at most one entry an id reaches the driver) give the classes of ids and each id's share. The attention model is trained by
+learners, of which there is one for each LEARNER training ids of a round, whatever the number of partitions or executors: in each of
+ROUNDS rounds all learners start from the same parameters, a document's hash deals it to a round and a learner, a learner goes through its
+documents in order of the hash, and parameters are averaged by ids seen, in a grouped sum in order of the learners. So each
+training document is learnt from exactly once, and how the table is laid out makes no difference to the model. Windows of
+WINDOW ids overlap by CONTEXT; each id is scored once. A text is its lower-case words, a space before each.
 
 Edge cases: null texts are empty (one token, the end); a null id counts as the text "" for the split and is trained
 on; repeated rows each count in training and each get a row; texts of any length go through in batches of windows;
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 from . import attention as model
 from . import exchange as X
 from .common import shuffle_partitions, stored, text_of
-from .shingles import lists, word_hashes
+from .shingles import word_hashes
 from .subwords import encoder
 
 #: A document is held out if crc32 of its id's text, modulo FOLDS, is OUT.
 FOLDS, OUT = 7, 2
 END = 0  # the end's word hash
 ROUNDS = 2
+#: Training ids that make a learner of a round.
+LEARNER = 2_000_000
 BATCH = 256
 SLICE = 1000  # parameters that go together
 #: How often does a word come in training documents? And a subword id, whose key spreads the ids over the ranges?
@@ -69,8 +73,20 @@ def _spread(n_ids: int) -> np.uint64:
     return np.uint64(2**64 // (n_ids + 1))
 
 
+def _kept(ids: np.ndarray, n_ids: int) -> bytes:
+    """Ids of a text in a blob, with their number."""
+    raw = X.planes(ids.astype(np.uint16 if n_ids <= 1 << 16 else np.uint32))
+    return len(ids).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _ids(blob: bytes, n_ids: int) -> np.ndarray:
+    kind = np.uint16 if n_ids <= 1 << 16 else np.uint32
+    n = int.from_bytes(blob[:8], "little")
+    return X.unplaned(pa.decompress(blob[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), [kind], n)[0].astype(np.int64)
+
+
 def _counted(parts: int, tokenizer: str):
-    """Texts to questions about their words and to their counts of subword ids."""
+    """Texts to their ids (notes with the text's flag and number), and to questions about their words and counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, word, ids, part = Subwords(tokenizer), X.Asker(parts, WORD), X.Asker(parts, ID), 0
@@ -81,11 +97,9 @@ def _counted(parts: int, tokenizer: str):
             words = Words(raws)
             often = np.bincount(words.of, trained[words.owner], len(words.hashes)).astype(np.int64)
             yield from word.add(part, [words.hashes, often])
-            learnt = [(w, n) for w, n in zip(raws, trained.tolist(), strict=True) if n]
-            if learnt:
-                own = subwords([w for w, _ in learnt])
-                times = np.repeat([n for _, n in learnt], [len(x) for x in own])
-                counts += np.bincount(np.concatenate(own), times, len(counts)).astype(np.int64)
+            own = subwords(raws)
+            counts += np.bincount(np.concatenate(own), np.repeat(trained, [len(x) for x in own]), len(counts)).astype(np.int64)
+            yield X.rows_of([(X.NOTE, t.part, t.flag, len(x), t.times, None, t.row, _kept(x, len(counts))) for t, x in zip(texts, own, strict=True)])
         yield from word.flush()
         some = np.flatnonzero(counts)
         yield from ids.add(part, [some.astype(np.uint64) * _spread(len(counts)), counts[some]])
@@ -101,29 +115,30 @@ def _sums(kind: int, cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield X.rows_of([(STATS, 0, kind, len(cols[0]), None, None, None, b"".join(X.planes(c.copy()) for c in cols))])
 
 
-_SHARE = "part int, w double, blob binary"
+_SHARE = "part int, src int, w double, blob binary"
 
 
-def _shared(part: int, w: float, values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([w]), pa.array([values.tobytes()], pa.binary())], names=["part", "w", "blob"])
+def _shared(part: int, src: int, w: float, values: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array([part], pa.int32()), pa.array([src], pa.int32()), pa.array([w]), pa.array([values.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "src", "w", "blob"])
 
 
-def _learnt(tokenizer: str, of: np.ndarray, flat: np.ndarray):
-    """Texts to this task's parameters, SLICE at a time: values times tokens seen, tokens seen."""
+def _learnt(n_ids: int, of: np.ndarray, flat: np.ndarray):
+    """A learner's texts, in order, to its parameters, SLICE at a time: values times ids seen, ids seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, learner = Subwords(tokenizer), model.Learner(flat)
-        for whole in batches:
-            raws = [t.encode("utf-8", "surrogatepass").lower() for t in whole.column(0).to_pylist()]
-            for a, b in lists([len(r) for r in raws], BATCH):
-                for ids in subwords(raws[a:b]):
-                    x, t, c = model.cut(of[ids], 0)  # every id is learnt once
+        learner, part = model.Learner(flat), None
+        for batch in batches:
+            for row in batch.to_pylist():
+                part = row["part"]
+                x, t, c = model.cut(of[_ids(row["blob"], n_ids)], 0)  # every id is learnt once
+                for _ in range(row["times"]):
                     for i in range(0, len(x), 4096):
                         learner.add((x[i : i + 4096], t[i : i + 4096], c[i : i + 4096]))
         learner.flush()
         if learner.seen:
             for k in range(0, len(learner.flat), SLICE):
-                yield _shared(k // SLICE, float(learner.seen), learner.flat[k : k + SLICE].astype(np.float64) * learner.seen)
+                yield _shared(k // SLICE, part, float(learner.seen), learner.flat[k : k + SLICE].astype(np.float64) * learner.seen)
 
     return run
 
@@ -137,15 +152,15 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[0] += x["w"]
             own[1] = own[1] + np.frombuffer(x["blob"])
     for part, (w, values) in sums.items():
-        yield _shared(part, w, values)
+        yield _shared(part, 0, w, values)
 
 
-def _scored(tokenizer: str, of: np.ndarray, shares: np.ndarray, flat: np.ndarray, per_token: float):
-    """Texts with the counts of their words to results."""
+def _scored(of: np.ndarray, shares: np.ndarray, flat: np.ndarray, per_token: float):
+    """Texts with their ids and the counts of their words to results."""
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, p, told = Subwords(tokenizer), model.unpacked(flat), X.Answers({WORD.kind: WORD.kinds})
+        p, told = model.unpacked(flat), X.Answers({WORD.kind: WORD.kinds})
         for texts in X.read(batches, BATCH, told):
             raws = [t.raw.lower() for t in texts]
             words, table = Words(raws), told.table(WORD.kind)
@@ -166,7 +181,7 @@ def _scored(tokenizer: str, of: np.ndarray, shares: np.ndarray, flat: np.ndarray
                         windows.clear()
 
             waiting = 0
-            for k, ids in enumerate(subwords(raws)):
+            for k, ids in enumerate(_ids(told.note(t), len(shares)) for t in texts):
                 total[k] += shares[ids].sum()
                 x, t, c = model.cut(of[ids])
                 held[0].append((k, x[:1], t[:1], c[:1]))
@@ -185,13 +200,17 @@ def _scored(tokenizer: str, of: np.ndarray, shares: np.ndarray, flat: np.ndarray
 
 
 def learnt_in(k: int) -> Column:
-    """Whether a training document of body is learnt from in round k."""
+    """Whether a training document (flag 1) is learnt from in round k."""
     return (F.col("flag") == 1) & (F.pmod("row", F.lit(ROUNDS)) == k)
 
 
+def learner_of(learners: int) -> Column:
+    return F.pmod(F.xxhash64("row", F.lit(1)), F.lit(learners)).cast("int")
+
+
 @dataclass
 class Fitted:
-    """What is learnt from a corpus: counts of its words (a table of answers), and the attention model over classes of subword ids."""
+    """What is learnt from a corpus: counts of its words and ids of its texts (a table of answers), and the attention model over classes of subword ids."""
 
     told: DataFrame
     train_tokens: int
@@ -220,10 +239,13 @@ def fit(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text")
         else:
             distinct, train_tokens = distinct + int(key[0]), train_tokens + int(n[0])
     of, shares, class_logs = model.classes_of(counts, own.begins)
-    flat = model.initial(class_logs)
+    flat, learners = model.initial(class_logs), max(1, round(int(counts.sum()) / ROUNDS / LEARNER))
+    notes = told.where(F.col("kind") == X.NOTE).withColumnRenamed("src", "flag")
     for k in range(ROUNDS):
-        chosen = body.where(learnt_in(k)).select("text")
-        rows = chosen.mapInArrow(_learnt(tokenizer, of, flat), _SHARE).repartitionById(-(-len(flat) // SLICE), F.col("part"))
+        dealt = notes.where(learnt_in(k)).select(learner_of(learners).alias("part"), "row", "times", "blob")
+        dealt = dealt.repartitionById(learners, F.col("part")).sortWithinPartitions("row")
+        rows = dealt.select("part", "times", "blob").mapInArrow(_learnt(own.size, of, flat), _SHARE)
+        rows = rows.repartitionById(-(-len(flat) // SLICE), F.col("part")).sortWithinPartitions("part", "src")
         for r in rows.mapInArrow(_added, _SHARE).collect():  # a row a slice
             flat[r.part * SLICE : (r.part + 1) * SLICE] = np.frombuffer(bytes(r.blob)) / r.w
     return Fitted(told, train_tokens, distinct, of, shares, flat)
@@ -239,8 +261,8 @@ def score(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text
     tokenizer: a tokenizers file. A text's end is the file's end of text, else its last id."""
     parts, own = shuffle_partitions(docs.sparkSession), fitted or fit(docs, tokenizer, id, text)
     per_token = math.log10(own.train_tokens + own.distinct + 1)
-    rows = X.dealt(_texts(_body(docs, id, text), parts), parts, own.told.where(F.col("kind") < X.NOTE))
+    rows = X.dealt(_texts(_body(docs, id, text), parts), parts, own.told.where(F.col("kind") <= X.NOTE))
     scored = rows.mapInArrow(
-        _scored(tokenizer, own.of, own.shares, own.flat, per_token), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        _scored(own.of, own.shares, own.flat, per_token), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(own.train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import sums_before
 from ..functions.stats import common_prefix, distance, kernel
+from ..functions.text import let
 
 #: Statement kinds by family.
 FAMILIES = {
@@ -39,19 +41,31 @@ def _looked_up(key: Column, ids: dict[str, int], other: int) -> Column:
 def deck_lines(decks: DataFrame, ex: str = "ex", deck: str = "deck") -> DataFrame:
     """(ex, line_no, raw, at, kind, stmt, block) of each line: offset, kind, ordinals of statement and of block (blank lines close one).
 
-    Windows run within an example, whose size a deck bounds."""
-    spread = decks.select(F.col(ex).alias("ex"), F.posexplode(T.raw_lines(deck)).alias("line_no", "raw")).withColumn("kind", T.kind_of("raw"))
-    w = Window.partitionBy("ex").orderBy("line_no")
-    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    All are running sums over the lines of a deck, taken in its row: rows do not move."""
+
+    def numbered(lines: Column) -> Column:
+        kinds = F.transform(lines, T.kind_of)
+
+        def with_kinds(kinds: Column) -> Column:
+            full = lambda i: F.get(kinds, i).isNotNull()
+            at, stmt = sums_before(F.transform(lines, F.length)), sums_before(F.transform(kinds, lambda k: k.isNotNull().cast("int")))
+            # a block opens where a full line has none before it
+            opens = F.transform(kinds, lambda k, i: (k.isNotNull() & ((i == 0) | ~full(i - 1))).cast("int"))
+            return let(opens, lambda o: F.arrays_zip(lines.alias("raw"), at.alias("at"), kinds.alias("kind"), stmt.alias("stmt"), sums_before(o).alias("block"), o.alias("opens")))
+
+        return let(kinds, with_kinds)
+
+    spread = decks.select(F.col(ex).alias("ex"), F.posexplode(let(T.raw_lines(deck), numbered)).alias("line_no", "x")).select("ex", "line_no", "x.*")
     full = F.col("kind").isNotNull()
-    opens = full & F.coalesce(F.lag("kind").over(w).isNull(), F.lit(True))
-    return spread.withColumns(
-        {
-            "at": F.coalesce(F.sum(F.length("raw")).over(before), F.lit(0)).cast("int"),
-            "stmt": F.when(full, F.sum(full.cast("int")).over(so_far)).cast("int"),
-            "opens": opens,
-        }
-    ).withColumn("block", F.when(full, F.sum(F.col("opens").cast("int")).over(so_far)).cast("int")).drop("opens")
+    return spread.select(
+        "ex",
+        "line_no",
+        "raw",
+        "kind",
+        F.col("at").cast("int").alias("at"),
+        F.when(full, F.col("stmt") + 1).cast("int").alias("stmt"),
+        F.when(full, F.col("block") + F.col("opens")).cast("int").alias("block"),
+    )
 
 
 def typed_segments(decks: DataFrame, with_family: bool = False, families: dict[str, str] | None = None, ex: str = "ex", deck: str = "deck") -> DataFrame:
@@ -96,12 +110,10 @@ def segments(name: str, decks: DataFrame, **k) -> DataFrame:
 def tokens(decks: DataFrame, ex: str = "ex", deck: str = "deck") -> DataFrame:
     """(ex, t, start, end) of a stand-in tokenizer: runs of word characters, and other characters that are no space."""
     pieces = F.regexp_extract_all(F.col(deck), F.lit(r"([\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]|\s+)"), F.lit(1))
-    spread = decks.select(F.col(ex).alias("ex"), F.posexplode(pieces).alias("k", "piece"))
-    w = Window.partitionBy("ex").orderBy("k")
-    at = F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    placed = spread.withColumn("start", at).where(~F.col("piece").rlike(r"\A\s+\z"))
-    t = (F.row_number().over(w) - 1).cast("int")
-    return placed.select("ex", t.alias("t"), "start", (F.col("start") + F.length("piece")).alias("end"))
+    placed = lambda p: F.arrays_zip(p.alias("piece"), sums_before(F.transform(p, F.length)).alias("start"))
+    kept = F.filter(let(pieces, placed), lambda x: ~x["piece"].rlike(r"\A\s+\z"))
+    spread = decks.select(F.col(ex).alias("ex"), F.posexplode(kept).alias("t", "x"))
+    return spread.select("ex", "t", F.col("x.start").cast("int").alias("start"), (F.col("x.start") + F.length("x.piece")).cast("int").alias("end"))
 
 
 def given_tokens(texts: DataFrame, starts: str = "starts", ex: str = "ex") -> DataFrame:

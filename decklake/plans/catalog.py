@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chat as C
 from ..functions import pairs
 from ..functions import text as T
-from ..operators import features, metrics, runs, sampling, split, tail, tree, validate
+from ..operators import features, metrics, ordering, runs, sampling, split, tail, tree, validate
 from ..sources import binary, records, sinks
 from ..sources.storage import exists, shared_dir
 from . import fixtures as X
@@ -204,6 +204,14 @@ def tail_report(spark, sf):
     return tail.report(tail.hits(pairs), _parts(pairs))
 
 
+@query(_PAIRS + "select row_number() over (order by part = 'tail' desc, gold desc, kind) as place, kind, gold from hits join parts using (kind) where gold > 0")
+def tail_report_in_order(spark, sf):
+    """The places of the report's rows: the tail first, then by gold."""
+    pairs = X.gold_pred(spark, sf)
+    rows = tail.report(tail.hits(pairs), _parts(pairs))
+    return ordering.running(rows, [F.desc("is_tail"), F.desc("gold"), F.col("kind")], place="place").select("place", "kind", "gold")
+
+
 @query(_PAIRS + f"select part, gold, hit, p as recall, {_WILSON} from (select part, sum(gold)::bigint as gold, sum(hit)::bigint as hit, sum(gold)::double as n, sum(hit) / sum(gold) as p from hits join parts using (kind) group by 1)")
 def tail_recall(spark, sf):
     pairs = X.gold_pred(spark, sf)
@@ -479,6 +487,21 @@ def status_counts(spark, sf):
     return runs.status_counts(X.statuses(spark, sf).withColumnRenamed("event_type", "status"))
 
 
+@query("""select c_custkey, case when c_custkey % 3 = 0 then c_name else n_name end as name, case when c_custkey % 5 = 0 then null when c_custkey % 3 = 1 then c_mktsegment else 'r' || n_regionkey end as segment,
+ 'k' || c_nationkey as nation, case when c_custkey % 3 <> 2 then c_mktsegment end as own from customer join nation on c_nationkey = n_nationkey""")
+def merged_maps(spark, sf):
+    """Customers' settings filled from their nation's, then some forced, removed or left alone."""
+    c, n = X.table(spark, sf, "customer"), X.table(spark, sf, "nation")
+    k, row = F.col("c_custkey"), c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    entry = lambda when, key, value: F.when(when, F.array(F.struct(F.lit(key).alias("k"), value.cast("string").alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+    own = F.map_from_entries(F.concat(entry(k % 3 == 0, "name", F.col("c_name")), entry(k % 3 == 1, "segment", F.col("c_mktsegment")), entry(k % 3 != 2, "own", F.col("c_mktsegment"))))
+    reference = F.create_map(F.lit("name"), F.col("n_name"), F.lit("segment"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")))
+    forced = F.create_map(F.lit("nation"), F.concat(F.lit("k"), F.col("c_nationkey").cast("string")))
+    made = runs.overridden(runs.filled(own, reference), forced)
+    made = F.when(k % 5 == 0, F.map_filter(made, lambda key, value: key != "segment")).otherwise(made)
+    return row.withColumn("m", made).select("c_custkey", *[F.try_element_at("m", F.lit(x)).alias(x) for x in ("name", "segment", "nation", "own")])
+
+
 @query("select n_nationkey, 'own' as kept, case when n_nationkey % 2 = 0 then 'own' else 'ref' end as filled, 'forced' as forced, case when n_name like '%A%' then 0 else 700 end as head from nation")
 def config_merge(spark, sf):
     n = X.table(spark, sf, "nation")
@@ -624,6 +647,14 @@ def deck_coverage(spark, sf):
     return metrics.coverage(_paths(spark, sf)).select(F.round("in_deck", 9).alias("in_deck"))
 
 
+@query(_LN + """, ls as (select ex, string_split(deck, chr(10)) as l from decks), cut as (select ex, l, list_position(list_transform(l, lambda x: starts_with(trim(x), 'solve ')), true) as p from ls)
+select ex, """ + _STRIP.format("array_to_string(case when p > 0 then l[1:p] else l end, chr(10))") + " as until from cut")
+def decks_until_solve(spark, sf):
+    """Decks behind a scratchpad, cut after the first line that begins with the closing statement, or whole without one."""
+    said = F.concat(F.lit("<think>solve "), F.col("ex").cast("string"), F.lit("</think>\n\n"), "deck", F.lit("\n"))
+    return X.known_decks(spark, sf).select("ex", T.until_solve(said).alias("until"))
+
+
 # ---- features ----
 
 #: Fixed value: where configurations cut (max_seq_length).

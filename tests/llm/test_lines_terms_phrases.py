@@ -154,17 +154,37 @@ def test_first_phrases_of_many(spark, monkeypatch):
     assert sorted(tuple(r) for r in collocations.mine(docs, top=5).collect()) == phrases_by_hand(rows, 5)
 
 
-def test_other_seed_where_names_meet(spark, monkeypatch):
-    plain, rows = collocations.seed_of, [("la le la le", "en")] * 20
-    hashes = shingles.hashes_of
-    bad = plain("en", 0)
-    monkeypatch.setattr(collocations, "hashes_of", lambda data, b, e, seed: np.full(len(b), 5, np.uint64) if seed == bad else hashes(data, b, e, seed))
-    run = collocations.first_pass(12, 0)
-    assert run is not None
-    names = collocations.words([b"la le"], bad)[0]
-    assert names[0] == names[1] and len(set(collocations.words([b"la le"], plain("en", 1))[0].tolist())) == 2
-    monkeypatch.undo()
-    assert sorted(tuple(r) for r in collocations.mine(spark.createDataFrame(rows, "text string, lang string")).collect()) == phrases_by_hand(rows)
+def test_another_seed_is_taken_where_names_meet(spark, monkeypatch):
+    rows = [("la le la le lu", "en")] * 20 + [("xx", "en")]
+    salts, first = [], collocations.first_pass
+    monkeypatch.setattr(collocations, "first_pass", lambda bits, salt: salts.append(salt) or first(bits, salt))
+
+    def pass_(safe, bits, salt, ranges):
+        """With the first seed a rare word has the name of a frequent one."""
+
+        def run(batches):
+            if salt == 0:
+                hashes = collocations.hashes_of
+
+                def meeting(data, begin, end, seed):
+                    h = hashes(data, begin, end, seed)
+                    texts = [data[a:b].tobytes() for a, b in zip(begin, end, strict=True)]
+                    return np.where(np.array([t == b"xx" for t in texts], bool), h[texts.index(b"la")], h)
+
+                collocations.hashes_of = meeting
+            try:
+                yield from second(safe, bits, salt, ranges)(batches)
+            finally:
+                if salt == 0:
+                    collocations.hashes_of = hashes
+
+        return run
+
+    second = collocations.second_pass
+    monkeypatch.setattr(collocations, "second_pass", pass_)
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    assert sorted(tuple(r) for r in collocations.mine(docs).collect()) == phrases_by_hand(rows)
+    assert salts == [0, 1]
 
 
 def test_scores_pass_64_bits(spark):

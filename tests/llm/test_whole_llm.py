@@ -49,6 +49,9 @@ def test_whole_private_keys_go(spark):
         7: ("\n".join([*lines, "", *lines, "end"]), "[SECRET]\n\n[SECRET]\nend"),
         8: (f"A line {begin} is the head of a key, and no more.", "A line [SECRET] is the head of a key, and no more."),
         9: ("\n".join([*long, "", "So it ends."]), "[SECRET]\n\nSo it ends."),
+        11: ("\n".join([begin, "Version: 7", "Comment: a key, and: more", "X-Any: 1", "", *body, "Zk9=", end, "x"]), "[SECRET]\nx"),
+        12: ("\n".join(["-----BEGIN PGP PRIVATE KEY BLOCK-----", "Version: GnuPG v2", "", *body, "=AbC1", "-----END PGP PRIVATE KEY BLOCK-----", "end."]), "[SECRET]\nend."),
+        13: ("\n".join([begin, "Note: no key follows here.", "It ends."]), "[SECRET]\nNote: no key follows here.\nIt ends."),
         10: ("-----BEGIN OPENSSH PRIVATE KEY-----\n" + "\n".join(body) + "\n-----END OPENSSH PRIVATE KEY-----", "[SECRET]"),
     }
     docs = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
@@ -94,3 +97,13 @@ def test_several_learners_do_not_depend_on_the_layout(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = [sorted((repr(r.doc_id), r.n_tokens, r.score) for r in scoring.score(docs.repartition(n), P.path("byte_bpe_50k.json")).collect()) for n in (1, 13)]
     assert len(got[0]) == len(rows) and all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 * a[1] for a, b in zip(*got, strict=True))
+
+
+def test_a_blob_that_two_scans_entered_counts_once(spark):
+    from decklake.llm.common import shared_dir
+
+    docs, ledger = spark.createDataFrame([(1, "token = abcdefgh12"), (2, "none")], "doc_id long, text string"), shared_dir(spark)
+    first = secrets.scan(docs, ledger).count()
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-copy")
+    spark.read.parquet(f"{ledger}-copy").write.mode("append").parquet(ledger)
+    assert first == 2 and sorted((r.doc_id, len(r.spans), r.scan) for r in secrets.scan(docs, ledger).collect()) == [(1, 1, 1), (2, 0, 1)]

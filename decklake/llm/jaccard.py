@@ -20,7 +20,7 @@ all rows weighs as one. Classes have 64-bit names.
 
 Edge cases: null or wordless texts have no tokens, size 0, and are linked with nothing, not even each other; texts
 under K words are one token; null ids are kept (a class of null ids only has a null component); repeated rows get a
-row each; an empty table gives no rows; only id and text are read. deduplicated() keeps one row of each component, whatever
+row each; an empty table gives no rows; only id and text are read; texts of any length are hashed whole, by themselves if they are very long. deduplicated() keeps one row of each component, whatever
 ids its rows have: that with the least id, null ids last, of those that with the least hash, of equal rows any one.
 """
 

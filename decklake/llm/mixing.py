@@ -9,7 +9,7 @@ bucket) only, BUCKETS hash buckets to a length, so a source or a length with a t
 
 Edge cases: null texts have length 0: they take no words, however often they are taken; a null source is a source of its
 own, the last; repeated rows count and are ranked as rows; ties in hash order are broken by id; an empty table gives an
-empty result.
+empty result. Texts of any length are counted in their row. mix() reads three columns only, repeated() hands on all, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ and is broadcast up to MAX_PLAN rows, else joined. Ranks are taken within (lengt
 a third of all pieces share is spread over BUCKETS tasks.
 
 Edge cases: null texts are empty and give one piece (the end id); texts of any length are cut into whole sequences
-after a shorter first piece; repeated rows and null ids are pieces of their own; an empty table gives no rows.
+after a shorter first piece; repeated rows and null ids are pieces of their own; an empty table gives no rows; columns besides id and text are not read, whatever their
+names.
 """
 
 from __future__ import annotations

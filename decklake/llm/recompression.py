@@ -24,7 +24,8 @@ partition. A task holds its partition's answers, or the questions of its hash ra
 
 Edge cases: null texts are empty; a null id comes after all others and gives way to them only; rows with the same id
 and text get the same result each; rows with one id and different texts do not count as each other's source; texts
-shorter than WINDOW keep all; an empty table gives no rows; extra columns are not read.
+shorter than WINDOW keep all; an empty table gives no rows; extra columns are not read; texts of any length are renamed whole, by themselves if
+they are very long.
 """
 
 from __future__ import annotations

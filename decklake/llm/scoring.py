@@ -14,7 +14,8 @@ WINDOW ids overlap by CONTEXT; each id is scored once. A text is its lower-case
 
 Edge cases: null texts are empty (one token, the end); a null id counts as the text "" for the split and is trained
 on; repeated rows each count in training and each get a row; texts of any length go through in batches of windows;
-without training documents all counts are 0 and the model is its prior; an empty table gives no rows. Ids are whole numbers.
+without training documents all counts are 0 and the model is its prior; an empty table gives no rows. Ids are whole numbers; columns besides id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations

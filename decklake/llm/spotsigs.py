@@ -12,7 +12,8 @@ that share a signature in their prefixes and whose set lengths lie in one partit
 
 Edge cases: a null text is empty; a text without any signature gets one made from the whole text, so equal texts
 have equal fingerprints and no set is empty; null ids come after all others; repeated ids are ordered by a hash of the text; the next
-document of the only one is itself; an empty table gives no rows.
+document of the only one is itself; an empty table gives no rows. Texts of any length are read whole, two at a time; columns besides id and text
+are not read, whatever their names.
 """
 
 from __future__ import annotations

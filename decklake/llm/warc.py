@@ -9,7 +9,8 @@ by (digest, id), so equal payloads do not meet in one task. The join back shuffl
 skew join splits a digest that a third of all records share.
 
 Edge cases: a null payload is empty; a null url gives no target line; a null id has the nil record id and reads back
-as null; repeated rows are records of their own; an empty table gives an empty archive that reads as no rows.
+as null; repeated rows are records of their own; an empty table gives an empty archive that reads as no rows. A payload of any length is
+one value, hashed whole; columns besides the three are not read, whatever their names.
 """
 
 from __future__ import annotations

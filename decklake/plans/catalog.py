@@ -12,7 +12,7 @@ from ..functions import pairs
 from ..functions import text as T
 from ..operators import features, metrics, ordering, runs, sampling, split, tail, tree, validate
 from ..sources import binary, records, sinks
-from ..sources.storage import exists, shared_dir
+from ..sources.storage import exists, shared_dir, written
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,7 +81,8 @@ def _examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf: str) -> DataFrame:
-    return split.assigned(_examples(spark, sf))
+    """The examples with their splits; they are written once, for they are read for who is held out and again for what is asked."""
+    return split.assigned(written(_examples(spark, sf)))
 
 
 # ---- splits ----

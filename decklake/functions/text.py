@@ -119,7 +119,8 @@ def until_solve(c: Column | str) -> Column:
         hits = F.filter(F.sequence(F.lit(0), F.size(all_)), lambda i: F.coalesce(strip(F.get(all_, i)).startswith("solve "), F.lit(False)))
         return strip(F.array_join(F.slice(all_, 1, F.coalesce(F.get(hits, F.lit(0)) + 1, F.size(all_))), "\n"))
 
-    return let(lines(strip(after_first_close(c))), cut)
+    whole = let(strip(after_first_close(c)), lambda t: F.when(~F.contains(t, F.lit("solve ")) & _ends_plainly(t), t).otherwise(let(lines(t), cut)))
+    return whole  # a text without the statement and with plain line ends is not taken apart
 
 
 def first_difference(a: Column | str, b: Column | str) -> Column:

@@ -76,14 +76,14 @@ def _spread(n_ids: int) -> np.uint64:
 
 def _kept(ids: np.ndarray, n_ids: int) -> bytes:
     """Ids of a text in a blob, with their number."""
-    raw = X.planes(ids.astype(np.uint16 if n_ids <= 1 << 16 else np.uint32))
-    return len(ids).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+    raw = ids.astype(np.uint16 if n_ids <= 1 << 16 else np.uint32).tobytes()
+    return len(ids).to_bytes(8, "little") + pa.Codec("zstd", compression_level=X.LEVEL).compress(raw, asbytes=True)
 
 
 def _ids(blob: bytes, n_ids: int) -> np.ndarray:
-    kind = np.uint16 if n_ids <= 1 << 16 else np.uint32
+    kind = np.dtype(np.uint16 if n_ids <= 1 << 16 else np.uint32)
     n = int.from_bytes(blob[:8], "little")
-    return X.unplaned(pa.decompress(blob[8:], n * np.dtype(kind).itemsize, "zstd", asbytes=True), [kind], n)[0].astype(np.int64)
+    return np.frombuffer(pa.decompress(blob[8:], n * kind.itemsize, "zstd", asbytes=True), kind).astype(np.int64)
 
 
 def _counted(parts: int, tokenizer: str):

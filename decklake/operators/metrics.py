@@ -92,10 +92,14 @@ def parameters(tensors: DataFrame) -> DataFrame:
 
 
 def coverage(tokens: DataFrame, n: int | None = None) -> DataFrame:
-    """Mean over the examples (the first n, if given) of the share of tokens in the deck: (ex, in_deck) rows."""
+    """Mean over the examples (the first n, if given) of the share of tokens in the deck: (ex, in_deck) rows, or those of tree.runs()."""
     if n is not None:
         tokens = tokens.join(F.broadcast(tokens.select("ex").distinct().orderBy("ex").limit(n)), "ex")
-    each = tokens.groupBy("ex").agg(F.avg(F.col("in_deck").cast("double")).alias("share"))
+    if "t0" in tokens.columns:
+        n = F.col("t1") - F.col("t0") + 1
+        each = tokens.groupBy("ex").agg((F.sum(F.when(F.col("in_deck"), n).otherwise(0)) / F.sum(n)).alias("share"))
+    else:
+        each = tokens.groupBy("ex").agg(F.avg(F.col("in_deck").cast("double")).alias("share"))
     return each.agg(F.coalesce(F.avg("share"), F.lit(0.0)).alias("in_deck"))
 
 

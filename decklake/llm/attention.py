@@ -11,6 +11,7 @@ import numpy as np
 D, GROUPS, MEMBERS, WINDOW, CONTEXT = 16, 32, 32, 64, 32
 CLASSES = GROUPS * MEMBERS
 SHARED = 64  # classes that several ids share
+BLOCK = 32  # rows of a group that are multiplied together; only a matter of speed
 SHAPES = {
     "E": (CLASSES + 1, D), "P": (WINDOW, D), "Q": (D, D), "K": (D, D), "V": (D, D), "O": (D, D),
     "G": (D, GROUPS), "g": (GROUPS,), "U": (GROUPS, D, MEMBERS), "b": (GROUPS, MEMBERS),
@@ -65,115 +66,167 @@ def cut(classes: np.ndarray, context: int = CONTEXT) -> tuple[np.ndarray, np.nda
     return padded[at], padded[at + 1], counts
 
 
+def _table(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What each class and each place adds to a row of (input, query, value, one); and what queries and values take from an input, side by
+    side. With one head, keys can be the inputs themselves and values what goes to the output."""
+    joint = np.concatenate([p["Q"] @ p["K"].T * _SCALE, p["V"] @ p["O"]], 1)
+    return *(np.concatenate([m, m @ joint, np.full((len(m), 1), one, m.dtype)], 1) for m, one in ((p["E"], 0), (p["P"], 1))), joint
+
+
+def _spans(since: int) -> list[tuple[int, int]]:
+    """Queries of a window from `since` on, in two halves if all: those of the first see no key of the second."""
+    return [(0, WINDOW // 2), (WINDOW // 2, WINDOW)] if since == 0 else [(since, WINDOW)]
+
+
+def _weighed(table: tuple, x: np.ndarray, since: int = 0) -> tuple:
+    """(rows of the table, exponentials of each span, y, 1 / the exponentials' sums, h and a one) of windows of classes; queries are of the
+    places from `since` on only, h has a row for each."""
+    rows = np.take(table[0], x, axis=0)
+    rows += table[1]
+    X, q, v = rows[..., :D], rows[..., D : 2 * D], rows[..., 2 * D :]
+    y, each = np.empty((len(x), WINDOW - since, D + 1), rows.dtype), []
+    for lo, hi in _spans(since):
+        a = np.matmul(q[:, lo:hi], X[:, :hi].transpose(0, 2, 1))
+        np.clip(a, -30, 30, out=a)
+        np.exp(a, out=a)
+        a *= _TRIL[lo:hi, :hi]
+        np.matmul(a, v[:, :hi], out=y[:, lo - since : hi - since])
+        each.append(a)
+    r, h = 1 / y[..., D:], np.empty_like(y)
+    y = y[..., :D] * r
+    np.add(X[:, since:], y, out=h[..., :D])
+    h[..., D] = 1
+    return rows, each, y, r, h.reshape(-1, D + 1)
+
+
 def _attended(p: dict[str, np.ndarray], x: np.ndarray, since: int = 0) -> tuple:
-    """(X, q, k, v, weights, y, h) of windows of classes; queries are of the places from `since` on only, h has a row for each."""
-    b, n = x.shape
-    X = p["E"][x] + p["P"]
-    flat, late = X.reshape(-1, D), np.ascontiguousarray(X[:, since:]).reshape(-1, D)
-    q = (late @ (p["Q"] * _SCALE)).reshape(b, n - since, D)
-    k, v = ((flat @ m).reshape(b, n, D) for m in (p["K"], p["V"]))
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    np.clip(a, -30, 30, out=a)
-    np.exp(a, out=a)
-    a *= _TRIL[since:]
-    a /= np.matmul(a, np.ones((n, 1), a.dtype))
-    y = np.matmul(a, v)
-    return flat, q, k, v, a, y, late + y.reshape(-1, D) @ p["O"]
-
-
-def _by_group(h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order of the rows by their target's group, h and the target's place in its group in that order, where each group begins)."""
-    group = t // MEMBERS
-    order = np.argsort(group, kind="stable")
-    return order, h[order], (t % MEMBERS)[order], np.searchsorted(group[order], np.arange(GROUPS + 1))
-
-
-def _small(p: dict[str, np.ndarray], h: np.ndarray) -> bool:
-    """True if no logit can be so large that its exponential overflows: logits are at most as large as both factors' norms allow."""
-    norm = np.sqrt((h * h).sum(1).max()) if len(h) else 0
-    return bool(norm * max(np.sqrt((p[u] * p[u]).sum(-2).max()) for u in "GU") + max(np.abs(p[c]).max() for c in "gb") < 60)
-
-
-def _soft(z: np.ndarray, t: np.ndarray, small: bool, shares: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(exponentials, over their sums if shares, log of the target's share) of rows of logits."""
-    if not small:
-        z -= z.max(1, keepdims=True)
-    at = z[np.arange(len(z)), t]
-    np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    if shares:
-        z *= (1 / total)[:, None]
-    return z, at - np.log(total)
+    """What _weighed() gives, with h alone last."""
+    *rest, h = _weighed(_table(p), x, since)
+    return *rest, h[:, :D]
+
+
+def _heads(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the groups and of the classes of each group, biases as a last row."""
+    return np.concatenate([p["G"], p["g"][None]]), np.concatenate([p["U"], p["b"][:, None]], 1)
+
+
+def _blocks(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in blocks of BLOCK whose targets are of one group: (each block's group, rows of the blocks in order, where each row is
+    among those). Blocks that are not full have row 0 besides."""
+    group = (t // MEMBERS).astype(np.uint8)
+    order, sizes = np.argsort(group, kind="stable"), np.bincount(group, minlength=GROUPS)
+    n = -(-sizes // BLOCK)
+    to = np.arange(len(t)) + np.repeat(BLOCK * (np.cumsum(n) - n) - (np.cumsum(sizes) - sizes), sizes)
+    rows, at = np.zeros(int(n.sum()) * BLOCK, np.int64), np.empty(len(t), np.int64)
+    rows[to], at[order] = order, to
+    return np.repeat(np.arange(GROUPS), n), rows, at
+
+
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials of rows of logits, their sums, what was taken from the logits first): nothing, or each row's largest if a sum would be too large or small."""
+    ones = np.ones(z.shape[1], z.dtype)
+    with np.errstate(over="ignore"):
+        out = np.exp(z)
+        total = out @ ones
+    if not len(z) or 1e-20 < total.min() <= total.max() < 1e20:
+        return out, total, 0
+    most = z.max(1, keepdims=True)
+    np.exp(z - most, out=out)
+    return out, out @ ones, most[:, 0]
 
 
 def class_logs(p: dict[str, np.ndarray], h: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Natural log of each row's target class's probability."""
-    small = _small(p, h)
-    out = _soft(h @ p["G"] + p["g"], t // MEMBERS, small, False)[1]
-    order, rows, place, bounds = _by_group(h, t)
-    own = np.empty(len(t), h.dtype)
-    for k in range(GROUPS):
-        a, b = bounds[k], bounds[k + 1]
-        if a < b:
-            own[a:b] = _soft(rows[a:b] @ p["U"][k] + p["b"][k], place[a:b], small, False)[1]
-    out[order] += own
-    return out
+    return _class_logs(_heads(p), np.append(h, np.ones((len(h), 1), h.dtype), 1), t)
+
+
+def _class_logs(heads: tuple[np.ndarray, np.ndarray], h: np.ndarray, t: np.ndarray) -> np.ndarray:
+    of, rows, at = _blocks(t)
+    z = h @ heads[0]
+    own = np.matmul(np.take(h, rows, axis=0).reshape(-1, BLOCK, D + 1), np.take(heads[1], of, axis=0)).reshape(-1, MEMBERS)
+    return _log_share(z, np.arange(len(t)), t // MEMBERS) + _log_share(own, at, t % MEMBERS)
+
 
+def _log_share(z: np.ndarray, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Log of the softmax of rows of logits at given places."""
+    _, total, less = _exp(z)
+    return np.take(z, row * z.shape[1] + place) - np.take(np.log(total) + less, row)
 
-def target_logs(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, since: int = 0, chunk: int = 64) -> np.ndarray:
+
+def target_logs(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, since: int = 0, chunk: int = 128) -> np.ndarray:
     """The same for windows of classes, from place `since` on; a few windows at a time, so that they stay in the cache."""
-    out = np.empty((len(x), WINDOW - since), np.float32)
-    for j in range(0, len(x), 8 * chunk):
-        end = min(len(x), j + 8 * chunk)
-        h = np.concatenate([_attended(p, x[i : min(i + chunk, end)], since)[-1] for i in range(j, end, chunk)])
-        out[j:end] = class_logs(p, h, t[j:end, since:].ravel()).reshape(-1, WINDOW - since)
+    keep_memory()
+    table, heads, out = _table(p), _heads(p), np.empty((len(x), WINDOW - since), np.float32)
+    for j in range(0, len(x), chunk):
+        end = min(len(x), j + chunk)
+        out[j:end] = _class_logs(heads, _weighed(table, x[j:end], since)[-1], t[j:end, since:].ravel()).reshape(-1, WINDOW - since)
     return out
 
 
+def _losses(z: np.ndarray, place: np.ndarray, w: np.ndarray, all_w: np.ndarray) -> np.ndarray:
+    """Gradient of the weighted loss by rows of logits; place and w: of the targets, all_w: weights of all rows."""
+    z, total, _ = _exp(z)
+    z *= (all_w / total)[:, None]
+    z.ravel()[place] -= w
+    return z
+
+
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, t: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Of the mean loss over the targets that count, by all parameters."""
     b, n = x.shape
-    t = t.ravel()
-    X, q, k, v, a, y, h = _attended(p, x)
-    weights = (counts.ravel() / max(1, counts.sum())).astype(h.dtype)
-    small = _small(p, h)
-    z, _ = _soft(h @ p["G"] + p["g"], t // MEMBERS, small)
-    z[np.arange(len(z)), t // MEMBERS] -= 1
-    z *= weights[:, None]
-    g = {"G": h.T @ z, "g": z.sum(0), "U": np.zeros_like(p["U"]), "b": np.zeros_like(p["b"])}
-    dh = z @ p["G"].T
-    order, rows, place, bounds = _by_group(h, t)
-    own, w = np.empty_like(h), weights[order]
-    for k_ in range(GROUPS):
-        lo, hi = bounds[k_], bounds[k_ + 1]
-        if lo < hi:
-            z, _ = _soft(rows[lo:hi] @ p["U"][k_] + p["b"][k_], place[lo:hi], small)
-            z[np.arange(hi - lo), place[lo:hi]] -= 1
-            z *= w[lo:hi, None]
-            g["U"][k_], g["b"][k_] = rows[lo:hi].T @ z, z.sum(0)
-            own[lo:hi] = z @ p["U"][k_].T
-    dh[order] += own
-    flat = lambda m: m.reshape(-1, D)
-    g["O"] = flat(y).T @ dh
-    dy = (dh @ p["O"].T).reshape(b, n, D)
-    da, dv = np.matmul(dy, v.transpose(0, 2, 1)), np.matmul(a.transpose(0, 2, 1), dy)
-    da *= a
-    da -= a * np.matmul(da, np.ones((n, 1), a.dtype))
-    dq, dk = flat(np.matmul(da, k)) * _SCALE, flat(np.matmul(da.transpose(0, 2, 1), q))
-    dv = flat(dv)
-    dx = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
-    g |= {name: X.T @ d for name, d in (("Q", dq), ("K", dk), ("V", dv))}
-    g["P"], g["E"] = dx.reshape(b, n, D).sum(0), np.zeros_like(p["E"])
-    order = np.argsort(x.ravel(), kind="stable")
-    seen, first = np.unique(x.ravel()[order], return_index=True)
-    g["E"][seen] = np.add.reduceat(dx[order], first)
+    t, table, heads = t.ravel(), _table(p), _heads(p)
+    inputs, each, y, r, h = _weighed(table, x)
+    w, g = (counts.ravel() / max(1, counts.sum())).astype(h.dtype), {}
+    z = _losses(h @ heads[0], np.arange(len(t)) * GROUPS + t // MEMBERS, w, w)
+    of_groups, dh = h.T @ z, z @ p["G"].T
+    of, rows, at = _blocks(t)
+    own, all_w = np.take(h, rows, axis=0).reshape(-1, BLOCK, D + 1), np.zeros(len(rows), h.dtype)
+    all_w[at] = w
+    z = _losses(np.matmul(own, np.take(heads[1], of, axis=0)).reshape(-1, MEMBERS), at * MEMBERS + t % MEMBERS, w, all_w).reshape(-1, BLOCK, MEMBERS)
+    of_blocks = np.matmul(own.transpose(0, 2, 1), z).reshape(len(of), -1)
+    of_classes = ((of == np.arange(GROUPS)[:, None]).astype(h.dtype) @ of_blocks).reshape(heads[1].shape)
+    back = np.take(np.ascontiguousarray(p["U"].transpose(0, 2, 1)), of, axis=0)
+    dh += np.take(np.matmul(z, back).reshape(-1, D), at, axis=0)
+    g["G"], g["g"], g["U"], g["b"] = of_groups[:D], of_groups[D], of_classes[:, :D], of_classes[:, D]
+    # a weight is an exponential times r, and the sum of weights times their gradients is dh times y
+    dh, X, q, v = dh.reshape(b, n, D), inputs[..., :D], inputs[..., D : 2 * D], inputs[..., 2 * D :]
+    down = np.empty((b, n, D + 1), h.dtype)
+    np.multiply(dh, r, out=down[..., :D])
+    down[..., D] = -np.einsum("bnd,bnd->bn", down[..., :D], y)
+    dx, both = dh, np.empty((b, n, 2 * D), h.dtype)  # both: gradients by queries and values
+    for (lo, hi), a in reversed([*zip(_spans(0), each, strict=True)]):
+        dv = np.matmul(a.transpose(0, 2, 1), down[:, lo:hi, :D])
+        a *= np.matmul(down[:, lo:hi], v[:, :hi].transpose(0, 2, 1))
+        both[:, lo:hi, :D] = np.matmul(a, X[:, :hi])
+        dx[:, :hi] += np.matmul(a.transpose(0, 2, 1), q[:, lo:hi])
+        if hi == n:
+            both[..., D:] = dv
+        else:
+            both[:, :hi, D:] += dv
+    both, dx, joint = both.reshape(-1, 2 * D), dx.reshape(-1, D), table[2]
+    dx += both @ joint.T
+    of_joint = X.reshape(-1, D).T @ both
+    of_qk, of_vo = of_joint[:, :D] * _SCALE, of_joint[:, D:]
+    g["Q"], g["K"], g["V"], g["O"] = of_qk @ p["K"], of_qk.T @ p["Q"], of_vo @ p["O"].T, p["V"].T @ of_vo
+    g["P"], g["E"] = dx.reshape(b, n * D).sum(0), np.zeros_like(p["E"])
+    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+    classes = x.ravel()[order]
+    first = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
+    g["E"][classes[first]] = np.add.reduceat(np.take(dx, order, axis=0), first)
     return np.concatenate([g[name].ravel() for name in SHAPES])
 
 
+def keep_memory() -> None:
+    """Memory of up to this size that is freed stays with the process: after the first large array is freed, the C library maps no smaller one by itself.
+    Otherwise each batch's arrays would be mapped, and their pages cleared, anew."""
+    np.empty(30 << 20, np.uint8)
+
+
 class Learner:
     """Adam over batches of windows, from given parameters."""
 
     def __init__(self, flat: np.ndarray, rate: float = 0.01, batch: int = 32):
+        keep_memory()
         self.flat, self.rate, self.size = flat.astype(np.float32).copy(), rate, batch
         self.m, self.s, self.n, self.seen = np.zeros_like(self.flat), np.zeros_like(self.flat), 0, 0
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -183,18 +236,29 @@ class Learner:
         self.held.append(windows)
         self.waiting += len(windows[0])
         if self.waiting >= self.size:
-            self.flush()
+            self.flush(self.waiting % self.size)
 
-    def flush(self) -> None:
+    def flush(self, left: int = 0) -> None:
+        """Learns from what waits, but for the last `left` windows, which wait on."""
         if not self.held:
             return
         x, t, c = (np.concatenate(z) for z in zip(*self.held, strict=True))
-        self.held, self.waiting = [], 0
-        for i in range(0, len(x), self.size):
-            b = slice(i, i + self.size)
+        n = len(x) - left
+        self.held, self.waiting = [(x[n:], t[n:], c[n:])] if left else [], left
+        for i in range(0, n, self.size):
+            b = slice(i, min(i + self.size, n))
             g = gradient(unpacked(self.flat), x[b], t[b], c[b])
             self.n += 1
             self.seen += int(c[b].sum())
-            self.m = 0.9 * self.m + 0.1 * g
-            self.s = 0.99 * self.s + 0.01 * g * g
-            self.flat -= self.rate * (self.m / (1 - 0.9**self.n)) / (np.sqrt(self.s / (1 - 0.99**self.n)) + 1e-8)
+            self.m *= 0.9
+            self.m += 0.1 * g
+            g *= g
+            g *= 0.01
+            self.s *= 0.99
+            self.s += g
+            np.divide(self.s, 1 - 0.99**self.n, out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(self.m, g, out=g)
+            g *= self.rate / (1 - 0.9**self.n)
+            self.flat -= g

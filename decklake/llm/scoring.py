@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import attention as model
 from . import exchange as X
 from .common import shuffle_partitions, stored, text_of
-from .shingles import word_hashes
+from .shingles import SEED, hashes_of, word_runs
 from .subwords import encoder
 
 #: A document is held out if crc32 of its id's text, modulo FOLDS, is OUT.
@@ -43,31 +43,73 @@ ROUNDS = 2
 LEARNER = 2_000_000
 BATCH = 256
 SLICE = 1000  # parameters that go together
+MEMO = 1_000_000  # words whose ids a task keeps; only a matter of memory
 #: How often does a word come in training documents? And a subword id, whose key spreads the ids over the ranges?
 WORD = X.Question(1, [np.uint64, np.int64], 1, X.total)
 ID = X.Question(2, [np.uint64, np.int64], 1, X.total, lambda values, n: np.zeros(len(n), bool))
 STATS = X.NOTE + 1  # rows of a range: words (distinct and all) or ids with their counts
 
 
+class Words:
+    """The distinct words of a list of texts by hash, and of each text which ones (by place among those), an end last."""
+
+    def __init__(self, raws: list[bytes]):
+        self.data, self.begin, self.end, starts = word_runs(raws)
+        hashes = hashes_of(self.data, self.begin, self.end, SEED)
+        self.hashes, self.first, words = np.unique(np.append(np.uint64(END), hashes), return_index=True, return_inverse=True)
+        self.of = np.insert(words[1:], starts[1:], words[0])
+        self.owner = np.repeat(np.arange(len(raws)), np.diff(starts) + 1)
+
+    def joined(self, places: np.ndarray) -> str:
+        """Distinct words, none of them the end, a space before each."""
+        at = self.first[places] - 1
+        size = self.end[at] - self.begin[at] + 1
+        starts = np.cumsum(size) - size
+        out = self.data[np.repeat(self.begin[at] - 1 - starts, size) + np.arange(size.sum())]
+        out[starts] = 0x20
+        return out.tobytes().decode("utf-8", "surrogatepass")
+
+
 class Subwords:
-    """Ids of texts given as lower-case words, a space before each; the end id follows."""
+    """Ids of texts given as lower-case words, a space before each; the end id follows. Ids of up to MEMO words are kept."""
 
     def __init__(self, tokenizer: str):
         self.encoder = encoder(tokenizer)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words by hash, where their ids are in `ids`, and how many; the end is known."""
+        self.known, self.start, self.size, self.ids = np.array([END], np.uint64), np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.encoder.end], np.uint32)
 
     def __call__(self, raws: list[bytes]) -> list[np.ndarray]:
         texts = [b" ".join([b"", *r.split()]).decode("utf-8", "surrogatepass") for r in raws]
         return [np.append(ids, self.encoder.end).astype(np.int64) for ids in self.encoder.encode(texts)]
 
-
-class Words:
-    """The distinct words of a list of texts by hash, and of each text which ones (by place among those), an end last."""
-
-    def __init__(self, raws: list[bytes]):
-        hashes, starts = word_hashes(raws)
-        self.hashes, words = np.unique(np.append(np.uint64(END), hashes), return_inverse=True)
-        self.of = np.insert(words[1:], starts[1:], words[0])
-        self.owner = np.repeat(np.arange(len(raws)), np.diff(starts) + 1)
+    def _learn(self, words: Words) -> None:
+        new = np.flatnonzero(~X.among(words.hashes, [self.known])[0])
+        if not len(new):
+            return
+        ids, start, size = self.encoder.alone(words.joined(new))
+        known = np.append(self.known, words.hashes[new])
+        order = np.argsort(known, kind="stable")
+        self.known, self.start, self.size = known[order], np.append(self.start, start + len(self.ids))[order], np.append(self.size, size)[order]
+        self.ids = np.append(self.ids, ids)
+
+    def of_words(self, raws: list[bytes], words: Words) -> list[np.ndarray]:
+        """The same for texts whose words have been looked for; each word is encoded once, and texts with words that cannot be encoded alone whole."""
+        if len(self.known) > MEMO:
+            self._forget()
+        self._learn(words)
+        place = np.searchsorted(self.known, words.hashes)[words.of]
+        size = self.size[place]
+        odd = np.bincount(words.owner, size < 0, len(raws)) > 0
+        size[odd[words.owner]] = 0
+        ends = np.cumsum(size)
+        flat = self.ids[np.repeat(self.start[place] - (ends - size), size) + np.arange(ends[-1])]
+        out = np.split(flat, ends[np.cumsum(np.bincount(words.owner, minlength=len(raws))) - 1][:-1])
+        for k, ids in zip(np.flatnonzero(odd).tolist(), self([raws[k] for k in np.flatnonzero(odd)]), strict=True):
+            out[k] = ids
+        return out
 
 
 def _spread(n_ids: int) -> np.uint64:
@@ -98,7 +140,7 @@ def _counted(parts: int, tokenizer: str):
             words = Words(raws)
             often = np.bincount(words.of, trained[words.owner], len(words.hashes)).astype(np.int64)
             yield from word.add(part, [words.hashes, often])
-            own = subwords(raws)
+            own = subwords.of_words(raws, words)
             counts += np.bincount(np.concatenate(own), np.repeat(trained, [len(x) for x in own]), len(counts)).astype(np.int64)
             yield X.rows_of([(X.NOTE, t.part, t.flag, len(x), t.times, None, t.row, _kept(x, len(counts))) for t, x in zip(texts, own, strict=True)])
         yield from word.flush()

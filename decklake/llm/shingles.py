@@ -64,14 +64,20 @@ def hashes_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -
 SEED, SECOND = 0x243F6A8885A308D3, 0x13198A2E03707344
 
 
-def word_hashes(raws: list[bytes], seeds: tuple[int, ...] = (SEED,)) -> tuple[np.ndarray, ...]:
-    """Hashes of all words of texts, by each seed, and where each text's begin (with the end of the last)."""
+def word_runs(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each of their words begins, where it ends, where each text's words begin, with the end of the last)."""
     data = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
     space = _SPACE[data]
     begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     end = np.flatnonzero(~space[:-1] & space[1:]) + 1
     texts = np.cumsum([1, *(len(r) + 1 for r in raws)])
-    return (*keyed_hashes(data, begin, end, seeds), np.searchsorted(begin, texts))
+    return data, begin, end, np.searchsorted(begin, texts)
+
+
+def word_hashes(raws: list[bytes], seeds: tuple[int, ...] = (SEED,)) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of texts, by each seed, and where each text's begin (with the end of the last)."""
+    data, begin, end, starts = word_runs(raws)
+    return (*keyed_hashes(data, begin, end, seeds), starts)
 
 
 def same_runs(data: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -18,6 +18,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts with other characters or with a very long run are left to the tokenizers library.
 _ODD = re.compile("[^\x00-ɏ‐-‧€]")
 _LONG = re.compile(r"\S{1000}|\s{1000}")
+#: Words that are not encoded alone: such as these two, and words with spaces that may be split off together with a space beside the word.
+_APART = re.compile(r"[^\x00-ɏ‐-‧€]|[\x85\xa0]|\S{1000}")
 
 
 def _bytes_of() -> dict[str, int]:
@@ -70,6 +72,22 @@ class Encoder:
         ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def alone(self, words: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin among them, how many it has) of words, a space before each: what they have in any text of such words.
+
+        A word that may be split otherwise beside others, or is not ranked merging's to encode, has -1 ids. Words have no \x09-\x0D."""
+        odd = np.full(words.count(" "), self.fast is None)
+        if self.fast is not None and _APART.search(words):
+            odd = np.array([_APART.search(w) is not None for w in words[1:].split(" ")])
+            words = "".join(f" {w}" for w, o in zip(words[1:].split(" "), odd.tolist(), strict=True) if not o)
+        begin, size = np.zeros(len(odd), np.int64), np.full(len(odd), -1)
+        if odd.all():
+            return np.zeros(0, np.uint32), begin, size
+        ids = self.fast.encode_to_numpy(words, disallowed_special=())
+        begin[~odd] = np.flatnonzero(self.begins[ids])  # no id but a word's first has a space
+        size[~odd] = np.diff(begin[~odd], append=len(ids))
+        return ids, begin, size
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         slow = []

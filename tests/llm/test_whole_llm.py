@@ -107,3 +107,35 @@ def test_a_blob_that_two_scans_entered_counts_once(spark):
     spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-copy")
     spark.read.parquet(f"{ledger}-copy").write.mode("append").parquet(ledger)
     assert first == 2 and sorted((r.doc_id, len(r.spans), r.scan) for r in secrets.scan(docs, ledger).collect()) == [(1, 1, 1), (2, 0, 1)]
+
+
+def test_words_are_encoded_once_and_have_the_ids_of_the_whole_text(monkeypatch):
+    texts = ["La le  li\nlo la", "", "a\xa0 \xa0y \x85b z q\x85 \x85r", "k" * 3000 + " la", "'s n't \x1c\x1dfoo 12ab--c €5 ınter", "la \u3042 le", "\x00 \x01", "le lo la " * 50]
+    raws = [t.encode().lower() for t in texts]
+    whole = scoring.Subwords(P.path("byte_bpe_50k.json"))(raws)
+    subwords, seen, fast = scoring.Subwords(P.path("byte_bpe_50k.json")), [], scoring.encoder(P.path("byte_bpe_50k.json")).fast
+    monkeypatch.setattr(scoring.encoder(P.path("byte_bpe_50k.json")), "fast", type("Fast", (), {"encode_to_numpy": lambda _, t, **b: (seen.append(t), fast.encode_to_numpy(t, **b))[1]})())
+    for _ in range(2):
+        assert [x.tolist() for x in subwords.of_words(raws, scoring.Words(raws))] == [x.tolist() for x in whole]
+    words = " ".join(seen).split(" ")
+    assert [words.count(w) for w in ("lo", "li", "12ab--c")] == [1, 1, 1]
+    monkeypatch.setattr(scoring, "MEMO", 3)
+    assert [x.tolist() for x in subwords.of_words(raws[::-1], scoring.Words(raws[::-1]))] == [x.tolist() for x in whole[::-1]]
+
+
+def test_a_step_learns_from_a_whole_batch():
+    """Windows that are left over wait for the next text; none is lost."""
+    _, _, logs = attention.classes_of(np.arange(3000)[::-1], np.arange(3000) % 2 == 0)
+    learner = attention.Learner(attention.initial(logs))
+    for _ in range(5):
+        learner.add(attention.cut(np.arange(40 * attention.WINDOW) % 7, 0))
+    assert learner.n == 5 * 40 // 32 and learner.waiting == 5 * 40 % 32
+    learner.flush()
+    assert learner.n == 5 * 40 // 32 + 1 and learner.seen == 5 * 40 * attention.WINDOW and learner.waiting == 0
+
+
+def test_large_logits_do_not_overflow():
+    _, _, logs = attention.classes_of(np.arange(3000)[::-1], np.arange(3000) % 2 == 0)
+    x, t, c = attention.cut(np.arange(300) * 7 % attention.CLASSES)
+    p = attention.unpacked(attention.initial(logs) * 80)
+    assert np.isfinite(attention.target_logs(p, x, t)).all() and np.isfinite(attention.gradient(p, x, t, c)).all()
